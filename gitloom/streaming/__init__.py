@@ -1,0 +1,5 @@
+"""History is analysed in batches; there is no streaming operator to offer.
+
+Re-running ``ingest`` on a grown history is incremental instead: see
+``gitloom.operators.sync``.
+"""
