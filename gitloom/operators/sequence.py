@@ -36,11 +36,13 @@ class Sequence:
 
 
 def ordered(frame: DataFrame, by: list[str], *, ranges: int | None = None) -> Sequence:
-    """Give every row a position in the total order *by*, without a global sort task.
+    """Give every row its 1-based position ``seq`` in the total order *by*.
 
-    *by* has to identify a row. Positions grow with the order and have gaps
-    between ranges. ``ranges`` forces the number of ranges; left out, adaptive
-    execution sizes them, and a small input counts as one range.
+    *by* has to identify a row. Rows are placed by range over the whole order, so
+    no task sorts more than its range; the ranges' row counts then turn the
+    position inside a range into the position overall. ``ranges`` forces the
+    number of ranges; left out, adaptive execution sizes them, and a small input
+    counts as one range.
     """
     spread = (
         frame.repartitionByRange(ranges, *by)
@@ -49,37 +51,29 @@ def ordered(frame: DataFrame, by: list[str], *, ranges: int | None = None) -> Se
     )
     numbered = (
         spread.sortWithinPartitions(*by)
-        .withColumn(SEQ, F.monotonically_increasing_id())
+        .withColumn("_id", F.monotonically_increasing_id())
         .withColumn(CHUNK, F.spark_partition_id())
     )
     fixed = materialise(numbered, "ordered")
-    rows, last = fixed.agg(F.count(F.lit(1)), F.max(CHUNK)).first()
-    if ranges is None and rows <= ONE_TASK_ROWS:
-        return Sequence(fixed.withColumn(CHUNK, F.lit(0)), 1)
-    return Sequence(fixed, 1 if last is None else last + 1)
-
-
-def dense_rank(sequence: Sequence, name: str) -> DataFrame:
-    """Replace the gapped position by 1, 2, 3, …
-
-    The only unpartitioned window runs over one row per range.
-    """
-    inside = Window.partitionBy(CHUNK).orderBy(SEQ)
-    local = sequence.frame.withColumn(name, F.row_number().over(inside).cast("long"))
-    if sequence.chunks == 1:
-        return local
-    before = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        sequence.frame.groupBy(CHUNK)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(CHUNK, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    )
-    # The offsets hold one row per range: their number is the partition count.
-    return (
-        local.join(F.broadcast(offsets), CHUNK)
-        .withColumn(name, F.col(name) + F.col("_offset"))
-        .drop("_offset")
-    )
+    # One row per range, whatever the data holds.
+    sizes = fixed.groupBy(CHUNK).agg(F.count(F.lit(1)).alias("_rows")).orderBy(CHUNK).collect()
+    total, offsets = 0, []
+    for row in sizes:
+        offsets.append((row[CHUNK], total))
+        total += row["_rows"]
+    # A range's ids start at its partition number shifted by 33 bits.
+    inside = F.col("_id") - F.shiftleft(F.col(CHUNK).cast("long"), 33) + 1
+    if len(offsets) <= 1:
+        positioned = fixed.withColumn(SEQ, inside)
+    else:
+        table = frame.sparkSession.createDataFrame(offsets, f"{CHUNK} int, _offset long")
+        positioned = fixed.join(F.broadcast(table), CHUNK).withColumn(
+            SEQ, inside + F.col("_offset")
+        )
+    positioned = positioned.select(*frame.columns, SEQ, CHUNK)
+    if ranges is None and total <= ONE_TASK_ROWS:
+        return Sequence(positioned.withColumn(CHUNK, F.lit(0)), 1)
+    return Sequence(positioned, len(offsets) or 1)
 
 
 @dataclass(frozen=True)

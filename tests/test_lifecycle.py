@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gitloom.operators import lifecycle as lc
-from gitloom.operators.sequence import SEQ, dense_rank, ordered
+from gitloom.operators.sequence import SEQ, ordered
 from tests import walks
 
 
@@ -63,10 +63,10 @@ def test_path_history_collapses_runs(spark, ranges):
     assert names == ["a", "b", "a"]
 
 
-def test_dense_rank_has_no_gaps(spark):
+def test_positions_have_no_gaps(spark):
     frame = spark.range(100).withColumn("k", F.col("id") * 3)
-    ranked = dense_rank(ordered(frame, ["k"], ranges=6), "n").orderBy("k").collect()
-    assert [r["n"] for r in ranked] == list(range(1, 101))
+    rows = ordered(frame, ["k"], ranges=6).frame.orderBy("k").collect()
+    assert [r[SEQ] for r in rows] == list(range(1, 101))
 
 
 @pytest.mark.parametrize("skew", [False, True])
