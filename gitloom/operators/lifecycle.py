@@ -160,19 +160,18 @@ def lifecycle_events(sequence: Sequence, *, renames: bool = True) -> Sequence:
     return sequence.of(lives.select(*frame.columns, "life_id"))
 
 
+def _doubled(reach: DataFrame) -> DataFrame:
+    above = reach.select(F.col("child").alias("parent"), F.col("parent").alias("_up"))
+    return reach.join(above, "parent", "left").select(
+        "child", F.coalesce("_up", "parent").alias("parent"), F.col("_up").isNotNull().alias("_moved")
+    )
+
+
 def forest_roots(edges: DataFrame) -> DataFrame:
-    """(child, parent) → (child, root), doubling the distance covered each round."""
+    """(child, parent) → (child, root). Each round covers four times the distance."""
     reach = materialise(edges, "reach")
     while True:
-        above = reach.select(F.col("child").alias("parent"), F.col("parent").alias("_up"))
-        stepped = materialise(
-            reach.join(above, "parent", "left").select(
-                "child",
-                F.coalesce("_up", "parent").alias("parent"),
-                F.col("_up").isNotNull().alias("_moved"),
-            ),
-            "reach",
-        )
+        stepped = materialise(_doubled(_doubled(reach).drop("_moved")), "reach")
         reach = stepped.select("child", "parent")
         if stepped.where("_moved").limit(1).count() == 0:
             return reach.withColumnRenamed("parent", "root")

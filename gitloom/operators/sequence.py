@@ -21,6 +21,7 @@ SEQ = "seq"
 # Below this many rows in *all*, any single key is small enough for one task and
 # the second level is left out. Checked against the counted rows.
 ONE_TASK_ROWS = 4_000_000
+CHUNK_ROWS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -76,6 +77,20 @@ def ordered(frame: DataFrame, by: list[str], *, ranges: int | None = None) -> Se
     return Sequence(positioned, len(offsets) or 1)
 
 
+def positioned(frame: DataFrame, position: str, *, chunk_rows: int = CHUNK_ROWS) -> Sequence:
+    """Use a unique integer the rows already carry as their position.
+
+    Ranges are equal steps of that integer, so each holds a bounded number of
+    rows and nothing has to be sorted or written.
+    """
+    chunk = F.floor(F.col(position) / chunk_rows).cast("int")
+    numbered = frame.withColumn(SEQ, F.col(position)).withColumn(CHUNK, chunk)
+    low, high = frame.agg(F.min(position), F.max(position)).first()
+    if low is None or (high - low < ONE_TASK_ROWS and chunk_rows == CHUNK_ROWS):
+        return Sequence(numbered.withColumn(CHUNK, F.lit(0)), 1)
+    return Sequence(numbered, high // chunk_rows - low // chunk_rows + 1)
+
+
 @dataclass(frozen=True)
 class Running:
     """One running value: ``kind`` is last, sum, min or count.

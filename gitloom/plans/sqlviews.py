@@ -68,11 +68,11 @@ renames AS (
          CASE WHEN k % 10 <> 0 THEN CAST(floor(value) AS BIGINT) END AS added_lines,
          CASE WHEN k % 10 <> 0 THEN k END AS deleted_lines,
          CASE WHEN change_type = 'R' THEN CAST(50 + k % 51 AS INTEGER) END AS similarity,
-         CAST(floor(epoch(ts)) AS BIGINT) AS committed_epoch
+         CAST(floor(epoch(ts)) AS BIGINT) AS committed_epoch, event_id
   FROM log)"""
 
 RENAME_LIVES = RENAMES + """,
-seqd AS (SELECT *, row_number() OVER (ORDER BY commit_sha) AS seq FROM renames),
+seqd AS (SELECT *, event_id AS seq FROM renames),
 started AS (
   SELECT *, CASE WHEN change_type <> 'D' AND (change_type IN ('A', 'R') OR NOT coalesce(
       bool_or(change_type <> 'D') OVER (PARTITION BY path ORDER BY seq

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gitloom.operators.lifecycle import REPO, SEQ
-from gitloom.operators.sequence import Running, Sequence, ordered, running
+from gitloom.operators.sequence import Running, Sequence, ordered, positioned, running
 
 LARGE_COMMIT = 8
 
@@ -125,12 +125,14 @@ def rename_log(spark: SparkSession, sf: str) -> DataFrame:
             F.when(F.col("k") % 10 != 0, F.col("k")).alias("deleted_lines"),
             F.when(F.col("change_type") == "R", 50 + F.col("k") % 51).cast("int").alias("similarity"),
             epoch("ts").alias("committed_epoch"),
+            "event_id",
         )
     )
 
 
 def rename_sequence(spark: SparkSession, sf: str) -> Sequence:
-    return ordered(rename_log(spark, sf), ["commit_sha"])
+    """The log is numbered already."""
+    return positioned(rename_log(spark, sf), "event_id")
 
 
 # ------------------------------------------------------------------ file versions

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gitloom.operators import lifecycle as lc
-from gitloom.operators.sequence import SEQ, ordered
+from gitloom.operators.sequence import SEQ, ordered, positioned
 from tests import walks
 
 
@@ -54,6 +54,16 @@ def test_one_hot_path_spans_ranges(spark):
     assert sorted(r["count"] for r in counts) == [50] * 8
 
 
+@pytest.mark.parametrize("chunk", [8, 1 << 20])
+def test_numbered_rows_keep_their_positions(spark, chunk):
+    log = _log(random.Random(3), "r", 60)
+    frame = spark.createDataFrame(log, SCHEMA)
+    sequence = positioned(frame, "pos", chunk_rows=chunk)
+    assert sequence.chunks == (8 if chunk == 8 else 1)
+    got = {r["pos"]: r["life_id"] for r in lc.lifecycle_events(sequence).frame.collect()}
+    assert got == walks.lives([(r[1], r[2], r[3], r[4]) for r in log])
+
+
 @pytest.mark.parametrize("ranges", [None, 5])
 def test_path_history_collapses_runs(spark, ranges):
     log = [("A", "a", None), ("M", "a", None), ("R", "b", "a"), ("R", "a", "b"), ("M", "a", None)]
