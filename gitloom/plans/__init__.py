@@ -1,4 +1,4 @@
-from gitloom.plans import history  # noqa: F401
+from gitloom.plans import history, memory  # noqa: F401
 from gitloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

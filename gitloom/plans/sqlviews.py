@@ -211,3 +211,59 @@ dlives AS (
 tails AS (
   SELECT m.life_id, w.blind_spots FROM (SELECT life_id, max(step) AS m FROM compared GROUP BY 1) m
   JOIN width w ON w.life_id = m.life_id AND w.step = m.m + 1)"""
+
+MEMORIES = COMMITS + "," + PARENTS + """,
+follows AS (SELECT p.parent_sha AS memory_id, p.commit_sha AS nxt, c.committed_epoch AS nxt_epoch
+            FROM parents p JOIN commits c ON c.sha = p.commit_sha WHERE position = 0),
+memories AS (
+  SELECT 'orders' AS repo_id, lpad(CAST(o_orderkey AS VARCHAR), 19, '0') AS memory_id,
+    'repo' || CAST(o_custkey % 7 AS VARCHAR) AS repository_path, o_orderpriority AS statement,
+    'c' || CAST(o_custkey AS VARCHAR) AS author_name,
+    CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_custkey AS VARCHAR) || '@x' END AS author_email,
+    strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS admitted_at,
+    CAST(epoch(o_orderdate) AS BIGINT) AS admitted_epoch,
+    CASE o_orderkey % 4 WHEN 0 THEN 'commit' WHEN 1 THEN 'definition' WHEN 2 THEN 'path'
+                        ELSE 'repository' END AS subject_kind,
+    CASE WHEN o_orderkey % 4 IN (1, 2) THEN 's' || CAST(o_custkey % 100 AS VARCHAR) END AS subject_path,
+    CASE WHEN o_orderkey % 4 = 1 THEN 'ECONOMY.Brand#' || CAST(o_orderkey % 25 AS VARCHAR) END
+      AS subject_qualname,
+    CASE WHEN o_orderkey % 4 = 0 THEN lpad(CAST(o_orderkey * 3 AS VARCHAR), 19, '0') END
+      AS subject_commit_sha,
+    CASE WHEN o_orderkey % 3 = 0 THEN lpad(CAST(o_orderkey * 2 AS VARCHAR), 19, '0') END
+      AS since_commit_sha,
+    CASE WHEN o_orderkey % 3 = 1 THEN strftime(o_orderdate, '%Y-%m-%d') END AS since_date,
+    CASE WHEN o_orderstatus = 'O' AND nxt IS NOT NULL THEN 'superseded'
+         WHEN o_orderstatus = 'P' THEN 'invalidated' ELSE 'active' END AS state,
+    CASE WHEN o_orderstatus = 'O' AND nxt IS NOT NULL THEN nxt_epoch
+         WHEN o_orderstatus = 'P' THEN CAST(epoch(o_orderdate) AS BIGINT) + 2592000 END AS ended_epoch,
+    CASE WHEN o_orderstatus = 'P' THEN 'no longer true' END AS end_reason,
+    CASE WHEN o_orderstatus = 'O' THEN nxt END AS superseded_by
+  FROM orders LEFT JOIN follows ON memory_id = lpad(CAST(o_orderkey AS VARCHAR), 19, '0'))"""
+
+CITATIONS = """
+cited AS (
+  SELECT lpad(CAST(l_orderkey AS VARCHAR), 19, '0') AS memory_id, l_linenumber AS position,
+    CASE l_partkey % 6 WHEN 0 THEN 'commit' WHEN 1 THEN 'file' WHEN 2 THEN 'definition'
+      WHEN 3 THEN 'range' WHEN 4 THEN 'absence' ELSE 'cochange' END AS kind,
+    CASE l_partkey % 6
+      WHEN 0 THEN CASE WHEN l_linenumber % 2 = 0 THEN lpad(CAST(l_orderkey AS VARCHAR), 19, '0')
+                  ELSE substring(lpad(CAST(l_orderkey * 2 AS VARCHAR), 19, '0'), 1, 18) END
+      WHEN 1 THEN './s' || CAST(l_suppkey * 2 AS VARCHAR)
+      WHEN 2 THEN 'ECONOMY.Brand#' || CAST(l_partkey % 40 AS VARCHAR)
+      WHEN 3 THEN printf('s%d:%d-%d', l_suppkey, l_linenumber,
+                         l_linenumber + CAST(l_quantity AS INTEGER) - 1)
+      WHEN 4 THEN CASE WHEN l_linenumber % 2 = 0 THEN 'merge_no_diff' ELSE 'nothing' END
+      ELSE 's' || CAST(l_suppkey AS VARCHAR) || ' -> s' || CAST(l_suppkey % 50 + 1 AS VARCHAR)
+    END AS ref
+  FROM lineitem),
+citations AS (SELECT memory_id, kind, ref, min(position) AS position FROM cited GROUP BY ALL)"""
+
+RANGES = """
+ranges AS (
+  SELECT lpad(CAST(l_orderkey AS VARCHAR), 19, '0') AS commit_sha, l_partkey,
+         's' || CAST(l_suppkey AS VARCHAR) AS path, l_linenumber AS start,
+         l_linenumber + CAST(l_quantity AS INTEGER) - 1 AS "end" FROM lineitem WHERE l_quantity > 0
+  UNION ALL
+  SELECT lpad(CAST(l_orderkey AS VARCHAR), 19, '0'), l_partkey, 's' || CAST(l_suppkey AS VARCHAR),
+         l_linenumber + CAST(l_quantity AS INTEGER) + 10,
+         l_linenumber + CAST(l_quantity AS INTEGER) + 10 FROM lineitem)"""

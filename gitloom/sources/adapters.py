@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gitloom.operators.lifecycle import REPO, SEQ
+from gitloom.functions import text
+from gitloom.operators.lifecycle import REPO
 from gitloom.operators.sequence import Running, Sequence, ordered, positioned, running
 
 LARGE_COMMIT = 8
@@ -84,15 +85,15 @@ def commit_files(spark: SparkSession, sf: str) -> DataFrame:
         F.min(F.struct("o_orderdate", "l_orderkey")).alias("_first")
     )
     born = first.select("l_suppkey", F.col("_first.l_orderkey").alias("l_orderkey"), F.lit(True).alias("_born"))
-    text = F.col("_tax") != 0
+    counted = F.col("_tax") != 0
     return dated.join(born, ["l_orderkey", "l_suppkey"], "left").select(
         F.lit("orders").alias(REPO),
         key_text("l_orderkey").alias("commit_sha"),
         F.concat(F.lit("s"), F.col("l_suppkey")).alias("path"),
         F.lit(None).cast("string").alias("old_path"),
         F.when(F.col("_born"), "A").when(F.col("_flag") == "R", "D").otherwise("M").alias("change_type"),
-        F.when(text, F.col("_added")).alias("added_lines"),
-        F.when(text, F.col("_deleted")).alias("deleted_lines"),
+        F.when(counted, F.col("_added")).alias("added_lines"),
+        F.when(counted, F.col("_deleted")).alias("deleted_lines"),
         F.lit(None).cast("int").alias("similarity"),
         epoch("o_orderdate").alias("committed_epoch"),
     )
@@ -204,7 +205,7 @@ def definition_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def patches(spark: SparkSession, sf: str) -> DataFrame:
     """Each line as a patch of three files: two hunks, a deletion, a pure rename."""
-    text = F.format_string(
+    patch = F.format_string(
         "diff --git a/s%1$d b/s%1$d\nindex 1..2 100644\n--- a/s%1$d\n+++ b/s%1$d\n"
         "@@ -%2$d,%3$d +%2$d,%3$d @@ def f\n+@@ -1 +1 @@\n@@ -%4$d +%4$d @@\n-++ b/x\n"
         "@@ -%4$d,2 +%4$d,0 @@\n-gone\n"
@@ -217,4 +218,126 @@ def patches(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("l_linenumber") + F.col("l_quantity").cast("int") + 10),
         "l_partkey",
     )
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", text.alias("patch"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", patch.alias("patch"))
+
+
+# ------------------------------------------------------------------ memories
+
+HOME = "repo3"
+THIRTY_DAYS = 30 * 86400
+
+
+def memories(spark: SparkSession, sf: str) -> DataFrame:
+    """An order is a statement; the customer's next order supersedes an O one."""
+    k = F.col("o_orderkey")
+    date = F.date_format("o_orderdate", "yyyy-MM-dd")
+    follows = (
+        commit_parents(spark, sf)
+        .where("position = 0")
+        .select(F.col("parent_sha").alias("memory_id"), F.col("commit_sha").alias("_next"))
+        .join(
+            commits(spark, sf).select(F.col("sha").alias("_next"), F.col("committed_epoch").alias("_next_epoch")),
+            "_next",
+        )
+    )
+    kind = k % 4
+    status = F.col("o_orderstatus")
+    base = table(spark, sf, "orders").select(
+        F.lit("orders").alias(REPO),
+        key_text("o_orderkey").alias("memory_id"),
+        F.concat(F.lit("repo"), F.col("o_custkey") % 7).alias("repository_path"),
+        F.col("o_orderpriority").alias("statement"),
+        F.concat(F.lit("c"), F.col("o_custkey")).alias("author_name"),
+        F.when(k % 5 != 0, F.concat(F.col("o_custkey"), F.lit("@x"))).alias("author_email"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("admitted_at"),
+        epoch("o_orderdate").alias("admitted_epoch"),
+        F.when(kind == 0, "commit").when(kind == 1, "definition").when(kind == 2, "path").otherwise("repository").alias("subject_kind"),
+        F.when(kind.isin(1, 2), F.concat(F.lit("s"), F.col("o_custkey") % 100)).alias("subject_path"),
+        F.when(kind == 1, F.concat(F.lit("ECONOMY.Brand#"), k % 25)).alias("subject_qualname"),
+        F.when(kind == 0, F.lpad((k * 3).cast("string"), 19, "0")).alias("subject_commit_sha"),
+        F.when(k % 3 == 0, F.lpad((k * 2).cast("string"), 19, "0")).alias("since_commit_sha"),
+        F.when(k % 3 == 1, date).alias("since_date"),
+        status.alias("_status"),
+    )
+    superseded = (F.col("_status") == "O") & F.col("_next").isNotNull()
+    ended = F.when(superseded, F.col("_next_epoch")).when(
+        F.col("_status") == "P", F.col("admitted_epoch") + THIRTY_DAYS
+    )
+    return (
+        base.join(follows, "memory_id", "left")
+        .withColumn("state", F.when(superseded, "superseded").when(F.col("_status") == "P", "invalidated").otherwise("active"))
+        .withColumn("ended_epoch", ended)
+        .withColumn(
+            "ended_at",
+            F.date_format(F.timestamp_seconds("ended_epoch"), "yyyy-MM-dd'T'HH:mm:ss'+00:00'"),
+        )
+        .withColumn("end_reason", F.when(F.col("_status") == "P", "no longer true"))
+        .withColumn("superseded_by", F.when(superseded, F.col("_next")))
+        .drop("_status", "_next", "_next_epoch")
+    )
+
+
+def memory_acts(spark: SparkSession, sf: str) -> Sequence:
+    """Events as acts on the memory their user and key name."""
+    act = (
+        F.when(F.col("event_type") == "purchase", "supersede")
+        .when(F.col("event_type") == "error", "invalidate")
+        .otherwise("admit")
+    )
+    k = F.get_json_object("props", "$.k")
+    acts = table(spark, sf, "events").select(
+        "event_id",
+        F.concat_ws("-", F.col("user_id").cast("string"), k).alias("memory_id"),
+        act.alias("act"),
+        epoch("ts").alias("at"),
+        F.col("event_id").cast("string").alias("detail"),
+    )
+    return positioned(acts, "event_id")
+
+
+def memory_citations(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines as pointers of their order's statement, one per kind and reference."""
+    supplier = F.concat(F.lit("s"), F.col("l_suppkey"))
+    kind = F.col("l_partkey") % 6
+    line, size = F.col("l_linenumber"), F.col("l_quantity").cast("int")
+    ref = (
+        F.when(
+            kind == 0,
+            F.when(line % 2 == 0, key_text("l_orderkey")).otherwise(
+                F.substring(F.lpad((F.col("l_orderkey") * 2).cast("string"), 19, "0"), 1, 18)
+            ),
+        )
+        .when(kind == 1, F.concat(F.lit("./s"), F.col("l_suppkey") * 2))
+        .when(kind == 2, F.concat(F.lit("ECONOMY.Brand#"), F.col("l_partkey") % 40))
+        .when(kind == 3, F.format_string("s%d:%d-%d", "l_suppkey", line, line + size - 1))
+        .when(kind == 4, F.when(line % 2 == 0, "merge_no_diff").otherwise("nothing"))
+        .otherwise(F.concat(supplier, F.lit(" -> s"), F.col("l_suppkey") % 50 + 1))
+    )
+    word = F.element_at(
+        F.array(*[F.lit(w) for w in ("commit", "file", "definition", "range", "absence", "cochange")]),
+        (kind + 1).cast("int"),
+    )
+    return (
+        table(spark, sf, "lineitem")
+        .select(
+            F.lit("orders").alias(REPO), key_text("l_orderkey").alias("memory_id"),
+            word.alias("kind"), ref.alias("ref"), line.alias("position"),
+        )
+        .groupBy(REPO, "memory_id", "kind", "ref")
+        .agg(F.min("position").alias("position"))
+    )
+
+
+def patch_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    section = F.explode(text.file_sections(F.col("patch"))).alias("section")
+    return (
+        patches(spark, sf)
+        .select(F.lit("orders").alias(REPO), key_text("l_orderkey").alias("commit_sha"), section)
+        .select(
+            REPO, "commit_sha",
+            text.new_side_path(F.col("section")).alias("path"),
+            F.explode(text.new_side_ranges(F.col("section"))).alias("_r"),
+        )
+        .where("path is not null")
+        .select(REPO, "commit_sha", "path", "_r.start", "_r.end")
+    )
