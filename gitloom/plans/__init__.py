@@ -1,4 +1,4 @@
-from gitloom.plans import history, memory, text  # noqa: F401
+from gitloom.plans import evidence, history, memory, text  # noqa: F401
 from gitloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -13,6 +13,9 @@ from gitloom.operators.lifecycle import REPO
 from gitloom.operators.sequence import Running, Sequence, ordered, positioned, running
 
 LARGE_COMMIT = 8
+FILE_EVENT = [
+    REPO, "life_id", "seq", "commit_sha", "committed_epoch", "path", "change_type", "added_lines", "deleted_lines",
+]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -328,11 +331,10 @@ def memory_citations(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def patch_ranges(spark: SparkSession, sf: str) -> DataFrame:
+def ranges_of(patched: DataFrame) -> DataFrame:
     section = F.explode(text.file_sections(F.col("patch"))).alias("section")
     return (
-        patches(spark, sf)
-        .select(F.lit("orders").alias(REPO), key_text("l_orderkey").alias("commit_sha"), section)
+        patched.select(F.lit("orders").alias(REPO), key_text("l_orderkey").alias("commit_sha"), section)
         .select(
             REPO, "commit_sha",
             text.new_side_path(F.col("section")).alias("path"),
@@ -341,3 +343,36 @@ def patch_ranges(spark: SparkSession, sf: str) -> DataFrame:
         .where("path is not null")
         .select(REPO, "commit_sha", "path", "_r.start", "_r.end")
     )
+
+
+def patch_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    return ranges_of(patches(spark, sf))
+
+
+# ------------------------------------------------------------------ units
+
+
+def yearly_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Every year of orders is one range of commits."""
+    walk = ordered(commits(spark, sf), ["committed_epoch", "sha"]).frame
+    return walk.select(
+        REPO,
+        F.substring("committed_at", 1, 4).alias("unit"),
+        F.col("sha").alias("commit_sha"),
+        F.col("seq").alias("ordinal"),
+    )
+
+
+def net_changes(changes: DataFrame) -> DataFrame:
+    """Endpoint rows for the touched paths, by the number of touches."""
+    n = F.col("touches")
+    return changes.where(n % 5 != 0).select(
+        REPO, "unit", "path",
+        F.when(F.col("first_change") == "A", "A").otherwise("M").alias("net_status"),
+        F.lit("b0").alias("old_blob"),
+        F.concat(F.lit("b"), n % 3).alias("new_blob"),
+    )
+
+
+def net_texts(changes: DataFrame) -> DataFrame:
+    return changes.where(F.col("added_lines") % 2 == 0).select(REPO, "unit", "path")
