@@ -35,6 +35,10 @@ class Sequence:
         """The same ordering over rows derived from these."""
         return replace(self, frame=frame)
 
+    def stored(self, name: str) -> "Sequence":
+        """The same rows as a table, for plans that read them more than once."""
+        return self.of(materialise(self.frame, name))
+
 
 def ordered(frame: DataFrame, by: list[str], *, ranges: int | None = None) -> Sequence:
     """Give every row its 1-based position ``seq`` in the total order *by*.
@@ -148,7 +152,7 @@ def running(
     """Add running values per *keys*, in sequence order."""
     order = order or [SEQ]
     frame = sequence.frame
-    if sequence.chunks == 1:
+    if sequence.chunks <= 1:
         window = Window.partitionBy(*keys).orderBy(*order)
         return frame.select("*", *[_over(i, window).alias(i.name) for i in items])
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gitloom.functions.text import enclosing_scope
 from gitloom.operators.lifecycle import DELETED, REPO, SEQ
-from gitloom.operators.sequence import Running, Sequence, ordered, running
+from gitloom.operators.sequence import ONE_TASK_ROWS, Running, Sequence, ordered, running
 from gitloom.session import materialise
 
 READ, FAILED, NOT_STORED, NOT_IN_TREE, FILE_END = (
@@ -75,9 +75,23 @@ def version_steps(lives: Sequence, versions: DataFrame) -> DataFrame:
     return materialise(steps, "steps")
 
 
-def occurrences(definitions: DataFrame, position: list[str], *, ranges: int | None = None) -> DataFrame:
-    """Number the definitions that share a kind and a name inside one version."""
+def occurrences(
+    definitions: DataFrame,
+    position: list[str],
+    *,
+    at_most: int | None = None,
+    ranges: int | None = None,
+) -> DataFrame:
+    """Number the definitions that share a kind and a name inside one version.
+
+    ``at_most`` is a bound on their number the caller can vouch for; left out,
+    they are counted. Few enough are numbered without being ordered first.
+    """
     name = [*VERSION, "kind", "qualname"]
+    rows = definitions.count() if at_most is None else at_most
+    if ranges is None and rows <= ONE_TASK_ROWS:
+        nth = F.row_number().over(Window.partitionBy(*name).orderBy(*position))
+        return definitions.withColumn("occurrence", (nth - 1).cast("long"))
     numbered = running(
         ordered(definitions, [*name, *position], ranges=ranges),
         name,
@@ -92,6 +106,7 @@ def definition_history(
     definitions: DataFrame,
     position: list[str] = ["position"],
     *,
+    at_most: int | None = None,
     ranges: int | None = None,
 ) -> DefinitionHistory:
     steps = version_steps(lives, versions)
@@ -102,7 +117,7 @@ def definition_history(
         *LIFE, "step", "commit_sha", "path", "previous_commit_sha"
     )
     held = materialise(
-        occurrences(definitions, position, ranges=ranges)
+        occurrences(definitions, position, at_most=at_most, ranges=ranges)
         .join(read, VERSION)
         .select(
             *LIFE, "step", *SLOT, "commit_sha", "path", "previous_commit_sha",

@@ -255,7 +255,8 @@ PRESENT = ["unit", "path", "qualname", "occurrence", "kind", "events", "size", "
 
 def _presence(spark, sf):
     found = st.definition_history(
-        a.version_sequence(spark, sf), a.file_versions(spark, sf), a.definition_rows(spark, sf), a.DEFINITION_ORDER
+        a.version_sequence(spark, sf), a.file_versions(spark, sf), a.definition_rows(spark, sf), a.DEFINITION_ORDER,
+        at_most=a.definition_bound(spark, sf),
     )
     return ev.definition_presence(found.events, a.yearly_members(spark, sf), found.steps)
 

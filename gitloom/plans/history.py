@@ -12,6 +12,7 @@ from gitloom.operators.lifecycle import SEQ
 from gitloom.operators.sequence import ordered
 from gitloom.plans import sqlviews as v
 from gitloom.plans.registry import ctes, query
+from gitloom.session import materialise
 from gitloom.sources import adapters as a
 
 # ------------------------------------------------------------------ commits
@@ -278,8 +279,8 @@ def _shown(partners):
     ctes(v.FILE_LIVES, v.STATISTICS, SIZES, _pairs_sql(BUSIEST, 100)) + PARTNERS + "WHERE shared_commits >= 2",
 )
 def cochange_busiest(spark, sf):
-    events = _order_lives(spark, sf).frame
-    stats = lc.file_statistics(events)
+    events = _order_lives(spark, sf).stored("lives").frame
+    stats = materialise(lc.file_statistics(events), "statistics")
     busiest = lc.hotspots(stats, include_deleted=True, limit=1)
     _, partners = cc.cochange(events, busiest, stats)
     return _shown(cc.strongest_first(partners))
@@ -294,8 +295,8 @@ CARRIES = f"SELECT DISTINCT life_id FROM ev WHERE path = '{ONE}'"
     ctes(v.FILE_LIVES, v.STATISTICS, SIZES, _pairs_sql(CARRIES, 8)) + PARTNERS + "WHERE shared_commits >= 3",
 )
 def cochange_one(spark, sf):
-    events = _order_lives(spark, sf).frame
-    stats = lc.file_statistics(events)
+    events = _order_lives(spark, sf).stored("lives").frame
+    stats = materialise(lc.file_statistics(events), "statistics")
     _, partners = cc.cochange(
         events, lc.lives_of_path(events, ONE), stats, large_commit_limit=a.LARGE_COMMIT, min_shared=3
     )
@@ -310,8 +311,8 @@ def cochange_one(spark, sf):
                      AND shared_commits < 3), 0) AS hidden_pairs FROM sample""",
 )
 def cochange_reports(spark, sf):
-    events = _order_lives(spark, sf).frame
-    stats = lc.file_statistics(events)
+    events = _order_lives(spark, sf).stored("lives").frame
+    stats = materialise(lc.file_statistics(events), "statistics")
     reports, _ = cc.cochange(
         events, lc.lives_of_path(events, ONE), stats, large_commit_limit=a.LARGE_COMMIT, min_shared=3
     )
@@ -327,6 +328,7 @@ def _definitions(spark, sf):
         a.file_versions(spark, sf),
         a.definition_rows(spark, sf),
         a.DEFINITION_ORDER,
+        at_most=a.definition_bound(spark, sf),
     )
 
 
@@ -349,7 +351,8 @@ def version_steps(spark, sf):
     + "SELECT commit_sha, kind, qualname, occurrence, lineno, fingerprint FROM occ",
 )
 def definition_occurrence(spark, sf):
-    return st.occurrences(a.definition_rows(spark, sf), a.DEFINITION_ORDER).select(
+    rows, bound = a.definition_rows(spark, sf), a.definition_bound(spark, sf)
+    return st.occurrences(rows, a.DEFINITION_ORDER, at_most=bound).select(
         "commit_sha", "kind", "qualname", "occurrence", "lineno", "fingerprint"
     )
 

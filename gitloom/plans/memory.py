@@ -210,7 +210,8 @@ SELECT c.memory_id, c.kind, c.ref, CASE WHEN CASE c.kind
 FROM citations c""",
 )
 def citation_resolution(spark, sf):
-    events = lc.lifecycle_events(a.order_sequence(spark, sf), renames=False).frame
+    lives = lc.lifecycle_events(a.order_sequence(spark, sf), renames=False)
+    events = lives.stored("lives").frame
     return m.resolve_citations(
         a.memory_citations(spark, sf),
         a.commits(spark, sf),

@@ -66,3 +66,12 @@ def materialise(frame: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/gitloom/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """Use every core for costly row work on an input that came in few pieces.
+
+    A large input already has more pieces than cores and is left alone.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame

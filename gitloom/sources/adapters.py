@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gitloom.functions import text
 from gitloom.operators.lifecycle import REPO
 from gitloom.operators.sequence import Running, Sequence, ordered, positioned, running
+from gitloom.session import spread
 
 LARGE_COMMIT = 8
 FILE_EVENT = [
@@ -171,6 +172,11 @@ def file_versions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def definition_bound(spark: SparkSession, sf: str) -> int:
+    """Parts and orders are joined by their keys, so lines bound the definitions."""
+    return table(spark, sf, "lineitem").count()
+
+
 def definition_rows(spark: SparkSession, sf: str) -> DataFrame:
     """A line is a definition; the part names it."""
     lines = table(spark, sf, "lineitem").select(
@@ -208,20 +214,22 @@ def definition_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def patches(spark: SparkSession, sf: str) -> DataFrame:
     """Each line as a patch of three files: two hunks, a deletion, a pure rename."""
-    patch = F.format_string(
-        "diff --git a/s%1$d b/s%1$d\nindex 1..2 100644\n--- a/s%1$d\n+++ b/s%1$d\n"
-        "@@ -%2$d,%3$d +%2$d,%3$d @@ def f\n+@@ -1 +1 @@\n@@ -%4$d +%4$d @@\n-++ b/x\n"
-        "@@ -%4$d,2 +%4$d,0 @@\n-gone\n"
-        "diff --git a/p%5$d b/p%5$d\ndeleted file mode 100644\n--- a/p%5$d\n+++ /dev/null\n"
-        "@@ -1,2 +0,0 @@\n-x\n"
-        "diff --git a/old%5$d b/new%5$d\nsimilarity index 100%%\nrename from old%5$d\nrename to new%5$d\n",
-        "l_suppkey",
-        "l_linenumber",
-        F.col("l_quantity").cast("int"),
-        (F.col("l_linenumber") + F.col("l_quantity").cast("int") + 10),
-        "l_partkey",
+    s, p = F.concat(F.lit("s"), F.col("l_suppkey")), F.col("l_partkey").cast("string")
+    line, size = F.col("l_linenumber"), F.col("l_quantity").cast("int")
+    low = (line + size + 10).cast("string")
+    patch = F.concat_ws(
+        "",
+        F.lit("diff --git a/"), s, F.lit(" b/"), s,
+        F.lit("\nindex 1..2 100644\n--- a/"), s, F.lit("\n+++ b/"), s,
+        F.lit("\n@@ -"), line, F.lit(","), size, F.lit(" +"), line, F.lit(","), size,
+        F.lit(" @@ def f\n+@@ -1 +1 @@\n@@ -"), low, F.lit(" +"), low, F.lit(" @@\n-++ b/x\n@@ -"),
+        low, F.lit(",2 +"), low, F.lit(",0 @@\n-gone\ndiff --git a/p"), p, F.lit(" b/p"), p,
+        F.lit("\ndeleted file mode 100644\n--- a/p"), p,
+        F.lit("\n+++ /dev/null\n@@ -1,2 +0,0 @@\n-x\ndiff --git a/old"), p, F.lit(" b/new"), p,
+        F.lit("\nsimilarity index 100%\nrename from old"), p, F.lit("\nrename to new"), p, F.lit("\n"),
     )
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", patch.alias("patch"))
+    lines = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"))
+    return lines.select("l_orderkey", "l_partkey", "l_suppkey", patch.alias("patch"))
 
 
 # ------------------------------------------------------------------ memories
