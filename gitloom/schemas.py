@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 COMMITS = (
     "repo_id string, sha string, author_name string, author_email string,"
-    " authored_at string, committed_at string, committed_epoch bigint, message string"
+    " authored_at string, committed_at string, committed_epoch bigint, message string, ordinal bigint"
 )
 COMMIT_PARENTS = "repo_id string, commit_sha string, position int, parent_sha string"
 COMMIT_FILES = (
     "repo_id string, commit_sha string, path string, old_path string, change_type string,"
-    " added_lines bigint, deleted_lines bigint, similarity int"
+    " added_lines bigint, deleted_lines bigint, similarity int, mode string, blob_sha string"
 )
 FILE_VERSIONS = (
     "repo_id string, commit_sha string, path string, content_sha string,"
