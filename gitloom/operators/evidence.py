@@ -36,6 +36,8 @@ BINARY_NO_TEXT = "binary_no_text"
 PARSE_FAILED = "parse_failed"
 NO_VERSION_STORED = "no_version_stored"
 NOT_IN_THIS_COMMIT = "not_in_this_commit"
+NOT_STORED = "no version was stored for this commit"
+NOT_IN_TREE = "the file was not in this commit"
 NOT_ANALYZED = "not_analyzed"
 GONE_WITHIN_RANGE = "gone_within_range"
 NET_UNCHANGED = "net_unchanged"
@@ -156,7 +158,7 @@ def unread_versions(members: DataFrame, steps: DataFrame) -> DataFrame:
         .when(F.col("state") == "parse_failed", PARSE_FAILED)
         .otherwise(NOT_IN_THIS_COMMIT)
     )
-    detail = F.coalesce("parse_error", "state")
+    detail = F.coalesce("parse_error", F.when(F.col("state") == "not_stored", NOT_STORED).otherwise(NOT_IN_TREE))
     return _absent(unread.join(members, [REPO, "commit_sha"]), kind, F.col("path"), detail)
 
 

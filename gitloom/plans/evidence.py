@@ -118,7 +118,9 @@ absent AS (
   UNION ALL
   SELECT unit, CASE state WHEN 'not_stored' THEN 'no_version_stored' WHEN 'parse_failed' THEN state
                           ELSE 'not_in_this_commit' END, path,
-         CASE state WHEN 'parse_failed' THEN 'SyntaxError: invalid syntax' ELSE state END
+         CASE state WHEN 'parse_failed' THEN 'SyntaxError: invalid syntax'
+                    WHEN 'not_stored' THEN 'no version was stored for this commit'
+                    ELSE 'the file was not in this commit' END
   FROM steps JOIN members USING (commit_sha) WHERE state <> 'read')"""
 ABSENT = ctes(
     v.COMMITS, v.PARENTS, "merges AS (SELECT commit_sha FROM parents GROUP BY 1 HAVING count(*) > 1)",

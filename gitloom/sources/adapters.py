@@ -384,3 +384,49 @@ def net_changes(changes: DataFrame) -> DataFrame:
 
 def net_texts(changes: DataFrame) -> DataFrame:
     return changes.where(F.col("added_lines") % 2 == 0).select(REPO, "unit", "path")
+
+
+# ------------------------------------------------------------------ model answers
+
+
+def answers(spark: SparkSession, sf: str) -> DataFrame:
+    """A line as an answer about its order; the part decides what is wrong with it."""
+    key = F.concat_ws("-", key_text("l_orderkey"), "l_partkey", "l_suppkey", "l_linenumber")
+    rows = (
+        table(spark, sf, "lineitem")
+        .groupBy(key.alias("answer_id"))
+        .agg(F.max("l_quantity").cast("int").alias("q"), F.max("l_partkey").alias("p"), F.max("l_suppkey").alias("s"), F.max("l_orderkey").alias("o"))
+    )
+    fault = F.col("p") % 9
+    supplier = F.concat(F.lit("s"), F.when(F.col("q") % 2 == 0, F.col("s") + 1).otherwise(F.col("s")))
+    extra = F.when(fault == 1, '"confidence":1,').otherwise("")
+    odd = F.when(fault == 2, ',"why":"x"').otherwise("")
+    kind = F.when(fault == 3, "hunch").otherwise("file")
+    cites = F.when(fault == 4, "").otherwise('"e1","e2"')
+    name = F.when(fault == 5, "oc9").otherwise("oc1")
+    said = F.when(fault == 6, "Because X, it moved").otherwise("It moved")
+    body = F.concat_ws(
+        "",
+        F.lit("{"), extra, F.lit('"summary":"'), said, F.lit(" ["), name,
+        F.lit(']","observed_changes":[{"id":"oc1","statement":"moved","evidence":['), cites,
+        F.lit(']}],"evidence":[{"id":"e1","kind":"'), kind, F.lit('","ref":"'), supplier, F.lit('"'), odd,
+        F.lit('},{"id":"e2","kind":"commit","ref":"'), F.substring(key_text("o"), 1, 12 + 7),
+        F.lit('"}],"possible_reasons":[{"statement":"because x","based_on":["oc1"]}],'
+              '"uncertainty":[{"kind":"parse_failed"}],"related_memory":[{"memory_id":"m'),
+        F.col("s") % 4, F.lit('","note":"n"}]}'),
+    )
+    fenced = F.concat(F.lit("```json\n"), body, F.lit("\n```"))
+    text_ = F.when(fault == 0, "no answer").when(F.col("q") % 3 == 0, fenced).otherwise(body)
+    return rows.select("answer_id", "p", "q", "s", "o", text_.alias("text"))
+
+
+def answer_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    rows = answers(spark, sf)
+    files = rows.select("answer_id", F.lit("file").alias("kind"), F.concat(F.lit("s"), "s").alias("ref"))
+    return files.unionByName(rows.select("answer_id", F.lit("commit").alias("kind"), key_text("o").alias("ref")))
+
+
+def answer_memories(spark: SparkSession, sf: str) -> DataFrame:
+    """Every answer was shown three of the four memories."""
+    shown = F.explode(F.array(F.lit("m1"), F.lit("m2"), F.lit("m3"))).alias("memory_id")
+    return answers(spark, sf).select("answer_id", shown)
