@@ -147,3 +147,140 @@ def never_ending_chains(links: DataFrame) -> DataFrame:
         if reach.limit(1).count() == 0:
             break
     return reach.select(F.col("child").alias("memory_id"))
+
+
+# ------------------------------------------------------------------ reading a file
+
+# The keys of the two kinds of line.
+VERSION_KEY = "memory_export_version"
+HEADER_KEYS = [VERSION_KEY, "repository", "count", "exported_at"]
+ROW_KEYS = [
+    "memory_id", "repository", "statement", "author", "admitted_at", "state", "subject", "since", "ended_at",
+    "end_reason", "superseded_by", "citations",
+]
+ROW = (
+    "struct<memory_id:string,repository:string,statement:string,author:struct<name:string,email:string>,"
+    "admitted_at:string,state:string,subject:struct<kind:string,path:string,qualname:string,commit:string>,"
+    "since:struct<commit:string,date:string>,ended_at:string,end_reason:string,superseded_by:string,"
+    "citations:array<struct<kind:string,ref:string>>>"
+)
+UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+MOMENT = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{6})?[+-]\d\d:\d\d$"
+DAY = r"^\d{4}-\d\d-\d\d$"
+
+
+def header_line(repository: str, count: int, exported_at: str) -> str:
+    import json
+
+    fields = (FORMAT_VERSION, repository, count, exported_at)
+    return json.dumps(dict(zip(HEADER_KEYS, fields)), ensure_ascii=False)
+
+
+def read_document(spark, path: str) -> DataFrame:
+    """(line_no, line, keys, row, is_header): the lines in their order in the file."""
+    lines = spark.read.text(path).select(
+        "*", F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line")
+    )
+    keys = F.json_object_keys("line")
+    return materialise(
+        lines.select("line_no", "line", keys.alias("keys"), F.from_json("line", ROW).alias("row")).withColumn(
+            "is_header", F.array_contains(F.coalesce("keys", F.array().cast("array<string>")), VERSION_KEY)
+        ),
+        "document",
+    )
+
+
+def header_of(document: DataFrame) -> dict:
+    import json
+
+    return json.loads(document.where("is_header").orderBy("line_no").first()["line"])
+
+
+def _line_rules() -> list[tuple[str, Column]]:
+    """(what is wrong, the test that finds it), in the order they are named."""
+    row = F.col("row")
+    strangers = F.size(F.array_except("keys", F.array(*map(F.lit, ROW_KEYS))))
+    missing = F.size(F.array_except(F.array(*map(F.lit, ROW_KEYS)), "keys"))
+    state, kind = row["state"], row["subject"]["kind"]
+    no = lambda c: c.isNull()
+    real_day = F.date_format(F.try_to_date(row["since"]["date"], "yyyy-MM-dd"), "yyyy-MM-dd") == row["since"]["date"]
+    cites = row["citations"]
+    pairs = F.transform(cites, lambda c: F.concat_ws("\0", c["kind"], c["ref"]))
+    kinds = ("commit", "file", "definition", "range", "cochange", "absence")
+    return [
+        ("the line is blank or not a JSON object", no(F.col("keys"))),
+        ("the line has a key the format does not have", strangers > 0),
+        ("the line lacks a key", missing > 0),
+        ("the line does not read as a memory", no(row)),
+        ("the id is not a canonical uuid", ~row["memory_id"].rlike(UUID)),
+        ("the statement is empty or over 4000 characters", ~F.length(F.trim(row["statement"])).between(1, 4000)),
+        ("the moment has no offset or is not one", ~row["admitted_at"].rlike(MOMENT)),
+        ("the state is unknown", ~state.isin("active", "superseded", "invalidated")),
+        ("the subject is unknown", ~kind.isin("repository", "path", "definition", "commit")),
+        ("the subject has no path", kind.isin("path", "definition") & no(row["subject"]["path"])),
+        ("the subject has no name", (kind == "definition") & no(row["subject"]["qualname"])),
+        ("the subject has no commit", (kind == "commit") & no(row["subject"]["commit"])),
+        ("two kinds of since", row["since"]["commit"].isNotNull() & row["since"]["date"].isNotNull()),
+        ("since is not a day", row["since"]["date"].isNotNull() & (~row["since"]["date"].rlike(DAY) | ~F.coalesce(real_day, F.lit(False)))),
+        ("an ended memory says when, an active one does not", (state == "active") != no(row["ended_at"])),
+        ("the end is not a moment", row["ended_at"].isNotNull() & ~row["ended_at"].rlike(MOMENT)),
+        ("a superseded memory names its successor, another does not", (state == "superseded") != row["superseded_by"].isNotNull()),
+        ("an invalidated memory gives its reason, another does not", (state == "invalidated") != row["end_reason"].isNotNull()),
+        ("a citation kind is unknown", F.exists(cites, lambda c: ~c["kind"].isin(*kinds) | no(c["ref"]))),
+        ("a citation is given twice", F.size(F.array_distinct(pairs)) != F.size(pairs)),
+    ]
+
+
+def first_violation(document: DataFrame):
+    """The first line that breaks a rule, or None. One bad line refuses the file."""
+    rule = F.lit(None).cast("string")
+    for name, test in reversed(_line_rules()):
+        rule = F.when(F.coalesce(test, F.lit(True)) if name.startswith("the ") else F.coalesce(test, F.lit(False)), name).otherwise(rule)
+    wrong = document.where(~F.col("is_header")).select("line_no", rule.alias("rule")).where("rule is not null")
+    found = wrong.orderBy("line_no").first()
+    if found:
+        return found
+    counts = document.agg(
+        F.count(F.when(F.col("is_header"), 1)).alias("headers"),
+        F.count(F.when(~F.col("is_header"), 1)).alias("rows"),
+        F.min("line_no").alias("first"),
+    ).first()
+    if counts["headers"] != 1:
+        return {"line_no": 0, "rule": "the file has no header, or more than one"}
+    if header_of(document)["count"] != counts["rows"]:
+        return {"line_no": 0, "rule": "the header counts other than the lines there are"}
+    twice = (
+        document.where(~F.col("is_header"))
+        .groupBy("row.memory_id")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("line_no").alias("line_no"))
+        .where("n > 1")
+        .orderBy("line_no")
+        .first()
+    )
+    return {"line_no": twice["line_no"], "rule": "the id is there twice"} if twice else None
+
+
+def memory_rows(document: DataFrame) -> DataFrame:
+    """The document's memories as rows of the store, with their ``citations``."""
+    row = F.col("row")
+    seconds = lambda c: F.unix_timestamp(F.to_timestamp(c))
+    return document.where(~F.col("is_header")).select(
+        row["memory_id"].alias("memory_id"),
+        row["statement"].alias("statement"),
+        row["author"]["name"].alias("author_name"),
+        row["author"]["email"].alias("author_email"),
+        row["admitted_at"].alias("admitted_at"),
+        seconds(row["admitted_at"]).alias("admitted_epoch"),
+        row["subject"]["kind"].alias("subject_kind"),
+        row["subject"]["path"].alias("subject_path"),
+        row["subject"]["qualname"].alias("subject_qualname"),
+        row["subject"]["commit"].alias("subject_commit_sha"),
+        row["since"]["commit"].alias("since_commit_sha"),
+        row["since"]["date"].alias("since_date"),
+        row["state"].alias("state"),
+        row["ended_at"].alias("ended_at"),
+        seconds(row["ended_at"]).alias("ended_epoch"),
+        row["end_reason"].alias("end_reason"),
+        row["superseded_by"].alias("superseded_by"),
+        row["citations"].alias("citations"),
+    )

@@ -191,20 +191,29 @@ def is_binary() -> Column:
 
 
 def file_statistics(events: DataFrame) -> DataFrame:
-    """One row per life. Every aggregate combines before the shuffle."""
+    """One row per life. Every aggregate combines before the shuffle.
+
+    Events that carry ``committed_at`` also give the moments as text.
+    """
     changed = content_changed()
     at = F.col(SEQ)
+    stamps = {"epoch": "committed_epoch", "sha": "commit_sha"}
+    if "committed_at" in events.columns:
+        stamps["at"] = "committed_at"
+    stamp = F.struct(*stamps.values())
     n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+
+    def moment(name: str, held: str, only: Column | None = None) -> list[Column]:
+        values = {k: F.col(f"{held}.{c}") for k, c in stamps.items()}
+        return [(v if only is None else F.when(only, v)).alias(f"{name}_{k}") for k, v in values.items()]
+
+    deleted = F.col("_last.change_type") == DELETED
     return (
         events.groupBy(REPO, "life_id")
         .agg(
-            F.min_by(F.struct("committed_epoch", "commit_sha"), at).alias("_first"),
-            F.max_by(
-                F.struct("committed_epoch", "commit_sha", "change_type", "path"), at
-            ).alias("_last"),
-            F.max_by(
-                F.struct("committed_epoch", "commit_sha"), F.when(changed, at)
-            ).alias("_edit"),
+            F.min_by(stamp, at).alias("_first"),
+            F.max_by(F.struct(*stamps.values(), "change_type", "path"), at).alias("_last"),
+            F.max_by(stamp, F.when(changed, at)).alias("_edit"),
             F.count(F.lit(1)).alias("commits"),
             n(changed).alias("modifications"),
             n(F.col("change_type") == RENAMED).alias("renames"),
@@ -216,10 +225,8 @@ def file_statistics(events: DataFrame) -> DataFrame:
             REPO,
             "life_id",
             F.col("_last.path").alias("current_path"),
-            F.col("_first.committed_epoch").alias("created_epoch"),
-            F.col("_first.commit_sha").alias("created_sha"),
-            F.col("_edit.committed_epoch").alias("last_modified_epoch"),
-            F.col("_edit.commit_sha").alias("last_modified_sha"),
+            *moment("created", "_first"),
+            *moment("last_modified", "_edit"),
             "commits",
             "modifications",
             "renames",
@@ -228,13 +235,8 @@ def file_statistics(events: DataFrame) -> DataFrame:
             (F.col("additions") - F.col("deletions")).alias("net_change"),
             (F.col("additions") + F.col("deletions")).alias("churn"),
             "binary_changes",
-            (F.col("_last.change_type") == DELETED).alias("is_deleted"),
-            F.when(F.col("_last.change_type") == DELETED, F.col("_last.commit_sha")).alias(
-                "deleted_sha"
-            ),
-            F.when(F.col("_last.change_type") == DELETED, F.col("_last.committed_epoch")).alias(
-                "deleted_epoch"
-            ),
+            deleted.alias("is_deleted"),
+            *moment("deleted", "_last", deleted),
         )
     )
 

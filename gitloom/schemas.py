@@ -30,7 +30,7 @@ MEMORIES = (
     " author_email string, admitted_at string, admitted_epoch bigint, subject_kind string,"
     " subject_path string, subject_qualname string, subject_commit_sha string,"
     " since_commit_sha string, since_date string, state string, ended_at string,"
-    " ended_epoch bigint, end_reason string, superseded_by string"
+    " ended_epoch bigint, end_reason string, superseded_by string, act_no bigint"
 )
 MEMORY_CITATIONS = "memory_id string, position int, kind string, ref string"
 EXPLAIN_RUNS = (
@@ -65,7 +65,7 @@ KEYS = {
     "commit_files": ["repo_id", "commit_sha", "path"],
     "file_versions": ["repo_id", "commit_sha", "path"],
     "definition_versions": ["repo_id", "commit_sha", "path", "position"],
-    "memories": ["memory_id"],
+    "memories": ["memory_id", "act_no"],
     "memory_citations": ["memory_id", "kind", "ref"],
 }
 

@@ -11,7 +11,7 @@ import subprocess
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gitloom.functions.pysource import DEFINITIONS, PRODUCER, read_definitions
@@ -218,14 +218,19 @@ def _log_entries(item: dict) -> Iterator[dict]:
             }
 
 
+def _offset(column: str) -> Column:
+    """git writes Z for an offset of zero; keep one spelling."""
+    return F.regexp_replace(column, "Z$", "+00:00").alias(column)
+
+
 def read_history(repos: DataFrame, revision: str = "HEAD", size: int = SLICE) -> dict[str, DataFrame]:
     """commits (with ``ordinal``, newest first), commit_parents and commit_files."""
     entries = materialise(_mapped(history_slices(repos, revision, size), _log_entries, ENTRY), "log")
     commits = entries.where("section = 'commit'")
     return {
         "commits": commits.select(
-            REPO, "sha", "author_name", "author_email", "authored_at", "committed_at", "committed_epoch",
-            "message", "ordinal",
+            REPO, "sha", "author_name", "author_email", *[_offset(c) for c in ("authored_at", "committed_at")],
+            "committed_epoch", "message", "ordinal",
         ),
         "commit_parents": commits.where("parents <> ''").select(
             REPO,
