@@ -139,6 +139,10 @@ def section_path(section: Column) -> Column:
     )
 
 
+def is_binary_section(section: Column) -> Column:
+    return _header(section).rlike(r"(?md)^(Binary files .* differ|GIT binary patch)$")
+
+
 def new_side_path(section: Column) -> Column:
     """The name the section's ranges go under; NULL where the file is gone."""
     header = _header(section)

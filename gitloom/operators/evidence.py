@@ -38,9 +38,16 @@ NO_VERSION_STORED = "no_version_stored"
 NOT_IN_THIS_COMMIT = "not_in_this_commit"
 NOT_STORED = "no version was stored for this commit"
 NOT_IN_TREE = "the file was not in this commit"
+NO_ROW = "the analysis holds no row for "
+NO_MERGE_DIFF = "git prints no diff for the merge "
 NOT_ANALYZED = "not_analyzed"
 GONE_WITHIN_RANGE = "gone_within_range"
 NET_UNCHANGED = "net_unchanged"
+WHY = {
+    GONE_WITHIN_RANGE: "created inside the range and deleted before the tip",
+    NET_UNCHANGED: "touched inside the range, and the endpoints hold one content",
+    BINARY_NO_TEXT: "the endpoint blobs are binary, so git prints no diff text",
+}
 
 def _n(condition: Column) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0)).cast("long")
@@ -150,6 +157,10 @@ def commit_absences(members: DataFrame, merges: DataFrame, files: DataFrame, ste
     )
 
 
+def _why(kind: Column) -> Column:
+    return F.create_map(*[F.lit(v) for pair in WHY.items() for v in pair])[kind]
+
+
 def unread_versions(members: DataFrame, steps: DataFrame) -> DataFrame:
     """Python versions inside a unit that nobody could read, the file's end included."""
     unread = steps.where((F.col("state") != "read") & F.col("path").endswith(".py"))
@@ -182,10 +193,10 @@ def range_absences(
     return reduce(
         DataFrame.unionByName,
         [
-            _absent(missing, NOT_ANALYZED, None, F.col("commit_sha")),
-            _absent(merged, MERGE_NO_DIFF, None, F.col("commit_sha")),
+            _absent(missing, NOT_ANALYZED, None, F.concat(F.lit(NO_ROW), "commit_sha")),
+            _absent(merged, MERGE_NO_DIFF, None, F.concat(F.lit(NO_MERGE_DIFF), "commit_sha")),
             unread_versions(members, steps),
-            _absent(paths, F.col("_kind"), F.col("path"), F.col("_kind")),
+            _absent(paths, F.col("_kind"), F.col("path"), _why(F.col("_kind"))),
         ],
     )
 

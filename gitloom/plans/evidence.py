@@ -110,10 +110,15 @@ partition_ AS (
       WHEN net_status IS NULL OR new_blob = 'b0' THEN 'net_unchanged'
       WHEN NOT has_text THEN 'binary_no_text' END AS kind FROM net),
 absent AS (
-  SELECT unit, kind, path, kind AS detail FROM partition_ WHERE kind IS NOT NULL
+  SELECT unit, kind, path, CASE kind
+      WHEN 'gone_within_range' THEN 'created inside the range and deleted before the tip'
+      WHEN 'net_unchanged' THEN 'touched inside the range, and the endpoints hold one content'
+      ELSE 'the endpoint blobs are binary, so git prints no diff text' END AS detail
+  FROM partition_ WHERE kind IS NOT NULL
   UNION ALL
   SELECT unit, CASE WHEN status = 'F' AND message = '2-HIGH' THEN 'not_analyzed' ELSE 'merge_no_diff' END,
-         NULL, m.commit_sha FROM members m JOIN commits ON sha = m.commit_sha
+         NULL, CASE WHEN status = 'F' AND message = '2-HIGH' THEN 'the analysis holds no row for '
+                    ELSE 'git prints no diff for the merge ' END || m.commit_sha FROM members m JOIN commits ON sha = m.commit_sha
   WHERE (status = 'F' AND message = '2-HIGH') OR sha IN (SELECT commit_sha FROM merges)
   UNION ALL
   SELECT unit, CASE state WHEN 'not_stored' THEN 'no_version_stored' WHEN 'parse_failed' THEN state
