@@ -22,7 +22,7 @@ from gitloom.operators import structure as st
 from gitloom.operators import sync
 from gitloom.operators.documents import newest_runs
 from gitloom.operators.lifecycle import REPO, SEQ
-from gitloom.session import local_session, materialise
+from gitloom.session import local_session, materialise, release
 from gitloom.sources import git
 from gitloom.sources.store import Store, StoreError, store_path
 
@@ -551,6 +551,7 @@ def main(argv: list[str] | None = None) -> int:
         print(f"Error: {error}", file=sys.stderr)
         return 1
     finally:
+        release(spark)
         spark.stop()
     print(json.dumps(answer, indent=2, ensure_ascii=False))
     return 0

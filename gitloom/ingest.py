@@ -8,38 +8,50 @@ from pyspark.sql import functions as F
 from gitloom.functions.pysource import PRODUCER
 from gitloom.operators import sync
 from gitloom.operators.history import repository_totals
+from gitloom.schemas import KEYS
 from gitloom.operators.lifecycle import REPO
 from gitloom.session import materialise
 from gitloom.sources import git
 from gitloom.sources.store import SCHEMA_VERSION, Store
 
 
+HEAD_KEY = "head_sha:"
+
+
 def analyze(spark: SparkSession, store: Store, roots: dict[str, str]) -> DataFrame:
     """Make the stored history of *roots* exactly what git holds. Returns the totals.
 
-    Rows of commits that are gone go with them; definitions of the others stay.
+    A repository whose stored head is still in its history is read from there and
+    its new commits are appended. Another is read whole and replaced: rows of
+    commits that are gone go with them, definitions of the others stay.
     """
     repos = git.repositories(spark, roots)
-    incoming = git.read_history(repos)
-    commits = materialise(incoming["commits"], "incoming")
-    stored = store.read("commits")
-    moved = (
-        sync.new_commits(stored, commits).select(REPO, "sha")
-        .unionByName(sync.gone_commits(stored, commits))
-        .limit(1)
-        .count()
+    heads = store.read("meta").where(F.col("key").startswith(HEAD_KEY)).select(
+        F.expr(f"substring(key, {len(HEAD_KEY) + 1})").alias(REPO), F.col("value").alias("since")
     )
-    if moved:
-        for table in ("file_versions", "definition_versions"):
-            mine = store.read(table).join(repos, REPO, "left_semi")
-            kept = materialise(sync.surviving(mine, commits), table)
-            store.replace_repositories(table, kept, repos)
-        store.replace_repositories("commits", commits, repos)
-        store.replace_repositories("commit_parents", incoming["commit_parents"], repos)
-        store.replace_repositories("commit_files", incoming["commit_files"], repos)
-    heads = {f"head_sha:{repo}": git.head_sha(root) for repo, root in roots.items()}
+    current = store.meta("schema_version") == SCHEMA_VERSION
+    came = git.read_history(repos.join(heads, REPO, "left") if current else repos)
+    came = {name: materialise(frame, f"came-{name}") for name, frame in came.items()}
+    whole = came["read"].where("whole").select(REPO)
+    if whole.limit(1).count():
+        commits = came["commits"].join(whole, REPO, "left_semi")
+        if sync.gone_commits(store.read("commits"), commits).limit(1).count():
+            for table in ("file_versions", "definition_versions"):
+                mine = store.read(table).join(whole, REPO, "left_semi")
+                kept = materialise(sync.surviving(mine, commits), table)
+                store.replace_repositories(table, kept, whole)
+        for table in ("commits", "commit_parents", "commit_files"):
+            store.replace_repositories(table, came[table].join(whole, REPO, "left_semi"), whole)
+    grown = came["read"].where("not whole and n > 0").select(REPO)
+    if grown.limit(1).count():
+        for table in ("commit_parents", "commit_files", "commits"):
+            # An append that stopped half way is finished, not repeated.
+            new = came[table].join(grown, REPO, "left_semi")
+            held = store.read(table).join(grown, REPO, "left_semi").select(*KEYS[table])
+            store.append(table, materialise(new.join(held, KEYS[table], "left_anti"), f"new-{table}"))
     first = next(iter(roots.values()))
-    store.set_meta({"schema_version": SCHEMA_VERSION, "repository_root": first, **heads})
+    tips = came["read"].select(F.concat(F.lit(HEAD_KEY), REPO).alias("key"), F.col("tip").alias("value"))
+    store.set_meta({"schema_version": SCHEMA_VERSION, "repository_root": first}, tips)
     return repository_totals(store.read("commits"), store.read("commit_files"))
 
 

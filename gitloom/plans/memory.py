@@ -10,6 +10,7 @@ from gitloom.operators import memory as m
 from gitloom.operators.lifecycle import REPO
 from gitloom.plans import sqlviews as v
 from gitloom.plans.registry import ctes, query
+from gitloom.session import materialise
 from gitloom.sources import adapters as a
 
 
@@ -110,7 +111,7 @@ ranked AS (
 
 
 def _unit(spark, sf):
-    files = a.commit_files(spark, sf)
+    files = materialise(a.commit_files(spark, sf).select("commit_sha", "committed_epoch", "path"), "files")
     widest = (
         files.groupBy("commit_sha", "committed_epoch")
         .agg(F.count(F.lit(1)).alias("n"))

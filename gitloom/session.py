@@ -55,6 +55,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/gitloom/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Drop the tables this application wrote on the way. Frames built on them end here."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(frame: DataFrame, name: str) -> DataFrame:
     """Write *frame* as a table in the shared folder and read it back.
 
@@ -63,7 +73,7 @@ def materialise(frame: DataFrame, name: str) -> DataFrame:
     column pruning. It also fixes values that depend on physical placement.
     """
     spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/gitloom/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 

@@ -150,23 +150,44 @@ def repositories(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
 def history_slices(repos: DataFrame, revision: str = "HEAD", size: int = SLICE) -> DataFrame:
     """Each history in slices of *size* commits, counted by the tasks themselves.
 
-    *revision* may be a range. The tip is pinned, so the slices of one read fit
+    *revision* may be a range. Repositories that carry ``since`` (a commit already
+    held) are read from there, unless a rewrite took it out of the history;
+    ``whole`` says which it was. The tip is pinned, so the slices of one read fit
     together even when somebody commits meanwhile.
     """
+    if "since" not in repos.columns:
+        repos = repos.withColumn("since", F.lit(None).cast("string"))
 
     def probe(item: dict) -> Iterator[dict]:
-        root = item["root"]
+        root, since = item["root"], item["since"]
         if ".." in revision:
-            pinned = "..".join(resolve_range(root, revision))
+            tip, whole = None, True
+            wanted = "..".join(resolve_range(root, revision))
         else:
-            pinned = resolve(root, revision)
-        n = int(git(root, "rev-list", "--count", pinned))
-        yield {**item, "revision": pinned, "n": n}
+            tip = wanted = resolve(root, revision)
+            whole = since is None or not _is_ancestor(root, since, tip)
+            if not whole:
+                wanted = f"{since}..{tip}"
+        n = int(git(root, "rev-list", "--count", wanted))
+        yield {**item, "revision": wanted, "tip": tip, "whole": whole, "n": n}
+
+    schema = f"{REPO} string, root string, revision string, tip string, whole boolean, n bigint"
+    found = materialise(_mapped(repos, probe, schema), "probed")
+    last = F.greatest(F.floor((F.col("n") - 1) / size), F.lit(0))
+    cut = found.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k"))
+    return (
+        cut.withColumn("skip", F.col("k") * size)
+        .withColumn("take", F.lit(size))
+        .repartition(_pieces(repos), REPO, "k")
+    )
 
-    found = _mapped(repos, probe, f"{REPO} string, root string, revision string, n bigint").where("n > 0")
-    steps = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / size))
-    cut = found.select("*", F.explode(steps).alias("k")).withColumn("skip", F.col("k") * size)
-    return cut.withColumn("take", F.lit(size)).repartition(_pieces(repos), REPO, "k")
+
+def _is_ancestor(root: str, older: str, newer: str) -> bool:
+    try:
+        git(root, "merge-base", "--is-ancestor", older, newer)
+    except GitError:
+        return False
+    return True
 
 
 ENTRY = (
@@ -179,6 +200,8 @@ ENTRY = (
 
 def _log_entries(item: dict) -> Iterator[dict]:
     """The commits, changed files and line counts of one slice, one row each."""
+    if not item["n"]:
+        return
     arguments = [
         "log", "--raw", "--numstat", "-M", "-z", "--no-abbrev", "--topo-order", f"--format={HEADER}",
         f"--skip={item['skip']}", f"--max-count={item['take']}", item["revision"],
@@ -224,10 +247,13 @@ def _offset(column: str) -> Column:
 
 
 def read_history(repos: DataFrame, revision: str = "HEAD", size: int = SLICE) -> dict[str, DataFrame]:
-    """commits (with ``ordinal``, newest first), commit_parents and commit_files."""
-    entries = materialise(_mapped(history_slices(repos, revision, size), _log_entries, ENTRY), "log")
+    """commits (with ``ordinal``, newest first), commit_parents, commit_files, and
+    ``read``: the tip of each repository and whether its whole history came."""
+    slices = history_slices(repos, revision, size)
+    entries = materialise(_mapped(slices, _log_entries, ENTRY), "log")
     commits = entries.where("section = 'commit'")
     return {
+        "read": slices.where("k = 0").select(REPO, "tip", "whole", "n"),
         "commits": commits.select(
             REPO, "sha", "author_name", "author_email", *[_offset(c) for c in ("authored_at", "committed_at")],
             "committed_epoch", "message", "ordinal",

@@ -73,7 +73,8 @@ class Store:
         )
 
     def append(self, table: str, frame: DataFrame) -> None:
-        self._shaped(table, frame).write.mode("append").parquet(self._path(table))
+        writer = self._shaped(table, frame).write.mode("append")
+        (writer.partitionBy(REPO) if table in HISTORY else writer).parquet(self._path(table))
 
     def replace(self, table: str, frame: DataFrame) -> None:
         """Write a table whole; what is read for it is fixed first."""
@@ -86,8 +87,10 @@ class Store:
         row = self.read("meta").where(F.col("key") == key).select("value").first()
         return row[0] if row else None
 
-    def set_meta(self, values: dict[str, str]) -> None:
+    def set_meta(self, values: dict[str, str], more: DataFrame | None = None) -> None:
         new = self.spark.createDataFrame(list(values.items()), schemas.META)
+        if more is not None:
+            new = materialise(new.unionByName(more.select("key", "value")), "meta")
         kept = self.read("meta").join(new.select("key"), "key", "left_anti")
         self.replace("meta", kept.unionByName(new))
 

@@ -4,7 +4,7 @@ import sys
 import time
 
 import __spark_entry__ as entry
-from gitloom.session import local_session
+from gitloom.session import local_session, release
 from tests.oracle import compare, duck
 
 
@@ -29,6 +29,7 @@ def main():
             answer = f"FAILED {type(error).__name__}: {str(error)[:600]}"
         bad += not answer.startswith("ok")
         print(f"{time.time() - start:6.2f}s {name}: {answer}", flush=True)
+    release(spark)
     print("all equal" if not bad else f"{bad} differ")
 
 

@@ -1,11 +1,12 @@
 import pytest
 
-from gitloom.session import local_session
+from gitloom.session import local_session, release
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(4, "gitloom-tests")
-    session.conf.set("spark.sql.shuffle.partitions", "4")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
     yield session
+    release(session)
     session.stop()
