@@ -9,7 +9,7 @@ SHORT_SHA = 8
 DIFF_CHARACTERS = 4000
 
 # Fixed value: every character that ends a line of text.
-LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\u0085  ]"
+LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\u0085\u2028\u2029]"
 
 HUNK = r"(?md)^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
 CITATION = r"\[([A-Za-z][A-Za-z0-9_-]*)\]"
