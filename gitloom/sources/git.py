@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gitloom.functions.pysource import DEFINITIONS, PRODUCER, read_definitions
 from gitloom.operators.lifecycle import REPO
-from gitloom.session import materialise
+from gitloom.session import materialise, pieces
 
 SLICE = 2_000
 ROWS = 5_000
@@ -96,10 +96,6 @@ def _mapped(frame: DataFrame, rows, schema: str) -> DataFrame:
     return frame.mapInPandas(run, schema)
 
 
-def _pieces(frame: DataFrame) -> int:
-    return max(frame.sparkSession.sparkContext.defaultParallelism, frame.rdd.getNumPartitions())
-
-
 # ------------------------------------------------------------------ probes
 
 
@@ -178,7 +174,7 @@ def history_slices(repos: DataFrame, revision: str = "HEAD", size: int = SLICE)
     return (
         cut.withColumn("skip", F.col("k") * size)
         .withColumn("take", F.lit(size))
-        .repartition(_pieces(repos), REPO, "k")
+        .repartition(pieces(repos.sparkSession), REPO, "k")
     )
 
 
@@ -358,7 +354,7 @@ def _asked(frame: DataFrame, keys: list[str], answer, schema: str) -> DataFrame:
             if objects:
                 objects.close()
 
-    keyed = frame.repartition(_pieces(frame), *keys)
+    keyed = frame.repartition(pieces(frame.sparkSession), *keys)
     return keyed.sortWithinPartitions("root").mapInPandas(run, schema)
 
 
@@ -430,7 +426,7 @@ def commit_patches(units: DataFrame, context_lines: int = 0) -> DataFrame:
         merge = len(git(item["root"], "rev-list", "--parents", "-n", "1", item["unit"]).split()) > 2
         return iter(()) if merge else _sections(item, flags)
 
-    keyed = units.select(REPO, "root", "unit").repartition(_pieces(units), REPO, "unit")
+    keyed = units.select(REPO, "root", "unit").repartition(pieces(units.sparkSession), REPO, "unit")
     return _mapped(keyed, rows, SECTION)
 
 

@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from gitloom.operators import evidence as ev
 from gitloom.operators import memory as m
