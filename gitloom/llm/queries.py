@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gitloom.llm import chat, curriculum, packing, quality_bands
-from gitloom.llm.common import small_batches, table
-from gitloom.session import tune
+from gitloom.llm import chat, curriculum, packing, quality_bands, toxicity
+from gitloom.llm.common import crc_remainder, small_batches, table
+from gitloom.session import ship, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +19,7 @@ def query(name: str, sql: str | None = None):
     def declare(plan: Callable[[SparkSession, str], DataFrame]) -> Callable:
         def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
             small_batches(tune(spark))
+            ship(spark)
             return plan(spark, sf_dir)
 
         QUERIES[name] = prepared
@@ -128,3 +129,19 @@ def curriculum_mix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     mixed = curriculum.mixed(docs, keep_rows=False)
     return mixed.select("_row.doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op1_toxic_segments")
+def toxic_segments(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_remainder(F.col("doc_id"), 4) == 2
+    model = toxicity.learned(docs, table(spark, sf_dir, "labels"), ~held_out)
+    found = toxicity.scored(docs, model).withColumn("doc_id", F.col("_row.doc_id"))
+    return found.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "evidence",
+        F.size("passages").alias("n_passages"),
+    )
