@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,17 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once per application, wherever they were started."""
+    context = spark.sparkContext
+    if getattr(context, "_gitloom_shipped", False):
+        return
+    package = Path(__file__).parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='gitloom-')}/gitloom-package", "zip", package.parent, package.name)
+    context.addPyFile(archive)
+    context._gitloom_shipped = True
+
+
 def local_session(cores: int | str = "*", app: str = "gitloom") -> SparkSession:
     """A single-machine session for tests, benchmarks and the command line."""
     builder = (
