@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gitloom.llm import chat, curriculum, packing, quality_bands, toxicity
+from gitloom.llm import chat, curriculum, packing, quality_bands, toxicity, vantage
 from gitloom.llm.common import crc_remainder, small_batches, table
 from gitloom.session import ship, tune
 
@@ -145,3 +145,9 @@ def toxic_segments(spark, sf_dir):
         "evidence",
         F.size("passages").alias("n_passages"),
     )
+
+
+@query("op6_vantage_trees")
+def vantage_trees(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return vantage.neighbours(vectors, lambda key: key % 20 == 0)
