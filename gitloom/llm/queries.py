@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gitloom.llm import chat, curriculum, packing, quality_bands, toxicity, vantage
+from gitloom.llm import chat, curriculum, line_dedup, packing, quality_bands, toxicity, vantage
 from gitloom.llm.common import crc_remainder, small_batches, table
 from gitloom.session import ship, tune
 
@@ -151,3 +151,47 @@ def toxic_segments(spark, sf_dir):
 def vantage_trees(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return vantage.neighbours(vectors, lambda key: key % 20 == 0)
+
+
+LINE_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, i - 1 AS no, parts[i] AS line FROM (
+    SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (
+      SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL))),
+told AS (
+  SELECT * FROM lines WHERE length(line) >= 16 AND regexp_matches(line, '[^\x20\x09-\x0D]')),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, no) AS nth FROM told),
+firsts AS (
+  SELECT line, length(line) AS n, row_number() OVER (ORDER BY doc_id, no) AS pos FROM ranked WHERE nth = 1),
+-- One edit leaves the first or the last half of the shorter line as it is.
+halves AS (
+  SELECT line, n, pos, n // 2 AS h, 0 AS extra FROM firsts
+  UNION ALL SELECT line, n - 1, pos, (n - 1) // 2, 1 FROM firsts),
+pairs AS (
+  SELECT s.line AS x, s.pos AS xa, t.line AS y, t.pos AS ya FROM halves s JOIN halves t
+    ON s.n = t.n AND left(s.line, s.h) = left(t.line, t.h) WHERE s.extra = 0 AND s.line <> t.line
+  UNION
+  SELECT s.line, s.pos, t.line, t.pos FROM halves s JOIN halves t
+    ON s.n = t.n AND right(s.line, s.h) = right(t.line, t.h) WHERE s.extra = 0 AND s.line <> t.line),
+near AS (
+  SELECT DISTINCT CASE WHEN xa < ya THEN y ELSE x END AS line FROM pairs WHERE levenshtein(x, y) <= 1),
+gone AS (
+  SELECT r.doc_id, r.no, near.line IS NOT NULL AS near FROM ranked r LEFT JOIN near ON r.line = near.line
+  WHERE near.line IS NOT NULL OR nth > 1),
+stay AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.no) AS text FROM lines l
+  LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.no = g.no WHERE g.no IS NULL GROUP BY l.doc_id),
+counts AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE near) AS n_near FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(s.text, '') END AS text,
+       CAST(CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS BIGINT) AS n_lines,
+       CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(c.n_near, 0) AS BIGINT) AS n_near
+FROM documents d LEFT JOIN stay s ON d.doc_id = s.doc_id LEFT JOIN counts c ON d.doc_id = c.doc_id
+"""
+
+
+@query("op3_line_neighbourhoods", LINE_SQL)
+def line_neighbourhoods(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.deduplicated(docs)
+    return found.select("_row.doc_id", "text", "n_lines", "n_removed", "n_near")
