@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gitloom.llm import chat, curriculum, line_dedup, packing, quality_bands, toxicity, vantage
+from gitloom.llm import chat, curriculum, line_dedup, packing, quality_bands, shingle_join, toxicity, vantage
 from gitloom.llm.common import crc_remainder, small_batches, table
 from gitloom.session import ship, tune
 
@@ -195,3 +195,11 @@ def line_neighbourhoods(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = line_dedup.deduplicated(docs)
     return found.select("_row.doc_id", "text", "n_lines", "n_removed", "n_near")
+
+
+@query("op8_set_relation_join")
+def set_relation_join(spark, sf_dir):
+    found = shingle_join.grouped(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "links"
+    )
