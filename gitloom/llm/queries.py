@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gitloom.llm import chat, curriculum, line_dedup, packing, quality_bands, shingle_join, toxicity, vantage
+from gitloom.llm import chat, context_tree, curriculum, line_dedup, packing, quality_bands, shingle_join, toxicity, vantage
 from gitloom.llm.common import crc_remainder, small_batches, table
 from gitloom.session import ship, tune
 
@@ -203,3 +203,18 @@ def set_relation_join(spark, sf_dir):
     return found.select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "links"
     )
+
+
+@query("op7_context_tree")
+def context_tree_score(spark, sf_dir):
+    train = crc_remainder(F.col("doc_id"), 10) != 0
+    found = context_tree.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), train)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        (~F.col("train")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
