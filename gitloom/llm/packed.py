@@ -34,6 +34,19 @@ def unplain(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
+def tagged(owners: np.ndarray) -> bytes:
+    """Few distinct 64-bit names in any order: a table and a place in it each."""
+    table, at = np.unique(owners, return_inverse=True)
+    small = np.uint16 if len(table) <= 1 << 16 else np.uint32
+    return len(table).to_bytes(4, "little") + plain(np.concatenate([table.view(np.uint8), at.astype(small).view(np.uint8)]))
+
+
+def untagged(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    raw = unplain(data[4:], np.uint8)
+    return raw[: 8 * n].view(np.int64)[raw[8 * n :].view(np.uint16 if n <= 1 << 16 else np.uint32)]
+
+
 def by_place(places: np.ndarray, count: int) -> Iterator[tuple[int, np.ndarray]]:
     """(place, which rows) in order of place; rows of a place stay in their order."""
     order = np.argsort(places, kind="stable")

@@ -35,12 +35,10 @@ from pyspark.sql import functions as F
 
 from gitloom.llm.common import LOWER, texts
 from gitloom.llm.components import components
+from gitloom.llm.shared_sets import combined, shared_sets
 from gitloom.session import materialise
 
-MIX = np.uint64(0x9E3779B97F4A7C15)
-FINISH = np.uint64(0xFF51AFD7ED558CCD)
-SHIFT = np.uint64(32)
-CACHE = 400_000
+CACHE = 150_000
 
 
 @dataclass(frozen=True)
@@ -48,7 +46,7 @@ class Join:
     words: int = 5
     percent: int = 75
     part_sets: int = 512
-    docs_per_bucket: int = 1024
+    docs_per_bucket: int = 4096
 
 
 class Shingler:
@@ -74,22 +72,13 @@ class Shingler:
         return np.unique(combined([hashes[i : i + last] for i in range(self.words)]))
 
 
-def combined(columns: list[np.ndarray]) -> np.ndarray:
-    total = np.full(len(columns[0]), np.uint64(len(columns)))
-    for column in columns:
-        total = (total ^ column) * MIX
-        total ^= total >> SHIFT
-    total *= FINISH
-    return total ^ (total >> SHIFT)
-
-
 def class_of(values: np.ndarray) -> int:
     """A signed 64-bit name of a set: equal sets share it."""
     return int(np.uint64(xxhash.xxh3_64_intdigest(values.tobytes())).astype(np.int64))
 
 
-def _sets(docs: DataFrame, join: Join, text: str, key: str) -> DataFrame:
-    """(id, class, n, shingles): the shingles as bytes."""
+def _sets(join: Join):
+    """From batches of (id, text) to batches of (class, n, hashes, id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(join.words)
@@ -97,146 +86,15 @@ def _sets(docs: DataFrame, join: Join, text: str, key: str) -> DataFrame:
             found = [shingler.of(v) for v in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
                     pa.array([class_of(s) for s in found], pa.int64()),
                     pa.array([len(s) for s in found], pa.int64()),
                     pa.array([s.tobytes() for s in found], pa.binary()),
+                    batch.column(0),
                 ],
-                ["id", "class", "n", "shingles"],
+                ["class", "n", "hashes", "id"],
             )
 
-    slim = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("_text"))
-    return slim.mapInArrow(run, "id long, class long, n long, shingles binary")
-
-
-PACKED = "place int, kind int, docs binary, hashes binary"
-
-
-def _pack(place, kind, left, right) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(place, pa.int32()), pa.array(kind, pa.int32()), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
-        ["place", "kind", "docs", "hashes"],
-    )
-
-
-def _dealt(kind: int, owner: np.ndarray, hashes: np.ndarray, places: np.ndarray, count: int) -> Iterator[tuple]:
-    """(place, kind, owners, hashes) rows of what goes to each place."""
-    order = np.argsort(places, kind="stable")
-    edges = np.searchsorted(places[order], np.arange(count + 1))
-    for p in np.flatnonzero(np.diff(edges)).tolist():
-        rows = order[edges[p] : edges[p + 1]]
-        yield p, kind, owner[rows].tobytes(), hashes[rows].tobytes()
-
-
-def _place(hashes: np.ndarray, count: int) -> np.ndarray:
-    return ((hashes >> SHIFT) % np.uint64(count)).astype(np.int32)
-
-
-LONE, HELD, SHARED, SIZES = 0, 1, 2, 3
-
-
-def _shared_sets(sets: DataFrame, count: int, join: Join) -> DataFrame:
-    """(class, n, shingles): of each set what another class has too, if that is enough for a link.
-
-    A batch sends a hash that one of its classes has with that class. A hash that several of its
-    classes have is shared already: it goes once, without classes, and the classes get it directly.
-    """
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, first = np.unique(np.asarray(batch.column(0)), return_index=True)
-            held = [np.frombuffer(batch.column(2)[i].as_py(), np.uint64) for i in first.tolist()]
-            sizes = np.asarray(batch.column(1))[first].astype(np.uint64)
-            if not len(held):
-                continue
-            hashes = np.concatenate(held)
-            owner = np.repeat(names, [len(h) for h in held])
-            order = np.argsort(hashes)
-            hashes, owner = hashes[order], owner[order]
-            same = np.concatenate([[False], hashes[1:] == hashes[:-1]]) if len(hashes) else np.empty(0, bool)
-            many = same | np.append(same[1:], False) if len(hashes) else same
-            rows = list(_dealt(LONE, owner[~many], hashes[~many], _place(hashes[~many], count), count))
-            once = hashes[many & ~same]
-            rows += _dealt(HELD, np.empty(len(once), np.int64), once, _place(once, count), count)
-            # Straight on to the classes: dealt by class, and passed through.
-            rows += _dealt(SHARED, owner[many], hashes[many], _place(_named(owner[many]), count), count)
-            rows += _dealt(SIZES, names, sizes, _place(_named(names), count), count)
-            if rows:
-                yield _pack(*zip(*rows))
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for place, rows in _by_place(batches):
-            passed = [(place, k, d, h) for k, d, h in rows if k in (SHARED, SIZES)]
-            if passed:
-                yield _pack(*zip(*passed))
-            lone = [(d, h) for k, d, h in rows if k == LONE]
-            owner = np.concatenate([np.frombuffer(d, np.int64) for d, _ in lone] or [np.empty(0, np.int64)])
-            hashes = np.concatenate([np.frombuffer(h, np.uint64) for _, h in lone] or [np.empty(0, np.uint64)])
-            known = [np.frombuffer(h, np.uint64) for k, _, h in rows if k == HELD]
-            order = np.lexsort((owner, hashes))
-            hashes, owner = hashes[order], owner[order]
-            starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.empty(0, int)
-            lengths = np.diff(np.append(starts, len(hashes)))
-            # Several batches may hold one class, so runs count classes, not entries.
-            differ = np.repeat(owner[starts], lengths) != owner
-            shared = np.add.reduceat(differ, starts) > 0 if len(starts) else np.empty(0, bool)
-            if known:
-                every = np.unique(np.concatenate(known))
-                at = np.minimum(np.searchsorted(every, hashes[starts]), len(every) - 1)
-                shared |= every[at] == hashes[starts]
-            keep = np.repeat(shared, lengths)
-            rows = list(_dealt(SHARED, owner[keep], hashes[keep], _place(_named(owner[keep]), count), count))
-            if rows:
-                yield _pack(*zip(*rows))
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _by_place(batches):
-            sized = [(d, h) for k, d, h in rows if k == SIZES]
-            names, at = np.unique(np.concatenate([np.frombuffer(d, np.int64) for d, _ in sized] or [np.empty(0, np.int64)]), return_index=True)
-            sizes = np.concatenate([np.frombuffer(h, np.uint64) for _, h in sized] or [np.empty(0, np.uint64)])[at].astype(np.int64)
-            parts = [(d, h) for k, d, h in rows if k == SHARED]
-            owner = np.concatenate([np.frombuffer(d, np.int64) for d, _ in parts] or [np.empty(0, np.int64)])
-            hashes = np.concatenate([np.frombuffer(h, np.uint64) for _, h in parts] or [np.empty(0, np.uint64)])
-            order = np.lexsort((hashes, owner))
-            owner, hashes = owner[order], hashes[order]
-            fresh = np.concatenate([[True], (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])]) if len(owner) else np.empty(0, bool)
-            owner, hashes = owner[fresh], hashes[fresh]
-            edges = np.searchsorted(owner, names), np.searchsorted(owner, names, side="right")
-            enough = (edges[1] - edges[0]) * 100 >= join.percent * sizes
-            enough &= sizes > 0
-            kept = np.flatnonzero(enough).tolist()
-            if kept:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(names[kept]),
-                        pa.array(sizes[kept]),
-                        pa.array([hashes[edges[0][i] : edges[1][i]].tobytes() for i in kept], pa.binary()),
-                    ],
-                    ["class", "n", "shingles"],
-                )
-
-    slim = sets.select("class", "n", "shingles")
-    met = slim.mapInArrow(spread, PACKED).repartition("place").sortWithinPartitions("place").mapInArrow(meet, PACKED)
-    home = met.repartition("place").sortWithinPartitions("place")
-    return home.mapInArrow(gather, "class long, n long, shingles binary")
-
-
-def _named(names: np.ndarray) -> np.ndarray:
-    return combined([names.astype(np.int64).view(np.uint64)])
-
-
-def _by_place(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """(place, its rows), one place at a time; the rows come ordered by place."""
-    now, rows = None, []
-    for batch in batches:
-        for place, kind, docs, hashes in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if place != now:
-                if rows:
-                    yield now, rows
-                now, rows = place, []
-            rows.append((kind, docs, hashes))
-    if rows:
-        yield now, rows
+    return run
 
 
 def least_overlap(a, b, percent: int):
@@ -376,11 +234,18 @@ def _blocks(reduced: DataFrame, join: Join) -> DataFrame:
 
 def grouped(docs: DataFrame, join: Join = Join(), *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(id, n, component, links) for every row: links counts the other rows it links with."""
-    sets = _sets(docs, join, text, key)
+    slim = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("_text"))
+    make = _sets(join)
     count = max(16, docs.count() // join.docs_per_bucket)
-    once = materialise(_shared_sets(sets, count, join), "shingle-sets")
-    reduced = materialise(_shared_sets(once, max(16, count // 4), join), "shingle-sets")
-    named = materialise(sets.select("id", "class", "n"), "shingle-classes")
+    once = materialise(shared_sets(slim, make, count, join.percent), "shingle-sets")
+    reduced = shared_sets(once, lambda batches: batches, max(16, count // 4), join.percent)
+    reduced = materialise(reduced.withColumnRenamed("hashes", "shingles"), "shingle-sets")
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in make(batches):
+            yield batch.select(["id", "class", "n"])
+
+    named = materialise(slim.mapInArrow(names, "id long, class long, n long"), "shingle-classes")
     members = named.groupBy("class").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("low"))
 
     blocks = materialise(_blocks(reduced, join), "shingle-blocks")
