@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gitloom.llm import chat, context_tree, curriculum, line_dedup, packing, quality_bands, shingle_join, toxicity, vantage
+from gitloom.llm import chat, context_tree, curriculum, line_dedup, packing, quality_bands, repeats, shingle_join, toxicity, vantage
 from gitloom.llm.common import crc_remainder, small_batches, table
 from gitloom.session import ship, tune
 
@@ -218,3 +218,15 @@ def context_tree_score(spark, sf_dir):
         "base_score",
         "score",
     )
+
+
+@query("op5_suffix_repeats")
+def suffix_repeats(spark, sf_dir):
+    found = repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "_row.doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
