@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gitloom.llm.common import LOWER, texts
+from gitloom.llm.common import LOWER, ROW, texts
 from gitloom.llm.components import components
 from gitloom.llm.shared_sets import combined, shared_sets
 from gitloom.session import materialise
@@ -89,9 +89,9 @@ def _sets(join: Join):
                     pa.array([class_of(s) for s in found], pa.int64()),
                     pa.array([len(s) for s in found], pa.int64()),
                     pa.array([s.tobytes() for s in found], pa.binary()),
-                    batch.column(0),
+                    *(batch.column(i) for i in range(batch.num_columns) if i != 1),
                 ],
-                ["class", "n", "hashes", "id"],
+                ["class", "n", "hashes", "id", "th"],
             )
 
     return run
@@ -233,8 +233,9 @@ def _blocks(reduced: DataFrame, join: Join) -> DataFrame:
 
 
 def grouped(docs: DataFrame, join: Join = Join(), *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(id, n, component, links) for every row: links counts the other rows it links with."""
-    slim = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("_text"))
+    """(id, th, n, component, links) for every row; th: the text's hash; counts the other rows it links with."""
+    value = F.col(f"`{text}`")
+    slim = docs.select(F.col(f"`{key}`").cast("long").alias("id"), value.alias("_text"), F.xxhash64(value).alias("th"))
     make = _sets(join)
     count = max(16, docs.count() // join.docs_per_bucket)
     once = materialise(shared_sets(slim, make, count, join.percent), "shingle-sets")
@@ -243,9 +244,9 @@ def grouped(docs: DataFrame, join: Join = Join(), *, text: str = "text", key: st
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in make(batches):
-            yield batch.select(["id", "class", "n"])
+            yield batch.select(["id", "th", "class", "n"])
 
-    named = materialise(slim.mapInArrow(names, "id long, class long, n long"), "shingle-classes")
+    named = materialise(slim.mapInArrow(names, "id long, th long, class long, n long"), "shingle-classes")
     members = named.groupBy("class").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("low"))
 
     blocks = materialise(_blocks(reduced, join), "shingle-blocks")
@@ -276,6 +277,7 @@ def grouped(docs: DataFrame, join: Join = Join(), *, text: str = "text", key: st
     empty = F.col("n") == 0
     return joined.select(
         "id",
+        "th",
         "n",
         F.when(empty, F.col("id")).otherwise(F.col("component")).alias("component"),
         F.when(empty, F.lit(0)).otherwise(F.col("links") + F.col("members") - 1).cast("long").alias("links"),
@@ -283,7 +285,15 @@ def grouped(docs: DataFrame, join: Join = Join(), *, text: str = "text", key: st
 
 
 def kept(docs: DataFrame, join: Join = Join(), *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row of each group, the one with the smallest id, with the columns of *docs*."""
-    found = grouped(docs, join, text=text, key=key)
-    keep = found.filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_id")).distinct()
-    return docs.join(keep, docs[key].eqNullSafe(keep["_id"])).select(*[docs[c] for c in docs.columns])
+    """One row of each group, with the columns of *docs*: the smallest id's, repeated rows once.
+
+    A document with the empty set is a group of its own.
+    """
+    found = grouped(docs, join, text=text, key=key).filter(F.col("id").eqNullSafe(F.col("component")))
+    empty = F.when(F.col("n") == 0, F.col("th"))
+    chosen = found.groupBy("component", empty.alias("e")).agg(F.min("th").alias("h"))
+    last = F.lit((1 << 63) - 1)
+    chosen = chosen.select(F.coalesce("component", last).alias("k"), "h").distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW)
+    named = docs.select(row, F.coalesce(F.col(f"`{key}`").cast("long"), last).alias("k"), F.xxhash64(F.col(f"`{text}`")).alias("h"))
+    return named.join(chosen, ["k", "h"]).dropDuplicates(["k", "h"]).select(f"{ROW}.*")
