@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from gitloom.plans import QUERIES
 from tests.oracle import compare, duck
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(entry.queries())
+ORACLES = entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -14,12 +15,14 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_its_sql(spark, con, name):
     frame = entry.queries()[name](spark, SF)
-    oracles = entry.oracle_sql()
-    assert name in oracles
-    assert compare(con, frame, oracles[name]) is None
+    assert compare(con, frame, ORACLES[name]) is None
+
+
+def test_history_queries_all_have_sql():
+    assert set(QUERIES) <= set(ORACLES) <= set(entry.queries())
 
 
 def test_entry_has_rows(spark):
