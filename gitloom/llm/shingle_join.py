@@ -45,7 +45,9 @@ CACHE = 150_000
 class Join:
     words: int = 5
     percent: int = 75
+    # What a part of a block holds at most: sets, and shared shingles of them.
     part_sets: int = 512
+    part_shingles: int = 1 << 20
     docs_per_bucket: int = 4096
 
 
@@ -117,12 +119,13 @@ class SetIndex:
         token = rank[local.ravel()]
         order = np.lexsort((token, owner))
         edges = np.concatenate([[0], np.cumsum(lengths)])
-        self.tokens = [token[order][a:b] for a, b in zip(edges, edges[1:])]
+        token = token[order]
+        self.tokens = [token[a:b] for a, b in zip(edges, edges[1:])]
         rest = np.repeat(lengths, lengths) - 1 - (np.arange(len(token)) - np.repeat(edges[:-1], lengths))
         # A token's list holds (set, how many tokens of the set come after), longest rest first.
-        by = np.lexsort((-rest, token[order]))
-        self.owners, self.rests = owner[by], rest[by]
-        self.starts = np.searchsorted(token[order][by], np.arange(len(counts) + 1))
+        by = np.lexsort((-rest, token))
+        self.owners, self.rests = owner[by].astype(np.int32), rest[by].astype(np.int32)
+        self.starts = np.searchsorted(token[by], np.arange(len(counts) + 1))
         self.mark = np.zeros(len(counts), bool)
 
     def lists(self, tokens: np.ndarray) -> np.ndarray:
@@ -250,7 +253,9 @@ def grouped(docs: DataFrame, join: Join = Join(), *, text: str = "text", key: st
     members = named.groupBy("class").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("low"))
 
     blocks = materialise(_blocks(reduced, join), "shingle-blocks")
-    parts = blocks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / join.part_sets).cast("int").alias("parts"))
+    loads = reduced.select("class", (F.octet_length("shingles") / 8).alias("load")).join(blocks, "class")
+    needed = F.greatest(F.count(F.lit(1)) / join.part_sets, F.sum("load") / join.part_shingles)
+    parts = loads.groupBy("block").agg(F.ceil(needed).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("class", F.lit(5)), F.col("parts")).cast("int")
     sized = reduced.join(blocks, "class").join(parts, "block").join(members.select("class", "members"), "class")
     sized = sized.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
