@@ -34,7 +34,7 @@ from gitloom.session import materialise
 @dataclass(frozen=True)
 class Search:
     k: int = 20
-    factor: float = 4.0
+    factor: float = 1.5
     leaf: int = 256
     shard_rows: int = 16384
     block_rows: int = 4096
