@@ -47,8 +47,8 @@ class Join:
     percent: int = 75
     # What a part of a block holds at most: sets, and shared shingles of them.
     part_sets: int = 512
-    part_shingles: int = 1 << 20
-    docs_per_bucket: int = 4096
+    part_shingles: int = 1 << 19
+    docs_per_bucket: int = 2048
 
 
 class Shingler:
