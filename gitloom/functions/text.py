@@ -14,7 +14,6 @@ LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\u0085\u2028\u2029]"
 HUNK = r"(?md)^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
 CITATION = r"\[([A-Za-z][A-Za-z0-9_-]*)\]"
 RANGE_REF = r"^(.+):(\d+)-(\d+)$"
-UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 
 def first_line(text: Column) -> Column:

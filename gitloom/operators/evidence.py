@@ -92,16 +92,18 @@ def change_states(files: DataFrame, merges: DataFrame, ranges: DataFrame) -> Dat
 
 
 def header(members: DataFrame, commits: DataFrame, merges: DataFrame) -> DataFrame:
-    """Per unit: commits, merges, authors, and when its first and last were authored."""
+    """Per unit: commits, merges, its authors by name and address, and when its first and last were authored."""
     rows = members.join(commits.withColumnRenamed("sha", "commit_sha"), [REPO, "commit_sha"]).join(
         merges.select(REPO, "commit_sha", F.lit(True).alias("_merge")), [REPO, "commit_sha"], "left"
     )
     return rows.groupBy(*UNIT).agg(
         F.count(F.lit(1)).alias("commits"),
         _n(F.col("_merge")).alias("merges"),
-        F.countDistinct("author_name").alias("authors"),
-        F.min_by("committed_at", "ordinal").alias("first_at"),
-        F.max_by("committed_at", "ordinal").alias("last_at"),
+        F.array_sort(
+            F.collect_set(F.concat("author_name", F.lit(" <"), "author_email", F.lit(">")))
+        ).alias("authors"),
+        F.min_by("authored_at", "ordinal").alias("first_authored_at"),
+        F.max_by("authored_at", "ordinal").alias("last_authored_at"),
     )
 
 

@@ -75,23 +75,14 @@ def commits_with_prefix(commits: DataFrame, prefix: str) -> DataFrame:
     return newest_first(commits.where(F.col("sha").startswith(prefix.lower())))
 
 
-def prefix_answer(commits: DataFrame, prefixes: DataFrame, length: int) -> DataFrame:
-    """What each fixed-length prefix names: not_found, found or ambiguous."""
-    held = commits.groupBy(F.substring("sha", 1, length).alias("prefix")).agg(
-        F.count(F.lit(1)).alias("candidates"), F.min("sha").alias("_only")
-    )
-    return (
-        prefixes.join(held, "prefix", "left")
-        .withColumn("candidates", F.coalesce("candidates", F.lit(0).cast("long")))
-        .select(
-            "prefix",
-            "candidates",
-            F.when(F.col("candidates") == 0, "not_found")
-            .when(F.col("candidates") == 1, "found")
-            .otherwise("ambiguous")
-            .alias("answer"),
-            F.when(F.col("candidates") == 1, F.col("_only")).alias("sha"),
-        )
+def prefix_answer(resolved: DataFrame) -> DataFrame:
+    """What each resolved prefix (of any length) names: not_found, found or ambiguous."""
+    n = F.coalesce("candidates", F.lit(0)).cast("long")
+    return resolved.select(
+        F.col("ref").alias("prefix"),
+        n.alias("candidates"),
+        F.when(n == 0, "not_found").when(n == 1, "found").otherwise("ambiguous").alias("answer"),
+        F.when(n == 1, F.col("sha")).alias("sha"),
     )
 
 

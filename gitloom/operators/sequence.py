@@ -18,9 +18,7 @@ from gitloom.session import materialise
 CHUNK = "_chunk"
 SEQ = "seq"
 
-# Below this many rows in *all*, any single key is small enough for one task and
-# the second level is left out. Checked against the counted rows.
-ONE_TASK_ROWS = 4_000_000
+# What one range holds.
 CHUNK_ROWS = 1 << 20
 
 
@@ -29,7 +27,6 @@ class Sequence:
     """Rows carrying a unique, order-preserving ``seq`` and the range they are in."""
 
     frame: DataFrame
-    chunks: int
 
     def of(self, frame: DataFrame) -> "Sequence":
         """The same ordering over rows derived from these."""
@@ -45,15 +42,14 @@ def ordered(frame: DataFrame, by: list[str], *, ranges: int | None = None) -> Se
 
     *by* has to identify a row. Rows are placed by range over the whole order, so
     no task sorts more than its range; the ranges' row counts then turn the
-    position inside a range into the position overall. ``ranges`` forces the
-    number of ranges; left out, adaptive execution sizes them, and a small input
-    counts as one range.
+    position inside a range into the position overall. The rows are written and
+    counted first: there is a range for every ``CHUNK_ROWS`` of them, and one for
+    every core at least. ``ranges`` sets their number instead.
     """
-    spread = (
-        frame.repartitionByRange(ranges, *by)
-        if ranges
-        else frame.repartitionByRange(*by)
-    )
+    stored = materialise(frame, "unordered")
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    n = ranges or max(cores, -(-stored.count() // CHUNK_ROWS))
+    spread = stored.repartitionByRange(n, *by)
     numbered = (
         spread.sortWithinPartitions(*by)
         .withColumn("_id", F.monotonically_increasing_id())
@@ -68,17 +64,9 @@ def ordered(frame: DataFrame, by: list[str], *, ranges: int | None = None) -> Se
         total += row["_rows"]
     # A range's ids start at its partition number shifted by 33 bits.
     inside = F.col("_id") - F.shiftleft(F.col(CHUNK).cast("long"), 33) + 1
-    if len(offsets) <= 1:
-        positioned = fixed.withColumn(SEQ, inside)
-    else:
-        table = frame.sparkSession.createDataFrame(offsets, f"{CHUNK} int, _offset long")
-        positioned = fixed.join(F.broadcast(table), CHUNK).withColumn(
-            SEQ, inside + F.col("_offset")
-        )
-    positioned = positioned.select(*frame.columns, SEQ, CHUNK)
-    if ranges is None and total <= ONE_TASK_ROWS:
-        return Sequence(positioned.withColumn(CHUNK, F.lit(0)), 1)
-    return Sequence(positioned, len(offsets) or 1)
+    table = frame.sparkSession.createDataFrame(offsets, f"{CHUNK} int, _offset long")
+    positioned = fixed.join(F.broadcast(table), CHUNK).withColumn(SEQ, inside + F.col("_offset"))
+    return Sequence(positioned.select(*frame.columns, SEQ, CHUNK))
 
 
 def positioned(frame: DataFrame, position: str, *, chunk_rows: int = CHUNK_ROWS) -> Sequence:
@@ -88,11 +76,7 @@ def positioned(frame: DataFrame, position: str, *, chunk_rows: int = CHUNK_ROWS)
     rows and nothing has to be sorted or written.
     """
     chunk = F.floor(F.col(position) / chunk_rows).cast("int")
-    numbered = frame.withColumn(SEQ, F.col(position)).withColumn(CHUNK, chunk)
-    low, high = frame.agg(F.min(position), F.max(position)).first()
-    if low is None or (high - low < ONE_TASK_ROWS and chunk_rows == CHUNK_ROWS):
-        return Sequence(numbered.withColumn(CHUNK, F.lit(0)), 1)
-    return Sequence(numbered, high // chunk_rows - low // chunk_rows + 1)
+    return Sequence(frame.withColumn(SEQ, F.col(position)).withColumn(CHUNK, chunk))
 
 
 @dataclass(frozen=True)
@@ -152,10 +136,6 @@ def running(
     """Add running values per *keys*, in sequence order."""
     order = order or [SEQ]
     frame = sequence.frame
-    if sequence.chunks <= 1:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return frame.select("*", *[_over(i, window).alias(i.name) for i in items])
-
     window = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     local = frame.select("*", *[_over(i, window).alias(i.name) for i in items])
     totals = frame.groupBy(*keys, CHUNK).agg(

@@ -61,13 +61,14 @@ def change_states(spark, sf):
     ctes(v.COMMITS, v.PARENTS, MEMBERS)
     + """SELECT unit, count(*) AS commits, count(*) FILTER (WHERE sha IN (
              SELECT commit_sha FROM parents GROUP BY 1 HAVING count(*) > 1)) AS merges,
-           count(DISTINCT author_name) AS authors, arg_min(committed_at, ordinal) AS first_at,
-           arg_max(committed_at, ordinal) AS last_at
+           array_to_string(list_sort(list(DISTINCT author_name || ' <' || author_email || '>')), ', ') AS authors,
+           arg_min(authored_at, ordinal) AS first_authored_at, arg_max(authored_at, ordinal) AS last_authored_at
          FROM members JOIN commits ON sha = commit_sha GROUP BY unit""",
 )
 def range_header(spark, sf):
     merges = h.merges(a.commit_parents(spark, sf))
-    return ev.header(a.yearly_members(spark, sf), a.commits(spark, sf), merges).drop(REPO)
+    found = ev.header(a.yearly_members(spark, sf), a.commits(spark, sf), merges).drop(REPO)
+    return found.withColumn("authors", F.array_join("authors", ", "))
 
 
 def _touches(spark, sf):
@@ -181,21 +182,19 @@ def commit_absences(spark, sf):
 # ------------------------------------------------------------------ lives seen from a range
 
 TOTALS = f"""
-totals AS (
-  SELECT *, row_number() OVER w AS commits,
-    count(*) FILTER (WHERE {v.EDIT}) OVER w AS modifications,
-    CAST(sum(coalesce(added_lines, 0)) OVER w AS BIGINT) AS additions,
-    CAST(sum(coalesce(deleted_lines, 0)) OVER w AS BIGINT) AS deletions,
-    last_value(CASE WHEN {v.EDIT} THEN commit_sha END IGNORE NULLS) OVER w AS last_modified_sha
-  FROM ev
-  WINDOW w AS (PARTITION BY life_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+totals AS (SELECT *, row_number() OVER (PARTITION BY life_id ORDER BY seq) AS commits FROM ev),
 lastin AS (
-  SELECT m.unit, t.life_id, max(seq) AS seq, min(commits) AS first_position
-  FROM totals t JOIN members m USING (commit_sha) GROUP BY ALL),
+  SELECT m.unit, t.life_id, max(t.seq) AS last_seq, min(t.commits) AS first_position
+  FROM totals t JOIN members m ON m.commit_sha = t.commit_sha GROUP BY m.unit, t.life_id),
 left_ AS (
-  SELECT l.unit, l.life_id, path, commits, modifications, additions, deletions, last_modified_sha,
-         change_type = 'D' AS is_deleted, first_position
-  FROM lastin l JOIN totals t ON t.seq = l.seq)"""
+  SELECT l.unit, l.life_id, arg_max(path, seq) AS path, count(*) AS commits,
+         count(*) FILTER (WHERE {v.EDIT}) AS modifications,
+         CAST(sum(coalesce(added_lines, 0)) AS BIGINT) AS additions,
+         CAST(sum(coalesce(deleted_lines, 0)) AS BIGINT) AS deletions,
+         arg_max(commit_sha, seq) FILTER (WHERE {v.EDIT}) AS last_modified_sha,
+         arg_max(change_type, seq) = 'D' AS is_deleted, min(first_position) AS first_position
+  FROM lastin l JOIN totals t ON t.life_id = l.life_id AND t.seq <= l.last_seq
+  GROUP BY l.unit, l.life_id)"""
 SEEN = ctes(v.COMMITS, v.FILE_LIVES, MEMBERS, TOTALS)
 
 
@@ -263,7 +262,6 @@ PRESENT = ["unit", "path", "qualname", "occurrence", "kind", "events", "size", "
 def _presence(spark, sf):
     found = st.definition_history(
         a.version_sequence(spark, sf), a.file_versions(spark, sf), a.definition_rows(spark, sf), a.DEFINITION_ORDER,
-        at_most=a.definition_bound(spark, sf),
     )
     return ev.definition_presence(found.events, a.yearly_members(spark, sf), found.steps)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gitloom.operators import cochange as cc
 from gitloom.operators import history as h
 from gitloom.operators import lifecycle as lc
+from gitloom.operators import memory as m
 from gitloom.operators import structure as st
 from gitloom.operators.lifecycle import SEQ
 from gitloom.operators.sequence import ordered
@@ -75,14 +76,16 @@ def topo_order(spark, sf):
     + """SELECT prefix, count(sha) AS candidates,
            CASE count(sha) WHEN 0 THEN 'not_found' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS answer,
            CASE WHEN count(sha) = 1 THEN min(sha) END AS sha
-         FROM (SELECT DISTINCT substring(lpad(CAST(l_orderkey * 7 AS VARCHAR), 19, '0'), 1, 18) AS prefix
-               FROM lineitem) p
-         LEFT JOIN commits ON substring(sha, 1, 18) = prefix GROUP BY prefix""",
+         FROM (SELECT DISTINCT substring(lpad(CAST(l_orderkey * 7 AS VARCHAR), 19, '0'), 1,
+                      CAST(16 + l_orderkey % 3 AS INTEGER)) AS prefix FROM lineitem) p
+         LEFT JOIN (SELECT sha, substring(sha, 1, n) AS start FROM commits, (VALUES (16), (17), (18)) lengths(n)) c
+           ON start = prefix GROUP BY prefix""",
 )
 def commit_prefix_lookup(spark, sf):
     lines = a.table(spark, sf, "lineitem").select((F.col("l_orderkey") * 7).alias("k"))
-    prefixes = lines.select(F.substring(a.key_text("k"), 1, 18).alias("prefix")).distinct()
-    return h.prefix_answer(a.commits(spark, sf), prefixes, 18)
+    length = (16 + F.floor(F.col("k") / 7) % 3).cast("int")
+    refs = lines.select(F.lit("orders").alias(lc.REPO), F.substring(a.key_text("k"), F.lit(1), length).alias("ref"))
+    return h.prefix_answer(m.resolve_prefixes(refs, a.commits(spark, sf)))
 
 
 @query(
@@ -328,7 +331,6 @@ def _definitions(spark, sf):
         a.file_versions(spark, sf),
         a.definition_rows(spark, sf),
         a.DEFINITION_ORDER,
-        at_most=a.definition_bound(spark, sf),
     )
 
 
@@ -351,8 +353,7 @@ def version_steps(spark, sf):
     + "SELECT commit_sha, kind, qualname, occurrence, lineno, fingerprint FROM occ",
 )
 def definition_occurrence(spark, sf):
-    rows, bound = a.definition_rows(spark, sf), a.definition_bound(spark, sf)
-    return st.occurrences(rows, a.DEFINITION_ORDER, at_most=bound).select(
+    return st.occurrences(a.definition_rows(spark, sf), a.DEFINITION_ORDER).select(
         "commit_sha", "kind", "qualname", "occurrence", "lineno", "fingerprint"
     )
 

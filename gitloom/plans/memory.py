@@ -76,8 +76,13 @@ def memory_supersede_chain(spark, sf):
     ctes(v.MEMORIES)
     + """SELECT memory_id, CASE WHEN length(statement) > 9 THEN 'statement is empty'
              WHEN subject_kind = 'path' AND subject_path = 's7' THEN 'subject has no path'
+             WHEN subject_kind = 'repository' AND CAST(memory_id AS BIGINT) % 3 = 0 THEN 'subject has a path too many'
+             WHEN subject_kind = 'repository' AND CAST(memory_id AS BIGINT) % 3 = 1 THEN 'subject has a commit too many'
+             WHEN subject_kind = 'path' AND CAST(memory_id AS BIGINT) % 5 = 0 THEN 'subject has a name too many'
              ELSE 'since is not a day' END AS refusal
          FROM memories WHERE length(statement) > 9 OR (subject_kind = 'path' AND subject_path = 's7')
+           OR (subject_kind = 'repository' AND CAST(memory_id AS BIGINT) % 3 < 2)
+           OR (subject_kind = 'path' AND CAST(memory_id AS BIGINT) % 5 = 0)
            OR since_date LIKE '%-02-1%'""",
 )
 def memory_act_refusals(spark, sf):
@@ -90,6 +95,16 @@ def memory_act_refusals(spark, sf):
         )
         .withColumn("since_date", F.regexp_replace("since_date", "-02-1", "-02-3"))
     )
+    # One fault more for each way a subject can hold what its kind does not.
+    number, kind = F.col("memory_id").cast("long"), F.col("subject_kind")
+    of_all = kind == "repository"
+    broken = (
+        broken.withColumn("subject_path", F.when(of_all & (number % 3 == 0), "p").otherwise(F.col("subject_path")))
+        .withColumn("subject_commit_sha", F.when(of_all & (number % 3 == 1), "c").otherwise(F.col("subject_commit_sha")))
+        .withColumn(
+            "subject_qualname", F.when((kind == "path") & (number % 5 == 0), "q").otherwise(F.col("subject_qualname"))
+        )
+    )
     return m.act_refusals(broken)
 
 

@@ -3,7 +3,8 @@
 COMMITS = """
 commits AS (
   SELECT 'orders' AS repo_id, lpad(CAST(o_orderkey AS VARCHAR), 19, '0') AS sha,
-         CAST(o_custkey AS VARCHAR) AS author_name,
+         CAST(o_custkey AS VARCHAR) AS author_name, CAST(o_custkey AS VARCHAR) || '@' || CAST(o_custkey % 7 AS VARCHAR) AS author_email,
+         strftime(o_orderdate - INTERVAL 1 DAY, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS authored_at,
          strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS committed_at,
          CAST(epoch(o_orderdate) AS BIGINT) AS committed_epoch,
          o_orderpriority AS message, o_orderstatus AS status

@@ -38,7 +38,7 @@ def bounded_text(spark, sf):
 @query(
     "path_forms",
     r"""SELECT page_id, CASE WHEN starts_with(replace(w, '\', '/'), './') THEN substring(replace(w, '\', '/'), 3)
-            ELSE replace(w, '\', '/') END AS path, nullif(trim(substring(html, 1, 1)), '') AS trimmed
+            ELSE replace(w, '\', '/') END AS path, nullif(trim(html), '') AS trimmed
        FROM (SELECT page_id, html, '.\' || replace(replace(url, 'https://', ''), '/', '\') AS w FROM pages)""",
 )
 def path_forms(spark, sf):
@@ -46,7 +46,7 @@ def path_forms(spark, sf):
     return a.table(spark, sf, "pages").select(
         "page_id",
         t.normalise_path(written).alias("path"),
-        t.trimmed_or_null(F.substring("html", 1, 1)).alias("trimmed"),
+        t.trimmed_or_null(F.col("html")).alias("trimmed"),
     )
 
 

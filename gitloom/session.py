@@ -91,16 +91,6 @@ def materialise(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def pieces(spark: SparkSession) -> int:
-    """How many parts costly row work is cut into."""
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Use every core for costly row work on a file that came in few pieces.
-
-    A large input already has more pieces than cores and is left alone. Only for
-    plain scans: asking another frame for its pieces would run it.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+def pieces(units: DataFrame, each: int) -> int:
+    """How many parts costly row work is cut into: one for every *each* of the units."""
+    return max(1, -(-units.count() // each))

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from gitloom.functions import text
 from gitloom.operators.lifecycle import REPO
 from gitloom.operators.sequence import Running, Sequence, ordered, positioned, running
-from gitloom.session import spread
 
 LARGE_COMMIT = 8
 FILE_EVENT = [
@@ -38,6 +37,8 @@ def commits(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("orders").alias(REPO),
         key_text("o_orderkey").alias("sha"),
         F.col("o_custkey").cast("string").alias("author_name"),
+        F.concat(F.col("o_custkey").cast("string"), F.lit("@"), (F.col("o_custkey") % 7).cast("string")).alias("author_email"),
+        F.date_format(F.date_sub("o_orderdate", 1), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("authored_at"),
         F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("committed_at"),
         epoch("o_orderdate").alias("committed_epoch"),
         F.col("o_orderpriority").alias("message"),
@@ -172,11 +173,6 @@ def file_versions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def definition_bound(spark: SparkSession, sf: str) -> int:
-    """Parts and orders are joined by their keys, so lines bound the definitions."""
-    return table(spark, sf, "lineitem").count()
-
-
 def definition_rows(spark: SparkSession, sf: str) -> DataFrame:
     """A line is a definition; the part names it."""
     lines = table(spark, sf, "lineitem").select(
@@ -228,7 +224,7 @@ def patches(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("\n+++ /dev/null\n@@ -1,2 +0,0 @@\n-x\ndiff --git a/old"), p, F.lit(" b/new"), p,
         F.lit("\nsimilarity index 100%\nrename from old"), p, F.lit("\nrename to new"), p, F.lit("\n"),
     )
-    lines = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
     return lines.select("l_orderkey", "l_partkey", "l_suppkey", patch.alias("patch"))
 
 
@@ -410,7 +406,7 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("{"), extra, F.lit('"summary":"'), said, F.lit(" ["), name,
         F.lit(']","observed_changes":[{"id":"oc1","statement":"moved","evidence":['), cites,
         F.lit(']}],"evidence":[{"id":"e1","kind":"'), kind, F.lit('","ref":"'), supplier, F.lit('"'), odd,
-        F.lit('},{"id":"e2","kind":"commit","ref":"'), F.substring(key_text("o"), 1, 12 + 7),
+        F.lit('},{"id":"e2","kind":"commit","ref":"'), F.substring(key_text("o"), F.lit(1), (8 + F.col("p") % 11).cast("int")),
         F.lit('"}],"possible_reasons":[{"statement":"because x","based_on":["oc1"]}],'
               '"uncertainty":[{"kind":"parse_failed"}],"related_memory":[{"memory_id":"m'),
         F.col("s") % 4, F.lit('","note":"n"}]}'),

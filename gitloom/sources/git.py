@@ -171,11 +171,8 @@ def history_slices(repos: DataFrame, revision: str = "HEAD", size: int = SLICE)
     found = materialise(_mapped(repos, probe, schema), "probed")
     last = F.greatest(F.floor((F.col("n") - 1) / size), F.lit(0))
     cut = found.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k"))
-    return (
-        cut.withColumn("skip", F.col("k") * size)
-        .withColumn("take", F.lit(size))
-        .repartition(pieces(repos.sparkSession), REPO, "k")
-    )
+    slices = cut.withColumn("skip", F.col("k") * size).withColumn("take", F.lit(size))
+    return slices.repartition(pieces(cut, 1), REPO, "k")
 
 
 def _is_ancestor(root: str, older: str, newer: str) -> bool:
@@ -354,7 +351,7 @@ def _asked(frame: DataFrame, keys: list[str], answer, schema: str) -> DataFrame:
             if objects:
                 objects.close()
 
-    keyed = frame.repartition(pieces(frame.sparkSession), *keys)
+    keyed = frame.repartition(pieces(frame, 200), *keys)
     return keyed.sortWithinPartitions("root").mapInPandas(run, schema)
 
 
@@ -426,7 +423,7 @@ def commit_patches(units: DataFrame, context_lines: int = 0) -> DataFrame:
         merge = len(git(item["root"], "rev-list", "--parents", "-n", "1", item["unit"]).split()) > 2
         return iter(()) if merge else _sections(item, flags)
 
-    keyed = units.select(REPO, "root", "unit").repartition(pieces(units.sparkSession), REPO, "unit")
+    keyed = units.select(REPO, "root", "unit").repartition(pieces(units, 50), REPO, "unit")
     return _mapped(keyed, rows, SECTION)
 
 
