@@ -49,7 +49,7 @@ LISTED = ["memory_id", "statement", "admitted_at", "subject_kind", "state"]
           ORDER BY admitted_epoch DESC, admitted_at DESC, memory_id LIMIT 20""",
 )
 def memory_list(spark, sf):
-    return m.list_memories(a.memories(spark, sf), a.HOME).select(*LISTED)
+    return m.list_memories(a.memories(spark, sf, a.HOME_NUMBER), a.HOME).select(*LISTED)
 
 
 @query(

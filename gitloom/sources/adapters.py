@@ -46,9 +46,13 @@ def commits(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def commit_parents(spark: SparkSession, sf: str) -> DataFrame:
-    """The author's previous commit; a P order also has the author's last F order."""
-    walk = ordered(commits(spark, sf), ["committed_epoch", "sha"])
+def commit_parents(spark: SparkSession, sf: str, by: Column | None = None) -> DataFrame:
+    """The author's previous commit; a P order also has the author's last F order.
+
+    *by* picks authors: a parent has its child's author, so theirs alone are linked.
+    """
+    picked = commits(spark, sf) if by is None else commits(spark, sf).where(by)
+    walk = ordered(picked, ["committed_epoch", "sha"])
     linked = running(
         walk,
         ["author_name"],
@@ -230,16 +234,21 @@ def patches(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------ memories
 
-HOME = "repo3"
+HOME_NUMBER = 3
+HOME = f"repo{HOME_NUMBER}"
 THIRTY_DAYS = 30 * 86400
 
 
-def memories(spark: SparkSession, sf: str) -> DataFrame:
-    """An order is a statement; the customer's next order supersedes an O one."""
+def memories(spark: SparkSession, sf: str, home: int | None = None) -> DataFrame:
+    """An order is a statement; the customer's next order supersedes an O one.
+
+    A customer's statements are about one repository; *home* reads one of the seven.
+    """
+    author = F.col("author_name").cast("long") % 7
     k = F.col("o_orderkey")
     date = F.date_format("o_orderdate", "yyyy-MM-dd")
     follows = (
-        commit_parents(spark, sf)
+        commit_parents(spark, sf, None if home is None else author == home)
         .where("position = 0")
         .select(F.col("parent_sha").alias("memory_id"), F.col("commit_sha").alias("_next"))
         .join(
@@ -249,7 +258,9 @@ def memories(spark: SparkSession, sf: str) -> DataFrame:
     )
     kind = k % 4
     status = F.col("o_orderstatus")
-    base = table(spark, sf, "orders").select(
+    orders = table(spark, sf, "orders")
+    orders = orders if home is None else orders.where(F.col("o_custkey") % 7 == home)
+    base = orders.select(
         F.lit("orders").alias(REPO),
         key_text("o_orderkey").alias("memory_id"),
         F.concat(F.lit("repo"), F.col("o_custkey") % 7).alias("repository_path"),
