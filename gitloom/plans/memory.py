@@ -126,7 +126,7 @@ ranked AS (
 
 
 def _unit(spark, sf):
-    files = materialise(a.commit_files(spark, sf).select("commit_sha", "committed_epoch", "path"), "files")
+    files = a.commit_files(spark, sf).select("commit_sha", "committed_epoch", "path")
     widest = (
         files.groupBy("commit_sha", "committed_epoch")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -168,8 +168,7 @@ held AS (
   WHERE rank IS NOT NULL)"""
 
 
-def _held(spark, sf):
-    epoch, ranked = _related(spark, sf)
+def _started(spark, sf, epoch, ranked):
     at = F.date_format(F.timestamp_seconds(F.lit(epoch)), "yyyy-MM-dd")
     return m.in_force(ranked, a.commits(spark, sf), F.lit(epoch), at)
 
@@ -180,7 +179,8 @@ def _held(spark, sf):
     + "SELECT memory_id, rank, since_epoch, in_force FROM held",
 )
 def memory_in_force(spark, sf):
-    return _held(spark, sf).select("memory_id", "rank", "since_epoch", "in_force")
+    found = _started(spark, sf, *_related(spark, sf))
+    return found.select("memory_id", "rank", "since_epoch", "in_force")
 
 
 @query(
@@ -190,7 +190,10 @@ def memory_in_force(spark, sf):
          FROM held ORDER BY rank, admitted_epoch DESC, memory_id LIMIT 5""",
 )
 def memory_section(spark, sf):
-    shown, left = m.section(_held(spark, sf))
+    epoch, ranked = _related(spark, sf)
+    shown, left = m.section(ranked)
+    # The rows that are shown are few: only their starts are looked up.
+    shown = _started(spark, sf, epoch, shown)
     # One row.
     return shown.join(F.broadcast(left)).select("memory_id", "rank", "in_force", "omitted")
 
