@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gitloom.operators.sequence import SEQ, ordered
 from gitloom.session import materialise
 
 FORMAT_VERSION = "1"
@@ -177,17 +178,26 @@ def header_line(repository: str, count: int, exported_at: str) -> str:
 
 
 def read_document(spark, path: str) -> DataFrame:
-    """(line_no, line, keys, row, is_header): the lines in their order in the file."""
+    """(line_no, line, keys, row, is_header): the lines, numbered from 1 as they stand in the file.
+
+    A file is read in blocks; file, block and the place inside it give the order.
+    """
     lines = spark.read.text(path).select(
-        "*", F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line")
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_place"),
+        F.col("value").alias("line"),
     )
+    numbered = ordered(lines, ["_file", "_block", "_place"]).frame
+    return materialise(document_of(numbered.select(F.col(SEQ).alias("line_no"), "line")), "document")
+
+
+def document_of(lines: DataFrame) -> DataFrame:
+    """(line_no, line) read as a document."""
     keys = F.json_object_keys("line")
-    return materialise(
-        lines.select("line_no", "line", keys.alias("keys"), F.from_json("line", ROW).alias("row")).withColumn(
-            "is_header", F.array_contains(F.coalesce("keys", F.array().cast("array<string>")), VERSION_KEY)
-        ),
-        "document",
-    )
+    read = lines.select("line_no", "line", keys.alias("keys"), F.from_json("line", ROW).alias("row"))
+    held = F.coalesce("keys", F.array().cast("array<string>"))
+    return read.withColumn("is_header", F.array_contains(held, VERSION_KEY))
 
 
 def header_of(document: DataFrame) -> dict:
@@ -196,34 +206,57 @@ def header_of(document: DataFrame) -> dict:
     return json.loads(document.where("is_header").orderBy("line_no").first()["line"])
 
 
-def _line_rules() -> list[tuple[str, Column]]:
+def _strange(part: str, known: tuple[str, ...]) -> Column:
+    """Does the object under that key have a key of its own making?"""
+    held = F.from_json(F.get_json_object("line", f"$.{part}"), "map<string,string>")
+    return F.size(F.array_except(F.map_keys(held), F.array(*map(F.lit, known)))) > 0
+
+
+def _moment(text: Column) -> Column:
+    return F.coalesce(text.rlike(MOMENT) & F.try_to_timestamp(text).isNotNull(), F.lit(False))
+
+
+def _line_rules(repository: str) -> list[tuple[str, Column]]:
     """(what is wrong, the test that finds it), in the order they are named."""
     row = F.col("row")
     strangers = F.size(F.array_except("keys", F.array(*map(F.lit, ROW_KEYS))))
     missing = F.size(F.array_except(F.array(*map(F.lit, ROW_KEYS)), "keys"))
-    state, kind = row["state"], row["subject"]["kind"]
+    state, kind, subject = row["state"], row["subject"]["kind"], row["subject"]
     no = lambda c: c.isNull()
     real_day = F.date_format(F.try_to_date(row["since"]["date"], "yyyy-MM-dd"), "yyyy-MM-dd") == row["since"]["date"]
     cites = row["citations"]
     pairs = F.transform(cites, lambda c: F.concat_ws("\0", c["kind"], c["ref"]))
     kinds = ("commit", "file", "definition", "range", "cochange", "absence")
+    own = F.from_json(F.get_json_object("line", "$.citations"), "array<map<string,string>>")
+    odd_citation = F.exists(own, lambda c: F.size(F.array_except(F.map_keys(c), F.array(F.lit("kind"), F.lit("ref")))) > 0)
+    too_much = (
+        (subject["path"].isNotNull() & ~kind.isin("path", "definition"))
+        | (subject["qualname"].isNotNull() & (kind != "definition"))
+        | (subject["commit"].isNotNull() & (kind != "commit"))
+    )
     return [
         ("the line is blank or not a JSON object", no(F.col("keys"))),
         ("the line has a key the format does not have", strangers > 0),
         ("the line lacks a key", missing > 0),
         ("the line does not read as a memory", no(row)),
+        ("a key inside the author is unknown", _strange("author", ("name", "email"))),
+        ("a key inside the subject is unknown", _strange("subject", ("kind", "path", "qualname", "commit"))),
+        ("a key inside since is unknown", _strange("since", ("commit", "date"))),
+        ("a key inside a citation is unknown", odd_citation),
+        ("the row is about another repository", row["repository"] != repository),
         ("the id is not a canonical uuid", ~row["memory_id"].rlike(UUID)),
         ("the statement is empty or over 4000 characters", ~F.length(F.trim(row["statement"])).between(1, 4000)),
-        ("the moment has no offset or is not one", ~row["admitted_at"].rlike(MOMENT)),
+        ("the moment has no offset or is not one", ~_moment(row["admitted_at"])),
         ("the state is unknown", ~state.isin("active", "superseded", "invalidated")),
         ("the subject is unknown", ~kind.isin("repository", "path", "definition", "commit")),
         ("the subject has no path", kind.isin("path", "definition") & no(row["subject"]["path"])),
         ("the subject has no name", (kind == "definition") & no(row["subject"]["qualname"])),
         ("the subject has no commit", (kind == "commit") & no(row["subject"]["commit"])),
+        ("a subject holds what its kind does not", too_much),
         ("two kinds of since", row["since"]["commit"].isNotNull() & row["since"]["date"].isNotNull()),
         ("since is not a day", row["since"]["date"].isNotNull() & (~row["since"]["date"].rlike(DAY) | ~F.coalesce(real_day, F.lit(False)))),
         ("an ended memory says when, an active one does not", (state == "active") != no(row["ended_at"])),
-        ("the end is not a moment", row["ended_at"].isNotNull() & ~row["ended_at"].rlike(MOMENT)),
+        ("the end is not a moment", row["ended_at"].isNotNull() & ~_moment(row["ended_at"])),
         ("a superseded memory names its successor, another does not", (state == "superseded") != row["superseded_by"].isNotNull()),
         ("an invalidated memory gives its reason, another does not", (state == "invalidated") != row["end_reason"].isNotNull()),
         ("a citation kind is unknown", F.exists(cites, lambda c: ~c["kind"].isin(*kinds) | no(c["ref"]))),
@@ -231,23 +264,35 @@ def _line_rules() -> list[tuple[str, Column]]:
     ]
 
 
-def first_violation(document: DataFrame):
-    """The first line that breaks a rule, or None. One bad line refuses the file."""
+def line_violations(document: DataFrame, repository: str) -> DataFrame:
+    """(line_no, rule): the first rule each line breaks; lines that break none are left out."""
     rule = F.lit(None).cast("string")
-    for name, test in reversed(_line_rules()):
+    for name, test in reversed(_line_rules(repository)):
         rule = F.when(F.coalesce(test, F.lit(True)) if name.startswith("the ") else F.coalesce(test, F.lit(False)), name).otherwise(rule)
-    wrong = document.where(~F.col("is_header")).select("line_no", rule.alias("rule")).where("rule is not null")
-    found = wrong.orderBy("line_no").first()
-    if found:
-        return found
+    return document.where(~F.col("is_header")).select("line_no", rule.alias("rule")).where("rule is not null")
+
+
+def first_violation(document: DataFrame):
+    """The first line that breaks a rule, or None. One bad line refuses the file."""
     counts = document.agg(
         F.count(F.when(F.col("is_header"), 1)).alias("headers"),
         F.count(F.when(~F.col("is_header"), 1)).alias("rows"),
         F.min("line_no").alias("first"),
+        F.min(F.when(F.col("is_header"), F.col("line_no"))).alias("header"),
     ).first()
     if counts["headers"] != 1:
         return {"line_no": 0, "rule": "the file has no header, or more than one"}
-    if header_of(document)["count"] != counts["rows"]:
+    if counts["header"] != counts["first"]:
+        return {"line_no": counts["header"], "rule": "the header is not the first line"}
+    header = header_of(document)
+    if set(header) != set(HEADER_KEYS):
+        return {"line_no": counts["first"], "rule": "the header's keys are not those of the format"}
+    if header[VERSION_KEY] != FORMAT_VERSION:
+        return {"line_no": counts["first"], "rule": "the format's version is another"}
+    found = line_violations(document, header["repository"]).orderBy("line_no").first()
+    if found:
+        return found
+    if header["count"] != counts["rows"]:
         return {"line_no": 0, "rule": "the header counts other than the lines there are"}
     twice = (
         document.where(~F.col("is_header"))
@@ -263,7 +308,7 @@ def first_violation(document: DataFrame):
 def memory_rows(document: DataFrame) -> DataFrame:
     """The document's memories as rows of the store, with their ``citations``."""
     row = F.col("row")
-    seconds = lambda c: F.unix_timestamp(F.to_timestamp(c))
+    seconds = lambda c: F.unix_timestamp(F.try_to_timestamp(c))
     return document.where(~F.col("is_header")).select(
         row["memory_id"].alias("memory_id"),
         row["statement"].alias("statement"),

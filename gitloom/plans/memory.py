@@ -335,3 +335,53 @@ FROM memories m LEFT JOIN listed l ON l.memory_id = m.memory_id""",
 def export_lines(spark, sf):
     held = ix.with_citations(a.memories(spark, sf), a.memory_citations(spark, sf).drop(REPO))
     return ix.memory_lines(held)
+
+
+FAULTS = [
+    None,
+    "the line has a key the format does not have",
+    "the line lacks a key",
+    "the id is not a canonical uuid",
+    "the statement is empty or over 4000 characters",
+    "the moment has no offset or is not one",
+    "the state is unknown",
+    "a subject holds what its kind does not",
+    "a key inside the subject is unknown",
+    "two kinds of since",
+    "a citation is given twice",
+    "the row is about another repository",
+    "the line is blank or not a JSON object",
+    "a key inside a citation is unknown",
+]
+
+
+@query(
+    "import_line_violations",
+    "SELECT line_no, rule FROM (SELECT o_orderkey AS line_no, CASE o_orderkey % 14 "
+    + " ".join(f"WHEN {i} THEN '{rule}'" for i, rule in enumerate(FAULTS) if rule)
+    + " END AS rule FROM orders) WHERE rule IS NOT NULL",
+)
+def import_line_violations(spark, sf):
+    """Orders as lines of an export, each with one fault or none."""
+    k = F.col("o_orderkey")
+    fault = k % len(FAULTS)
+    at = lambda n, bad, good: F.when(fault == n, bad).otherwise(good)
+    quoted = lambda text: F.concat(F.lit('"'), text, F.lit('"'))
+    number = F.lpad(k.cast("string"), 12, "0")
+    moment = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    cite = '{"kind":"commit","ref":"abc"}'
+    line = F.concat(
+        F.lit('{"memory_id":'), quoted(F.concat(at(3, "X", "0"), F.lit("0000000-0000-4000-8000-"), number)),
+        F.lit(',"repository":'), quoted(at(11, "elsewhere", "here")),
+        F.lit(',"statement":'), quoted(at(4, "  ", F.col("o_orderpriority"))),
+        F.lit(',"author":{"name":null,"email":"a@x"},"admitted_at":'), quoted(at(5, "2024-13-45T99:99:99+00:00", moment)),
+        at(2, "", F.concat(F.lit(',"state":'), quoted(at(6, "lost", "active")))),
+        F.lit(',"subject":{"kind":"repository","path":'), at(7, '"p"', "null"), F.lit(',"qualname":null,"commit":null'),
+        at(8, ',"colour":"red"', ""),
+        F.lit('},"since":{"commit":'), at(9, '"abc"', "null"), F.lit(',"date":"2024-02-10"}'),
+        F.lit(',"ended_at":null,"end_reason":null,"superseded_by":null,"citations":['),
+        F.when(fault == 10, f"{cite},{cite}").when(fault == 13, '{"kind":"commit","ref":"abc","note":"x"}').otherwise(cite),
+        F.lit("]"), at(1, ',"more":1', ""), at(12, "", "}"),
+    )
+    lines = a.table(spark, sf, "orders").select(k.alias("line_no"), line.alias("line"))
+    return ix.line_violations(ix.document_of(lines), "here")

@@ -16,7 +16,7 @@ def test_acts_follow_the_states(book):
     second = book.supersede(first[:8], "Log hashes only", subject_kind="path", subject_path="a.py")
     rows = {r["memory_id"]: r for r in book.read().collect()}
     assert (rows[first]["state"], rows[first]["superseded_by"]) == ("superseded", second)
-    with pytest.raises(MemoryError_, match="stays ended"):
+    with pytest.raises(MemoryError_, match="is over"):
         book.invalidate(first, "wrong")
     with pytest.raises(MemoryError_, match="reason"):
         book.invalidate(second, "  ")
