@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gitloom.operators import lifecycle as lc
-from gitloom.operators.sequence import SEQ, ordered, positioned
+from gitloom.operators.sequence import CHUNK, SEQ, ordered, positioned
 from tests import walks
 
 
