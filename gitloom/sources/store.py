@@ -11,7 +11,6 @@ import hashlib
 import os
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,11 +44,16 @@ class Store:
         return self.spark.createDataFrame([], schemas.TABLES[table])
 
     def read(self, table: str) -> DataFrame:
-        """The table, or no rows where it was never written."""
-        try:
-            return self.spark.read.schema(schemas.TABLES[table]).parquet(self._path(table))
-        except AnalysisException:
+        """The table, or no rows where it was never written. One that cannot be read is an error."""
+        if not self._files().exists(self._at(table)):
             return self.empty(table)
+        return self.spark.read.schema(schemas.TABLES[table]).parquet(self._path(table))
+
+    def _at(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.base, *parts]))
+
+    def _files(self):
+        return self._at("meta").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _shaped(self, table: str, frame: DataFrame) -> DataFrame:
         return frame.to(self.empty(table).schema)
@@ -57,20 +61,20 @@ class Store:
     def replace_repositories(self, table: str, frame: DataFrame, repos: DataFrame | None = None) -> None:
         """Replace the partitions *frame* holds rows for, and empty those of other *repos*."""
         shaped = self._shaped(table, frame)
+        emptied = []
         if repos is not None:
-            gone = self.read(table).select(REPO).distinct().join(repos.select(REPO), REPO, "left_semi")
-            left = gone.join(shaped.select(REPO).distinct(), REPO, "left_anti").collect()
-            if left:
-                kept = self.read(table).join(repos.select(REPO), REPO, "left_anti")
-                whole = materialise(kept.unionByName(shaped), f"replace-{table}")
-                whole.write.mode("overwrite").partitionBy(REPO).parquet(self._path(table))
-                return
+            # Of the repositories asked for, those that lose all their rows.
+            held = self.read(table).select(REPO).distinct().join(repos.select(REPO), REPO, "left_semi")
+            emptied = held.join(shaped.select(REPO).distinct(), REPO, "left_anti").collect()
         (
             shaped.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(REPO)
             .parquet(self._path(table))
         )
+        escaped = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        for row in emptied:
+            self._files().delete(self._at(table, f"{REPO}={escaped(row[REPO])}"), True)
 
     def append(self, table: str, frame: DataFrame) -> None:
         writer = self._shaped(table, frame).write.mode("append")
