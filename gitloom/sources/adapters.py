@@ -229,6 +229,9 @@ def patches(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("\nsimilarity index 100%\nrename from old"), p, F.lit("\nrename to new"), p, F.lit("\n"),
     )
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    # Building and reading patches costs far more than moving the few columns they are made of.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = lines.repartition(parts, "l_orderkey")
     return lines.select("l_orderkey", "l_partkey", "l_suppkey", patch.alias("patch"))
 
 
