@@ -2,8 +2,8 @@
 
 Documents are read in shards: consecutive documents of an input partition, up to a number of
 tokens. Each shard gets a BM25 inverted index over its token ids. Windows are filled greedily: the
-document that opens a window is the seed, its most telling tokens are asked of the index, and the
-best unused neighbours follow it, those that fit the gap first; if none fits, the best one is cut
+document that opens a window is the seed, all its tokens are asked of the index, and the best
+unused neighbours follow it, those that fit the gap first; if none fits, the best one is cut
 and its rest opens the next window. Where no unused neighbour shares a token, the next document in
 order follows, so a window is never left open.
 
@@ -34,13 +34,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 END = 1
+# Tokens that more than one in so many documents of a shard have lie as whole rows of weights.
+DENSE = 8
 
 
 @dataclass(frozen=True)
 class Packer:
     window: int = 2048
     shard_tokens: int = 1 << 22
-    query_tokens: int = 16
+    # How many of a seed's tokens are asked, rarest first; None: all of them.
+    query_tokens: int | None = None
     neighbours: int = 8
     k1: float = 1.2
     b: float = 0.75
@@ -98,27 +101,50 @@ class Index:
         owner = np.repeat(np.arange(self.n), lengths)
         pairs, counts = np.unique((flat << 32) | owner, return_counts=True)
         token, doc = pairs >> 32, pairs & 0xFFFFFFFF
-        self.docs = doc
         vocabulary = int(flat.max()) + 1
-        self.starts = np.searchsorted(token, np.arange(vocabulary + 1))
-        df = np.diff(self.starts)
+        df = np.bincount(token, minlength=vocabulary)
         self.idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
         self.idf[df < 2] = 0.0  # of no use: only its own document has it
         norm = packer.k1 * (1 - packer.b + packer.b * lengths / lengths.mean())
-        self.weights = self.idf[token] * counts * (packer.k1 + 1) / (counts + norm[doc])
+        weights = self.idf[token] * counts * (packer.k1 + 1) / (counts + norm[doc])
         self.query_tokens = packer.query_tokens
+        self._hold(np.arange(self.n), token, doc, weights)
+
+    def _hold(self, live: np.ndarray, token: np.ndarray, doc: np.ndarray, weights: np.ndarray) -> None:
+        """Postings of the *live* documents, *doc* being places among them; frequent tokens as rows."""
+        self.live, self.token, self.docs, self.weights = live, token, doc, weights
+        df = np.bincount(token, minlength=len(self.idf))
+        self.starts = np.concatenate([[0], np.cumsum(df)])
+        often = np.flatnonzero(df * DENSE > len(live))
+        self.row = np.full(len(df), -1)
+        self.row[often] = np.arange(len(often))
+        held = self.row[token] >= 0
+        self.dense = np.zeros((len(often), len(live)))
+        self.dense[self.row[token[held]], doc[held]] = weights[held]
+
+    def narrow(self, unused: np.ndarray) -> None:
+        """Forget the documents that are used up; weights stay those of the whole shard."""
+        left = unused[self.live]
+        place = np.cumsum(left) - 1
+        stay = left[self.docs]
+        self._hold(self.live[left], self.token[stay], place[self.docs[stay]], self.weights[stay])
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
-        """Every document's score for the tokens of *ids* that are rarest in the shard."""
+        """Every held document's score for the tokens of *ids*; 0 for those forgotten."""
         asked = np.unique(ids)
         asked = asked[self.idf[asked] > 0]
-        if len(asked) > self.query_tokens:
+        if self.query_tokens is not None and len(asked) > self.query_tokens:
             asked = asked[np.argpartition(-self.idf[asked], self.query_tokens)[: self.query_tokens]]
-        spans = [slice(self.starts[t], self.starts[t + 1]) for t in asked]
-        if not spans:
-            return np.zeros(self.n)
-        docs = np.concatenate([self.docs[s] for s in spans])
-        return np.bincount(docs, np.concatenate([self.weights[s] for s in spans]), self.n)
+        rows = self.row[asked]
+        found = self.dense[rows[rows >= 0]].sum(axis=0)
+        rest = asked[rows < 0]
+        spans = [slice(a, b) for a, b in zip(self.starts[rest].tolist(), self.starts[rest + 1].tolist()) if a < b]
+        if spans:
+            docs = np.concatenate([self.docs[s] for s in spans])
+            found += np.bincount(docs, np.concatenate([self.weights[s] for s in spans]), len(self.live))
+        scores = np.zeros(self.n)
+        scores[self.live] = found
+        return scores
 
 
 def order(documents: list[np.ndarray], packer: Packer) -> list[int]:
@@ -139,6 +165,8 @@ def order(documents: list[np.ndarray], packer: Packer) -> list[int]:
         if gap:
             found = [d for d in found if unused[d]]
             if not found:
+                if 5 * (n - len(placed)) <= 4 * len(index.live):
+                    index.narrow(unused)
                 found = neighbours(index.scores(documents[seed]), unused, packer.neighbours)
             if found:
                 choice = next((d for d in found if lengths[d] <= gap), found[0])

@@ -92,5 +92,22 @@ def test_scores_are_bm25():
         assert abs(got[d] - want) < 1e-9
 
 
+def test_default_scores_ask_every_token():
+    rng = np.random.default_rng(6)
+    made = [rng.integers(2, 90, 120).astype("<u4") for _ in range(12)]
+    got = packing.Index(made, packing.Packer()).scores(made[0])
+    every = packing.Index(made, packing.Packer(query_tokens=1000)).scores(made[0])
+    few = packing.Index(made, packing.Packer(query_tokens=16)).scores(made[0])
+    assert np.allclose(got, every) and not np.allclose(got, few)
+
+
+def test_an_unused_sharer_goes_before_the_next_in_order():
+    """The seed's rarest tokens stand in one used document; of its common ones the last document has most."""
+    rare, common = np.arange(100, 120), np.arange(10, 30)
+    made = [np.append(rare, common), rare, *[np.arange(200, 220)] * 6, common]
+    placed = packing.order([d.astype("<u4") for d in made], packing.Packer(window=200))
+    assert placed[:3] == [0, 1, 8]
+
+
 def test_empty_table(spark):
     assert packing.packed(docs(spark, [])).count() == 0
