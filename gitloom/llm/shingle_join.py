@@ -188,12 +188,11 @@ class SetIndex:
             yield x, np.flatnonzero(linked & (overlap > 0))
 
 
-def _answered(names: np.ndarray, sizes: np.ndarray, members: np.ndarray, side: np.ndarray, sets: list, join: Join):
-    """(class, root, links) of a task's sets; with two sides only links across count."""
+def _answered(names: np.ndarray, sizes: np.ndarray, members: np.ndarray, side: np.ndarray, sets: list, join: Join, across: bool):
+    """(class, root, links) of a task's sets; *across*: only links between its two sides count."""
     order = np.lexsort((names, sizes))
     names, sizes, members, side = names[order], sizes[order], members[order], side[order]
     index = SetIndex([sets[i] for i in order.tolist()], sizes, join)
-    across = side.min() != side.max()
     parent = np.arange(len(names))
 
     def root(i: int) -> int:
@@ -264,9 +263,14 @@ def grouped(docs: DataFrame, join: Join = Join(), *, text: str = "text", key: st
         "block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "class", "n", "members", "shingles"
     )
 
-    def answer(rows: pd.DataFrame) -> pd.DataFrame:
+    def answer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        # One of two parts may be empty: the task's name says what counts, not the sides present.
+        across = key[1] != key[2]
+        if across and rows["part"].nunique() < 2:
+            rows = rows[:0]
         held = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
-        found = _answered(*(rows[c].to_numpy() for c in ("class", "n", "members", "part")), held, join)
+        columns = [rows[c].to_numpy() for c in ("class", "n", "members", "part")]
+        found = _answered(*columns, held, join, across) if held else ([], [], [])
         return pd.DataFrame(dict(zip(("class", "root", "links"), found)))
 
     answers = materialise(

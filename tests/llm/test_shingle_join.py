@@ -116,3 +116,8 @@ def test_components(spark):
 def test_empty_table(spark):
     assert shingle_join.grouped(docs(spark, [])).count() == 0
     assert shingle_join.kept(docs(spark, [])).count() == 0
+
+
+def test_a_block_with_empty_parts(spark):
+    """As many parts as sets: a task of two parts of which one is empty counts nothing again."""
+    compare(spark, near_copies(40, 5), shingle_join.Join(part_shingles=75))
