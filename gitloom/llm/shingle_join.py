@@ -235,7 +235,7 @@ def _blocks(reduced: DataFrame, join: Join) -> DataFrame:
 
 
 def grouped(docs: DataFrame, join: Join = Join(), *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(id, th, n, component, links) for every row; th: the text's hash; counts the other rows it links with."""
+    """(id, th, n, component, links, root) for every row; th: the text's hash; counts the other rows it links with; root: a class of the group."""
     value = F.col(f"`{text}`")
     slim = docs.select(F.col(f"`{key}`").cast("long").alias("id"), value.alias("_text"), F.xxhash64(value).alias("th"))
     make = _sets(join)
@@ -281,7 +281,7 @@ def grouped(docs: DataFrame, join: Join = Join(), *, text: str = "text", key: st
     per_class = members.join(known, "class", "left").join(roots.withColumnRenamed("node", "class"), "class", "left")
     rooted = per_class.withColumn("root", F.coalesce("root", "class"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    final = rooted.join(lows, "root").select("class", "component", "members", F.coalesce("links", F.lit(0)).alias("links"))
+    final = rooted.join(lows, "root").select("class", "root", "component", "members", F.coalesce("links", F.lit(0)).alias("links"))
     joined = named.join(final, "class")
     empty = F.col("n") == 0
     return joined.select(
@@ -290,6 +290,7 @@ def grouped(docs: DataFrame, join: Join = Join(), *, text: str = "text", key: st
         "n",
         F.when(empty, F.col("id")).otherwise(F.col("component")).alias("component"),
         F.when(empty, F.lit(0)).otherwise(F.col("links") + F.col("members") - 1).cast("long").alias("links"),
+        "root",
     )
 
 
@@ -298,11 +299,13 @@ def kept(docs: DataFrame, join: Join = Join(), *, text: str = "text", key: str =
 
     A document with the empty set is a group of its own.
     """
-    found = grouped(docs, join, text=text, key=key).filter(F.col("id").eqNullSafe(F.col("component")))
-    empty = F.when(F.col("n") == 0, F.col("th"))
-    chosen = found.groupBy("component", empty.alias("e")).agg(F.min("th").alias("h"))
+    found = grouped(docs, join, text=text, key=key)
+    alone = F.when(F.col("n") == 0, F.struct("id", "th"))
+    # Ids may be NULL or stand for several texts, so groups are told apart by root.
+    first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "th"))
+    chosen = found.groupBy("root", alone.alias("e")).agg(first.alias("f"))
     last = F.lit((1 << 63) - 1)
-    chosen = chosen.select(F.coalesce("component", last).alias("k"), "h").distinct()
+    chosen = chosen.select(F.coalesce("f.id", last).alias("k"), F.col("f.th").alias("h")).distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW)
     named = docs.select(row, F.coalesce(F.col(f"`{key}`").cast("long"), last).alias("k"), F.xxhash64(F.col(f"`{text}`")).alias("h"))
     return named.join(chosen, ["k", "h"]).dropDuplicates(["k", "h"]).select(f"{ROW}.*")

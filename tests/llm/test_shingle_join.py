@@ -121,3 +121,12 @@ def test_empty_table(spark):
 def test_a_block_with_empty_parts(spark):
     """As many parts as sets: a task of two parts of which one is empty counts nothing again."""
     compare(spark, near_copies(40, 5), shingle_join.Join(part_shingles=75))
+
+
+def test_rows_of_one_id_or_none_stay_if_nothing_links_them(spark):
+    rows = [(None, sentence(s, 60), "en", "a", 1) for s in (1, 4, 6, 9)]
+    rows += [(5, sentence(s, 60), "en", "a", 1) for s in (2, 7, 8)]
+    rows += [(None, None, "en", "a", 1), (None, "", "en", "a", 1), (5, "", "en", "a", 1)]
+    again = [rows[0], rows[4], rows[7], (6, rows[4][1] + " more", "en", "a", 1)]
+    stay = shingle_join.kept(docs(spark, rows + again)).collect()
+    assert sorted(map(repr, map(tuple, stay))) == sorted(map(repr, rows))
