@@ -169,3 +169,9 @@ def training_order(docs: DataFrame, **options) -> DataFrame:
     key = options.get("key", "doc_id")
     spread = copies.repartitionByRange("position", F.col(f"{ROW}.`{key}`"), "copy")
     return spread.sortWithinPartitions("position", F.col(f"{ROW}.`{key}`"), "copy").select(f"{ROW}.*")
+
+
+def by_first_position(mixed: DataFrame, key: str) -> DataFrame:
+    """What ``mixed`` gives, range-sorted by each document's first position; those without one last."""
+    order = [F.get("positions", F.lit(0)).asc_nulls_last(), F.col(f"{ROW}.`{key}`").asc()]
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order)

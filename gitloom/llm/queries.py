@@ -127,8 +127,9 @@ FROM joined
 @query("op10_curriculum_mix", MIX_SQL)
 def curriculum_mix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    mixed = curriculum.mixed(docs, keep_rows=False)
-    return mixed.select("_row.doc_id", "size", "source_size", "target", "taken")
+    # In the order in which training first meets the documents; those it never takes come last.
+    found = curriculum.by_first_position(curriculum.mixed(docs, keep_rows=False), "doc_id")
+    return found.select("_row.doc_id", "size", "source_size", "target", "taken")
 
 
 @query("op1_toxic_segments")

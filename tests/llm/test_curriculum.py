@@ -1,8 +1,10 @@
 import collections
+import hashlib
 
 import pytest
 
 from gitloom.llm import curriculum
+from gitloom.llm.queries import QUERIES
 from tests.llm.cases import docs, odd_rows, sentence, widened, words
 
 
@@ -78,6 +80,38 @@ def test_training_order_repeats_whole_rows(spark):
     assert copies == +want
 
 
+def asked_by(t, knots):
+    """The share of a schedule's words that is asked for by time *t*."""
+    done = 0.0
+    for (t0, w0), (t1, w1) in zip(knots, knots[1:]):
+        x = min(max(t - t0, 0.0), t1 - t0)
+        done += x * w0 + x * x * (w1 - w0) / (t1 - t0) / 2
+    return done / curriculum.integral(knots)
+
+
+def test_query_comes_in_training_order(spark, tmp_path):
+    """Where a document stands in the query is where its source's schedule asks for it."""
+    made = [(i, sentence(i, 3 + (i * i) % 90), "en", "abc"[i % 3], 1) for i in range(240)]
+    docs(spark, made).write.parquet(str(tmp_path / "documents.parquet"))
+    sizes = collections.Counter()
+    for r in made:
+        sizes[r[3]] += len(words(r[1]))
+    first = {}
+    for i, (source, target) in enumerate(sorted(plain_targets(sizes).items())):
+        offset = 0
+        for r in sorted((r for r in made if r[3] == source), key=lambda r: hashlib.md5(f"mix:{r[0]}:{r[1]}".encode()).hexdigest()):
+            size, low, high = len(words(r[1])), 0.0, 1.0
+            if target >= sizes[source] or offset + size / 2 <= target:
+                for _ in range(50):
+                    t = (low + high) / 2
+                    low, high = (t, high) if asked_by(t, curriculum.SCHEDULES[i]) < (offset + size / 2) / target else (low, t)
+                first[r[0]] = low
+            offset += size
+    got = [first.get(r["doc_id"], 2.0) for r in QUERIES["op10_curriculum_mix"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(made) and len(set(got)) > 100
+    assert all(a <= b + 1e-9 for a, b in zip(got, got[1:]))
+
+
 def test_empty_table(spark):
     assert curriculum.mixed(docs(spark, [])).count() == 0
     assert curriculum.mixed(docs(spark, [(1, None, "en", "a", 0)])).first()["taken"] == 0
