@@ -2,7 +2,8 @@
 
 A line goes if an earlier occurrence of the same line, or of a line within one edited character,
 stands in the input: a lower doc_id, or the same document higher up. That is judged on the input,
-not on what is left. Lines shorter than ``min_chars`` characters or without a word are left alone.
+not on what is left. Lines without a word are left alone. So are lines shorter than ``min_chars``
+characters, unless ``short`` is set: then those go that are equal to an earlier one.
 
 Emitting all one-character deletions of long lines would multiply the text by its own length, so
 the neighbourhood is emitted coarse to fine. A line leaves out one of three blocks at a time and
@@ -37,6 +38,7 @@ CELL_BITS = 20
 class Rule:
     min_chars: int = 16
     near: bool = True
+    short: bool = False
 
 
 def _identity(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -53,11 +55,11 @@ def _cell() -> Column:
     return F.pmod(F.xxhash64("th", F.lit(3)), F.lit(1 << CELL_BITS)).cast("int")
 
 
-def _lines(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(id, th, no, line): the lines that are compared."""
+def _lines(docs: DataFrame, least: int) -> DataFrame:
+    """(id, th, no, line): the lines that are compared, of *least* characters or more."""
     every = docs.select("id", "th", F.posexplode(F.split("body", "\n", -1)).alias("no", "line"))
     return every.filter(
-        (F.char_length("line") >= rule.min_chars) & F.col("line").rlike(r"[^\x20\x09-\x0D]")
+        (F.char_length("line") >= least) & F.col("line").rlike(r"[^\x20\x09-\x0D]")
     )
 
 
@@ -99,7 +101,7 @@ def _shared(rows: DataFrame) -> DataFrame:
 def _near(docs: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): lines that have an earlier line within one edit."""
     n = 2 * LEVEL0
-    keyed = _named(_lines(docs, rule)).select(
+    keyed = _named(_lines(docs, rule.min_chars)).select(
         "a", "b", "id", "th", "no", *[k.alias(f"k{i}") for i, k in enumerate(_level0_keys())]
     )
     distinct = keyed.groupBy("a", "b").agg(
@@ -187,7 +189,7 @@ def removed_lines(docs: DataFrame, rule: Rule = Rule(), *, text: str = "text", k
 
 
 def _removed(docs: DataFrame, rule: Rule) -> DataFrame:
-    lines = _named(_lines(docs, rule)).select("a", "b", "id", "th", "no")
+    lines = _named(_lines(docs, 0 if rule.short else rule.min_chars)).select("a", "b", "id", "th", "no")
     first = lines.groupBy("a", "b").agg(F.min(F.struct("id", "th", "no")).alias("first"))
     if rule.near:
         near = materialise(_near(docs, rule), "line-near").withColumn("near", F.lit(True))

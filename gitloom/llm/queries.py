@@ -198,6 +198,17 @@ def line_neighbourhoods(spark, sf_dir):
     return found.select("_row.doc_id", "text", "n_lines", "n_removed", "n_near")
 
 
+# Every line with a word meets its equals; only the one-edit step keeps to 16 characters.
+EVERY_LINE_SQL = LINE_SQL.replace("length(line) >= 16 AND ", "").replace("WHERE nth = 1)", "WHERE nth = 1 AND length(line) >= 16)")
+
+
+@query("op3_every_line", EVERY_LINE_SQL)
+def every_line(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.deduplicated(docs, line_dedup.Rule(short=True))
+    return found.select("_row.doc_id", "text", "n_lines", "n_removed", "n_near")
+
+
 @query("op8_set_relation_join")
 def set_relation_join(spark, sf_dir):
     found = shingle_join.grouped(table(spark, sf_dir, "documents"))

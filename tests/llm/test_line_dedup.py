@@ -79,5 +79,17 @@ def test_exact_only(spark):
     assert {r["_row"]["doc_id"]: r["text"] for r in found} == {1: rows[0][1], 2: "a line that is long enouhh"}
 
 
+def test_every_line_with_a_word(spark):
+    """Short lines go where they are equal to an earlier one; one edit is for the longer ones."""
+    rows = [
+        (1, "Les.\nfifteen letters\nsixteen letters.\n \n漢", "", "", 0),
+        (2, "Les.\nLez.\nfifteen letterz\nsixteen letterz.\n\n \n漢\nLes.", "", "", 0),
+        (None, "Lez.\nnew", "", "", 0),
+    ]
+    found = line_dedup.deduplicated(docs(spark, rows), line_dedup.Rule(short=True)).collect()
+    got = {r["_row"]["doc_id"]: (r["text"], r["n_removed"], r["n_near"]) for r in found}
+    assert got == {1: (rows[0][1], 0, 0), 2: ("fifteen letterz\n\n ", 5, 1), None: (rows[2][1], 0, 0)}
+
+
 def test_empty_table(spark):
     assert line_dedup.deduplicated(docs(spark, [])).count() == 0
