@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gitloom.llm import chat, context_tree, curriculum, line_dedup, packing, quality_bands, repeats, shingle_join, toxicity, vantage
+from gitloom.llm import (
+    chat,
+    context_tree,
+    curriculum,
+    hard_negatives,
+    line_dedup,
+    max_score,
+    packing,
+    quality_bands,
+    repeats,
+    resample,
+    shingle_join,
+    toxicity,
+    vantage,
+)
 from gitloom.llm.common import crc_remainder, small_batches, table
 from gitloom.session import ship, tune
 
@@ -242,3 +256,57 @@ def suffix_repeats(spark, sf_dir):
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+# The vectors that take part, as whole numbers; products of these are exact in doubles.
+WHOLE_SQL = r"""
+  SELECT vec_id, {label}[floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL {told}
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0"""
+
+TOP_SQL = f"""
+WITH whole AS ({WHOLE_SQL.format(label="", told="")}),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query("op11_max_score", TOP_SQL)
+def max_score_search(spark, sf_dir):
+    return max_score.top(table(spark, sf_dir, "embeddings"), lambda key: key % 50 == 0)
+
+
+NEGATIVE_SQL = f"""
+WITH whole AS ({WHOLE_SQL.format(
+    label="CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, ", told="AND label IS NOT NULL")}),
+scores AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike,
+         CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM whole a JOIN whole c ON len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score,
+         row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS nth FROM scores WHERE alike),
+ranked AS (
+  SELECT s.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY s.anchor_id, nth ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM scores s JOIN positives p ON s.anchor_id = p.anchor_id AND nth <= 5
+  WHERE NOT alike AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
+"""
+
+
+@query("op12_hard_negatives", NEGATIVE_SQL)
+def angular_negatives(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.mined(vectors, lambda key: key % 100 == 0)
+
+
+@query("op13_importance_draw")
+def importance_draw(spark, sf_dir):
+    drawn = resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
