@@ -224,6 +224,20 @@ def running_statistics(lives: Sequence) -> DataFrame:
     return materialise(told, "totals")
 
 
+def event_numbers(lives: Sequence) -> DataFrame:
+    """Each event with ``commits``, its number in its life: all that a look back needs."""
+    return materialise(running(lives, LIFE, [Running("commits", "count", F.lit(1))]), "numbers")
+
+
+def touched_lives(numbers: DataFrame, members: DataFrame) -> DataFrame:
+    """Each life a unit touches: the path it leaves it under and where it first touched it."""
+    return (
+        numbers.join(members, [REPO, "commit_sha"])
+        .groupBy(*UNIT, "life_id")
+        .agg(F.max_by("path", SEQ).alias("path"), F.min("commits").alias("first_position"))
+    )
+
+
 def lives_as_left(totals: DataFrame, members: DataFrame) -> DataFrame:
     """Each touched life as its unit leaves it: cut at its last event inside the unit.
 
@@ -362,31 +376,16 @@ def kept_absences(absences: DataFrame, cap: int = ABSENCES) -> DataFrame:
 
 def kept_lives(left: DataFrame, names: DataFrame, changes: DataFrame, cap: int = FILE_CHANGES) -> DataFrame:
     """Lives that ever carried the name of a kept change. *names*: every name a life had."""
-    shown = changes.select(*UNIT, "path")
-    reached = (
-        left.select(*UNIT, "life_id")
-        .join(names.select(*LIFE, "path"), LIFE)
-        .join(shown, [*UNIT, "path"], "left_semi")
-        .select(*UNIT, "life_id")
-        .distinct()
-    )
-    return first_rows(left.join(reached, [*UNIT, "life_id"], "left_semi"), ["life_id"], cap)
+    held = left.select(*UNIT, "life_id").join(names.select(*LIFE, "path"), LIFE)
+    return lives_of_changes(left, held, changes, cap)
 
 
-def cut_counts(whole: dict[str, DataFrame], caps: dict[str, int]) -> DataFrame:
-    """(unit, list, shown, omitted) for every list of every unit."""
-    counted = [
-        rows.groupBy(*UNIT)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            *UNIT,
-            F.lit(name).alias("list"),
-            F.least("_n", F.lit(caps[name])).alias("shown"),
-            F.greatest(F.col("_n") - caps[name], F.lit(0)).alias("omitted"),
-        )
-        for name, rows in whole.items()
-    ]
-    return reduce(DataFrame.unionByName, counted)
+def lives_of_changes(lives: DataFrame, names: DataFrame, changes: DataFrame, cap: int = FILE_CHANGES) -> DataFrame:
+    """The same where *names* says what each life of a unit was called."""
+    reached = (
+        names.join(changes.select(*UNIT, "path"), [*UNIT, "path"], "left_semi").select(*UNIT, "life_id").distinct()
+    )
+    return first_rows(lives.join(reached, [*UNIT, "life_id"], "left_semi"), ["life_id"], cap)
 
 
 def cut_messages(commits: DataFrame, cap: int = MESSAGE_CHARACTERS) -> DataFrame:

@@ -210,18 +210,28 @@ def range_lives(spark, sf):
     return ev.lives_as_left(_totals(spark, sf), a.yearly_members(spark, sf)).select(*LEFT)
 
 
+NUMBERS = """
+numbers AS (SELECT *, row_number() OVER (PARTITION BY life_id ORDER BY seq) AS commits FROM ev),
+touched AS (
+  SELECT m.unit, n.life_id, arg_max(path, seq) AS path, min(n.commits) AS first_position
+  FROM numbers n JOIN members m ON m.commit_sha = n.commit_sha GROUP BY m.unit, n.life_id),
+wanted AS (
+  SELECT unit, life_id, first_position - 1 AS total,
+         unnest(range(greatest(first_position - 5, 1), first_position)) AS position FROM touched),
+earlier AS (
+  SELECT w.unit, w.life_id, w.position, w.total, n.commit_sha, n.change_type, n.added_lines, n.deleted_lines
+  FROM wanted w JOIN numbers n ON n.life_id = w.life_id AND n.commits = w.position)"""
+
+
 @query(
     "earlier_commits_window",
-    SEEN
-    + """SELECT l.unit, l.life_id, t.commits AS position, l.first_position - 1 AS total, t.commit_sha,
-           t.change_type, t.added_lines, t.deleted_lines
-         FROM left_ l JOIN totals t ON t.life_id = l.life_id
-           AND t.commits BETWEEN l.first_position - 5 AND l.first_position - 1""",
+    ctes(v.COMMITS, v.FILE_LIVES, MEMBERS, NUMBERS)
+    + """SELECT unit, life_id, position, total, commit_sha, change_type, added_lines, deleted_lines FROM earlier""",
 )
 def earlier_commits_window(spark, sf):
-    totals = _totals(spark, sf)
-    left = ev.lives_as_left(totals, a.yearly_members(spark, sf))
-    return ev.earlier_commits(totals, left).select(
+    numbers = ev.event_numbers(lc.lifecycle_events(a.order_sequence(spark, sf), renames=False))
+    touched = ev.touched_lives(numbers, a.yearly_members(spark, sf))
+    return ev.earlier_commits(numbers, touched).select(
         "unit", "life_id", "position", "total", "commit_sha", "change_type", "added_lines", "deleted_lines"
     )
 
@@ -346,22 +356,6 @@ def selection_lives(spark, sf):
     return ev.kept_lives(ev.lives_as_left(totals, members), names, changes).select("unit", "life_id", "path")
 
 
-@query(
-    "selection_counts",
-    ctes(v.COMMITS, v.FILES, MEMBERS, CHANGES)
-    + """SELECT unit, 'file_changes' AS list, least(count(*), 20) AS shown, greatest(count(*) - 20, 0) AS omitted
-         FROM changes GROUP BY unit
-         UNION ALL SELECT unit, 'commits', least(count(*), 25), greatest(count(*) - 25, 0) FROM members GROUP BY unit""",
-)
-def selection_counts(spark, sf):
-    members = a.yearly_members(spark, sf)
-    changes = ev.path_changes(ev.occurrences(members, a.commit_files(spark, sf)))
-    return ev.cut_counts(
-        {"file_changes": changes, "commits": members},
-        {"file_changes": ev.FILE_CHANGES, "commits": ev.COMMITS},
-    ).select("unit", "list", "shown", "omitted")
-
-
 @query(
     "message_cut",
     """SELECT doc_id, substring(text, 1, 4000) AS message,
