@@ -261,11 +261,23 @@ def explain(s: Session, args):
     else:
         unit = ex.Unit(s.repo, s.root, git.resolve(s.root, args.revision))
     found = ex.build(s.spark, s.store, unit)
-    document = dict(found.document)
-    section = _section(s, found)
-    if section:
-        document["memory"] = section
-    return document
+    seen, section, told = ex.shown(s.spark, found), _section(s, found), None
+    if args.view:
+        return seen.document
+    if args.answer:
+        with open(args.answer, encoding="utf-8") as file:
+            answer = file.read()
+        broken = ex.broken_rules(s.spark, found, seen, answer, _shown_memories(section))
+        if broken:
+            raise ValueError(f"the answer breaks: {', '.join(broken)}")
+        told = ex.explanation(s.spark, answer)
+        ex.record(s.store, found, args.provider, args.model, args.prompt)
+    return ex.envelope(found, seen, told, section)
+
+
+def _shown_memories(section: dict | None) -> list[str]:
+    lists = ("in_force", "not_provably_in_force")
+    return [m["memory_id"] for name in lists for m in (section or {}).get(name, [])]
 
 
 def runs(s: Session, args):
@@ -503,6 +515,10 @@ def _parser() -> argparse.ArgumentParser:
     p.set_defaults(act_=structure)
     p = common(commands.add_parser("explain"))
     p.add_argument("revision")
+    p.add_argument("--view", action="store_true", help="print what a model is shown instead of the whole evidence")
+    p.add_argument("--answer", help="a file with a model's answer, checked against the view and recorded")
+    for name in ("provider", "model", "prompt"):
+        p.add_argument(f"--{name}", default="", help="noted with the answer")
     p.set_defaults(act_=explain)
 
     acts = commands.add_parser("memory").add_subparsers(dest="act", required=True)

@@ -67,6 +67,7 @@ def test_memory_commands(ask):
     listed = run("memory", "list")["memories"]
     assert {c["kind"]: c["resolution"] for c in listed[0]["citations"]}["range"] == "not_checked"
     document = run("explain", shas[1])
+    assert (document["commit"], document["state"], document["explanation"]) == (shas[1], "evidence_only", None)
     assert [x["memory_id"] for x in document["memory"]["in_force"]] == [made]
     run("memory", "invalidate", made, "--reason", "gone")
     assert run("memory", "list")["memories"] == []
@@ -76,5 +77,32 @@ def test_memory_commands(ask):
 
 def test_answers_are_json(ask):
     run, shas = ask
-    json.dumps(run("explain", f"{shas[0]}..{shas[2]}"))
+    found = run("explain", f"{shas[0]}..{shas[2]}")
+    json.dumps(found)
+    assert found["range"] == f"{shas[0]}..{shas[2]}" and "selection" not in found
     assert run("runs")["runs"] == []
+
+
+def test_a_model_answer_is_checked_and_recorded(ask, tmp_path):
+    run, shas = ask
+
+    def answer(ref, kind="range"):
+        evidence = [{"id": "e1", "kind": kind, "ref": ref, "detail": "d"}, {"id": "e2", "kind": "commit", "ref": shas[1][:9], "detail": "d"}]
+        told = {
+            "summary": "f returns another number [oc1]", "observed_changes": [{"id": "oc1", "statement": "moved", "evidence": ["e1", "e2"]}],
+            "evidence": evidence, "possible_reasons": [{"statement": "a fix", "based_on": ["oc1"]}], "uncertainty": [],
+            "related_memory": [],
+        }
+        path = tmp_path / "answer.json"
+        path.write_text(json.dumps(told))
+        return run("explain", shas[1], "--answer", str(path), "--model", "m", "--provider", "p")
+
+    with pytest.raises(ValueError, match="evidence_not_held"):
+        answer("a.py:3-3")
+    assert run("runs")["runs"] == []
+    found = answer("a.py:2-2")
+    assert found["state"] == "explained"
+    assert found["explanation"]["possible_reasons"][0]["confidence"] == {"observed_changes": 1, "commits": [shas[1][:8]]}
+    recorded = run("runs")["runs"]
+    assert [(r["unit_spec"], r["model"], r["bundle_sha256"]) for r in recorded] == [(shas[1], "m", found["bundle_sha256"])]
+    assert answer("c.py", "file")["state"] == "explained"
