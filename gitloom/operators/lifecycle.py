@@ -18,79 +18,98 @@ CREATED, MODIFIED, DELETED, RENAMED = "A", "M", "D", "R"
 def walk_keys(commits: DataFrame, parents: DataFrame | None) -> DataFrame:
     """Give each commit a sortable ``walk_key``: parents first, then time, then sha.
 
-    Always taking the smallest ready commit by (time, sha) means that a commit
-    is walked right after the largest key among its ancestors when that key is
-    larger than its own. So the first element of the walk key is that largest
-    key; commits sharing it are ordered, behind their leader, by the same rule
-    applied among themselves. Where no parent is younger than its child, which
-    one join establishes, the key is the commit's own.
+    Always taking the smallest ready commit by (time, sha) means that a commit older than some
+    ancestor is walked among those that this ancestor set free. So a commit's key is the list of the
+    ancestors it waited for, each older than the one before, and itself at the end: of its parent
+    walked last, the list's elements younger than the commit, then the commit. Keys compare element
+    by element, the shorter first. Where no parent is younger than its child, which one join
+    establishes, the key is the commit alone.
     """
     own = F.struct(F.col("committed_epoch").alias("t"), F.col("sha").alias("s"))
     nodes = commits.select(REPO, "sha", own.alias("own"))
+    alone = nodes.select(REPO, "sha", F.array("own").alias("walk_key"))
     if parents is None:
-        return nodes.select(REPO, "sha", F.array("own").alias("walk_key"))
+        return alone
 
-    key = nodes.select(REPO, F.col("sha").alias("_s"), F.col("own").alias("_o"))
     edges = parents.select(REPO, F.col("parent_sha").alias("p"), F.col("commit_sha").alias("c"))
-    skewed = (
-        edges.join(key.select(REPO, F.col("_s").alias("p"), F.col("_o").alias("po")), [REPO, "p"])
-        .join(key.select(REPO, F.col("_s").alias("c"), F.col("_o").alias("co")), [REPO, "c"])
-        .where("po > co")
+    told = edges.join(nodes.select(REPO, F.col("sha").alias("p"), F.col("own").alias("po")), [REPO, "p"]).join(
+        nodes.select(REPO, F.col("sha").alias("c"), F.col("own").alias("co")), [REPO, "c"]
     )
+    skewed = materialise(told.where("po > co").select(REPO, "po", "co"), "skewed-edges")
     if skewed.limit(1).count() == 0:
-        return nodes.select(REPO, "sha", F.array("own").alias("walk_key"))
-    return _walk_keys_of_skewed_clocks(nodes, edges)
+        return alone
+    waiting = materialise(_between_skewed_ends(nodes, skewed), "skewed-commits")
+    known = materialise(told.join(waiting.select(REPO, F.col("sha").alias("c")), [REPO, "c"], "left_semi"), "skewed-parents")
+    keys = _waited_for(waiting, known)
+    return (
+        nodes.join(keys, [REPO, "sha"], "left")
+        .select(REPO, "sha", F.coalesce("path", F.array("own")).alias("walk_key"))
+    )
+
+
+def _between_skewed_ends(nodes: DataFrame, skewed: DataFrame) -> DataFrame:
+    """The commits that may wait for a younger ancestor.
+
+    On a path from that ancestor down to the commit some edge steps from above the commit's own
+    (time, sha) to it or below: an edge with a younger parent, between whose ends the commit lies.
+    """
+    ends = skewed.select(REPO, F.col("co").alias("own"), F.lit(1).alias("_step")).unionByName(
+        skewed.select(REPO, F.col("po").alias("own"), F.lit(-1).alias("_step"))
+    )
+    steps = ends.groupBy(REPO, "own").agg(F.sum("_step").alias("_step")).withColumn("_turn", F.lit(0))
+    rows = nodes.withColumn("_turn", F.lit(1)).unionByName(steps, allowMissingColumns=True)
+    line = ordered(rows, [REPO, "own", "_turn"])
+    told = running(line, [REPO], [Running("_open", "sum", F.coalesce("_step", F.lit(0).cast("long")))])
+    return told.where("_turn = 1 and _open > 0").select(REPO, "sha", "own")
 
 
-def _walk_keys_of_skewed_clocks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Relax the largest ancestor key along the edges until it stops growing.
+def _waited_for(waiting: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo_id, sha, path) of the waiting commits; *edges*: theirs to all their known parents.
 
-    Every round moves only commits that changed in the round before, and every
-    level drops the leaders, so the rounds follow the length of the skewed
-    stretches rather than of the history.
+    Each commit follows one of its parents, so that lists are put together by pointer doubling over
+    a forest: what a stretch of the line adds is itself such a list. Then every merge looks whether
+    another of its parents was walked later, and follows that one; lists only grow, so this ends.
+    A clock that runs backwards for a whole stretch gives lists as long as the stretch.
     """
-    empty = F.array().cast("array<struct<t:bigint,s:string>>")
-    level = materialise(nodes.withColumn("walk_key", empty), "walk")
-    done = None
+    outside = (
+        edges.select(REPO, F.col("p").alias("sha"), F.col("po").alias("own")).distinct()
+        .join(waiting.select(REPO, "sha"), [REPO, "sha"], "left_anti")
+    )
+    nodes = materialise(waiting.unionByName(outside), "skewed-nodes")
+    merges = materialise(
+        edges.join(edges.groupBy(REPO, "c").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), [REPO, "c"], "left_semi"),
+        "skewed-merges",
+    )
+    follows = edges.groupBy(REPO, F.col("c").alias("sha")).agg(F.min("p").alias("up"))
     while True:
-        # An edge counts inside one group only: groups are walked one by one.
-        ends = level.select(REPO, "sha", "walk_key")
-        live = materialise(
-            edges.join(ends.withColumnRenamed("sha", "p"), [REPO, "p"])
-            .join(ends.withColumnRenamed("sha", "c"), [REPO, "c", "walk_key"])
-            .select(REPO, "p", "c"),
-            "walk-edges",
+        paths = _along_the_forest(nodes.join(follows, [REPO, "sha"], "left"))
+        asked = merges.join(paths.select(REPO, F.col("sha").alias("p"), F.col("path").alias("_above")), [REPO, "p"])
+        offer = F.array_append(F.filter("_above", lambda x: x > F.col("co")), F.col("co"))
+        best = asked.groupBy(REPO, F.col("c").alias("sha")).agg(F.max(F.struct(offer.alias("path"), "p")).alias("_best"))
+        later = materialise(
+            best.join(paths, [REPO, "sha"]).where("_best.path > path").select(REPO, "sha", F.col("_best.p").alias("_up")),
+            "walked-later",
         )
-        top = materialise(level.select(REPO, "sha", F.col("own").alias("top")), "walk-top")
-        moved = top
-        while True:
-            offers = (
-                live.join(moved.select(REPO, F.col("sha").alias("p"), "top"), [REPO, "p"])
-                .groupBy(REPO, F.col("c").alias("sha"))
-                .agg(F.max("top").alias("offer"))
-            )
-            moved = materialise(
-                top.join(offers, [REPO, "sha"])
-                .where("offer > top")
-                .select(REPO, "sha", F.col("offer").alias("top")),
-                "walk-moved",
-            )
-            if moved.limit(1).count() == 0:
-                break
-            top = materialise(
-                top.join(moved.withColumnRenamed("top", "_new"), [REPO, "sha"], "left").select(
-                    REPO, "sha", F.coalesce("_new", "top").alias("top")
-                ),
-                "walk-top",
-            )
-        level = level.join(top, [REPO, "sha"]).withColumn(
-            "walk_key", F.array_append("walk_key", F.col("top"))
+        if later.limit(1).count() == 0:
+            return paths
+        follows = materialise(
+            follows.join(later, [REPO, "sha"], "left").select(REPO, "sha", F.coalesce("_up", "up").alias("up")), "follows"
+        )
+
+
+def _along_the_forest(nodes: DataFrame) -> DataFrame:
+    """(repo_id, sha, path) from (repo_id, sha, own, up). Each round covers twice the distance."""
+    reach = materialise(nodes.select(REPO, "sha", F.array("own").alias("path"), "up"), "waits")
+    while reach.where("up is not null").limit(1).count() > 0:
+        above = reach.select(REPO, F.col("sha").alias("up"), F.col("path").alias("_above"), F.col("up").alias("_next"))
+        whole = F.concat(F.filter("_above", lambda x: x > F.col("path")[0]), "path")
+        reach = materialise(
+            reach.join(above, [REPO, "up"], "left").select(
+                REPO, "sha", F.when(F.col("up").isNull(), F.col("path")).otherwise(whole).alias("path"), F.col("_next").alias("up")
+            ),
+            "waits",
         )
-        leaders = level.where("own = top").select(REPO, "sha", "walk_key")
-        done = leaders if done is None else done.unionByName(leaders)
-        level = materialise(level.where("own <> top").drop("top"), "walk")
-        if level.limit(1).count() == 0:
-            return materialise(done, "walk-keys")
+    return reach.select(REPO, "sha", "path")
 
 
 # ------------------------------------------------------------------ events

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gitloom.functions.text import enclosing_scope
 from gitloom.operators.lifecycle import DELETED, REPO, SEQ
-from gitloom.operators.sequence import Running, Sequence, ordered, running
+from gitloom.operators.sequence import Running, Sequence, running
 from gitloom.session import materialise
 
 READ, FAILED, NOT_STORED, NOT_IN_TREE, FILE_END = (
@@ -75,20 +75,13 @@ def version_steps(lives: Sequence, versions: DataFrame) -> DataFrame:
     return materialise(steps, "steps")
 
 
-def occurrences(
-    definitions: DataFrame,
-    position: list[str],
-    *,
-    ranges: int | None = None,
-) -> DataFrame:
-    """Number the definitions that share a kind and a name inside one version."""
-    name = [*VERSION, "kind", "qualname"]
-    numbered = running(
-        ordered(definitions, [*name, *position], ranges=ranges),
-        name,
-        [Running("occurrence", "count", F.lit(1), before=True)],
-    )
-    return numbered.select(*definitions.columns, F.col("occurrence").cast("long"))
+def occurrences(definitions: DataFrame, position: list[str]) -> DataFrame:
+    """Number the definitions that share a kind and a name inside one version.
+
+    A version of one file bounds the rows of a key, so a window holds them.
+    """
+    same = Window.partitionBy(*VERSION, "kind", "qualname").orderBy(*position)
+    return definitions.withColumn("occurrence", (F.row_number().over(same) - 1).cast("long"))
 
 
 def definition_history(
@@ -96,8 +89,6 @@ def definition_history(
     versions: DataFrame,
     definitions: DataFrame,
     position: list[str] = ["position"],
-    *,
-    ranges: int | None = None,
 ) -> DefinitionHistory:
     steps = version_steps(lives, versions)
     compared = steps.where(F.col("state").isin(READ, FILE_END)).select(
@@ -107,7 +98,7 @@ def definition_history(
         *LIFE, "step", "commit_sha", "path", "previous_commit_sha"
     )
     held = materialise(
-        occurrences(definitions, position, ranges=ranges)
+        occurrences(definitions, position)
         .join(read, VERSION)
         .select(
             *LIFE, "step", *SLOT, "commit_sha", "path", "previous_commit_sha",
@@ -210,7 +201,3 @@ def newest_versions(steps: DataFrame) -> DataFrame:
         )
         .select(*LIFE, "_v.*")
     )
-
-
-def versions_at(steps: DataFrame, commit: str) -> DataFrame:
-    return steps.where(F.col("commit_sha") == commit)

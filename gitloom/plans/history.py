@@ -70,6 +70,34 @@ def topo_order(spark, sf):
     return ordered(keys, [lc.REPO, "walk_key"]).frame.select("sha", SEQ)
 
 
+# Every list of waited-for ancestors along every path, cut at each step to what is younger than the commit.
+SKEWED = """
+clock AS (SELECT sha, lpad(CAST(committed_epoch + CASE WHEN CAST(sha AS BIGINT) % 11 = 0 THEN 34560000 ELSE 0 END AS VARCHAR), 12, '0')
+            || '/' || sha AS k FROM commits),
+links AS (SELECT DISTINCT parent_sha, commit_sha FROM parents),
+walk AS (
+  SELECT sha, [k] AS path FROM clock WHERE sha NOT IN (SELECT commit_sha FROM links)
+  UNION
+  SELECT c.sha, list_append(list_filter(w.path, lambda x: x > c.k), c.k) FROM walk w
+  JOIN links l ON l.parent_sha = w.sha JOIN clock c ON c.sha = l.commit_sha),
+keyed AS (SELECT sha, max(path) AS path FROM walk GROUP BY sha)
+"""
+
+
+@query(
+    "topo_order_skewed",
+    ctes(v.COMMITS, v.PARENTS, SKEWED, recursive=True)
+    + "SELECT sha, row_number() OVER (ORDER BY path) AS seq, len(path) AS waits FROM keyed",
+)
+def topo_order_skewed(spark, sf):
+    """The clock of every eleventh commit runs four hundred days ahead."""
+    ahead = F.when(F.col("sha").cast("long") % 11 == 0, 400 * 86400).otherwise(0)
+    commits = a.commits(spark, sf).withColumn("committed_epoch", F.col("committed_epoch") + ahead)
+    keys = lc.walk_keys(commits, a.commit_parents(spark, sf))
+    found = ordered(keys, [lc.REPO, "walk_key"]).frame
+    return found.select("sha", SEQ, F.size("walk_key").cast("long").alias("waits"))
+
+
 @query(
     "commit_prefix_lookup",
     ctes(v.COMMITS)

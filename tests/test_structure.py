@@ -52,7 +52,7 @@ def test_definition_history_matches_a_walk(spark, ranges):
         " fingerprint string, lineno int, end_lineno int, decorators array<string>",
     )
     lives = ordered(events, ["n", "life_id"], ranges=ranges)
-    found = st.definition_history(lives, versions, definitions, ranges=ranges)
+    found = st.definition_history(lives, versions, definitions)
     got = {
         (r["life_id"], r["kind"], r["qualname"], r["occurrence"], r["change"], r["commit_sha"],
          r["previous_commit_sha"], r["blind_spots"])
