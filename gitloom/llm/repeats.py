@@ -41,6 +41,8 @@ from gitloom.llm.shared_sets import MIX, SHIFT, combined, place_of, place_of_own
 from gitloom.session import materialise
 
 PIECE = 1 << 21
+# Surroundings that are judged at a time, and the rest of the last one's group.
+JUDGED = 1 << 14
 LAST = (1 << 63) - 1
 CELL_BITS = 20
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -173,7 +175,7 @@ def _span_rows(names: np.ndarray, starts: np.ndarray, ends: np.ndarray, count: i
 
 def _contexts(rule: Rule, count: int):
     """From (class, rank, body, hashes) to the surroundings of shared anchors, by place."""
-    around = np.arange(-rule.left, rule.length)
+    width = rule.left + rule.length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +194,8 @@ def _contexts(rule: Rule, count: int):
                 ranks = np.array([p[1] for p in part], np.int64)[owner]
                 offsets = np.array([p[2] for p in part], np.int64)[owner]
                 inside = at - stream.begins[owner]
-                wide = stream.bytes[np.minimum(at[:, None] + around, len(stream.bytes) - 1)]
+                # The gaps between texts are as long as a string, so surroundings never leave the stream.
+                wide = np.lib.stride_tricks.sliding_window_view(stream.bytes, width)[at - rule.left]
                 padding = -wide.shape[1] % 8
                 words = np.pad(wide, ((0, 0), (0, padding))).view(np.uint64)
                 same = combined(list(words.T))
@@ -231,6 +234,7 @@ def _contexts(rule: Rule, count: int):
                     for p, w in by_place(place_of(hashes[twins], count), count)
                 ]
                 yield _sent(rows)
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -325,6 +329,23 @@ def repeated(contexts: np.ndarray, ranks: np.ndarray, rule: Rule) -> np.ndarray:
     return result
 
 
+def by_gram(contexts: np.ndarray, rule: Rule, most: int = JUDGED) -> Iterator[np.ndarray]:
+    """Rows with the same k-gram at their anchor, whole groups together, some thousands of rows at a time.
+
+    Strings around an anchor are equal only where the k-gram is, so groups are judged apart.
+    """
+    if len(contexts) <= most:
+        yield np.arange(len(contexts))
+        return
+    grams = np.ascontiguousarray(contexts[:, rule.left : rule.left + rule.gram])
+    order, shared = suffix_order(grams)
+    starts = np.flatnonzero(shared < rule.gram)
+    chunk = starts // most
+    cuts = starts[np.flatnonzero(np.diff(chunk)) + 1].tolist()
+    for a, b in zip([0, *cuts], [*cuts, len(order)]):
+        yield order[a:b]
+
+
 def _judged(rule: Rule, count: int):
     """At the place of an anchor: which strings go, as spans, dealt by document."""
     width = rule.left + rule.length
@@ -341,7 +362,10 @@ def _judged(rule: Rule, count: int):
             contexts = np.concatenate([unplain(r[3], np.uint8).reshape(-1, width) for r in asked])
             ranks = np.concatenate([untagged(r[4]) for r in asked])
             at = np.concatenate([unplain(r[5], np.int64) for r in asked])
-            masks = repeated(contexts, ranks, rule)
+            masks = np.zeros(len(contexts), np.uint64)
+            for part in by_gram(contexts, rule):
+                masks[part] = repeated(contexts[part], ranks[part], rule)
+            del contexts
             found = []
             for s in range(rule.left + 1):
                 has = (masks >> np.uint64(s)) & np.uint64(1) == 1

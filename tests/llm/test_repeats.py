@@ -111,3 +111,21 @@ def test_interval_tree_finds_every_string(made):
             whole = (window[i] > 0).all()
             low = min(r for w, r in zip(window, ranks) if (w == window[i]).all())
             assert bool(int(got[i]) >> s & 1) == bool(whole and low < ranks[i])
+
+
+def test_groups_are_judged_apart():
+    rng = np.random.default_rng(4)
+    rule = repeats.Rule()
+    grams = rng.integers(1, 4, size=(12, rule.gram))
+    contexts = rng.integers(1, 3, size=(3000, rule.left + rule.length)).astype(np.uint8)
+    contexts[:, rule.left : rule.left + rule.gram] = grams[rng.integers(0, 12, 3000)]
+    contexts[1500:] = contexts[rng.integers(0, 1500, 1500)]
+    contexts[2000:, :20] = 5
+    ranks = rng.integers(0, 400, 3000)
+    parts = list(repeats.by_gram(contexts, rule, 300))
+    assert len(parts) > 3 and sorted(np.concatenate(parts).tolist()) == list(range(3000))
+    got = np.zeros(3000, np.uint64)
+    for part in parts:
+        got[part] = repeats.repeated(contexts[part], ranks[part], rule)
+    want = repeats.repeated(contexts, ranks, rule)
+    assert (got == want).all() and want.any()
