@@ -20,7 +20,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 FINISH = np.uint64(0xFF51AFD7ED558CCD)
 SHIFT = np.uint64(32)
 # Hashes of a batch that are sorted at a time.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 PACKED = "place int, kind int, owners binary, hashes binary"
 LONE, HELD, SHARED, SIZES = 0, 1, 2, 3
@@ -82,6 +82,8 @@ def _spread(batches: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.Record
         ]
         if rows:
             yield _packed(rows)
+        del batch, column, held, rows
+        pa.default_memory_pool().release_unused()
 
 
 def _sent(held: list[np.ndarray], owned: list[int], count: int) -> Iterator[pa.RecordBatch]:
