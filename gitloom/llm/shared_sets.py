@@ -20,7 +20,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 FINISH = np.uint64(0xFF51AFD7ED558CCD)
 SHIFT = np.uint64(32)
 # Hashes of a batch that are sorted at a time.
-SLICE = 1 << 18
+SLICE = 1 << 19
 
 PACKED = "place int, kind int, owners binary, hashes binary"
 LONE, HELD, SHARED, SIZES = 0, 1, 2, 3
