@@ -37,7 +37,7 @@ net AS (
     "change_states",
     ctes(v.COMMITS, v.PARENTS, v.FILES, v.RANGES)
     + """, merges AS (SELECT commit_sha FROM parents GROUP BY 1 HAVING count(*) > 1),
-         seen AS (SELECT commit_sha, path, count(*) AS n FROM ranges WHERE l_partkey % 3 <> 0 GROUP BY ALL)
+         seen AS (SELECT commit_sha, path, count(*) AS n FROM ranges GROUP BY ALL)
          SELECT f.commit_sha, f.path, CASE WHEN m.commit_sha IS NOT NULL THEN 'no_diff_recorded'
              WHEN change_type = 'D' THEN 'deleted_file' WHEN added_lines IS NULL THEN 'binary'
              WHEN n IS NOT NULL THEN 'ranges' ELSE 'no_ranges_recorded' END AS diff_state,
@@ -47,12 +47,10 @@ net AS (
          LEFT JOIN seen s ON s.commit_sha = f.commit_sha AND s.path = f.path""",
 )
 def change_states(spark, sf):
-    """Sections of a third of the parts are taken as never printed."""
-    printed = a.patches(spark, sf).where("l_partkey % 3 <> 0")
     return ev.change_states(
         a.commit_files(spark, sf),
         h.merges(a.commit_parents(spark, sf)),
-        a.ranges_of(printed),
+        a.patch_ranges(spark, sf),
     ).select("commit_sha", "path", "diff_state", "ranges")
 
 
