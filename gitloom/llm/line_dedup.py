@@ -2,8 +2,9 @@
 
 A line goes if an earlier occurrence of the same line, or of a line within one edited character,
 stands in the input: a lower doc_id, or the same document higher up. That is judged on the input,
-not on what is left. Lines without a word are left alone. So are lines shorter than ``min_chars``
-characters, unless ``short`` is set: then those go that are equal to an earlier one.
+not on what is left. Lines without a word are left alone. Lines shorter than ``min_chars``
+characters go where they are equal to an earlier one; one edit is too much of them to be the same
+line. Without ``short`` they are left alone altogether.
 
 Emitting all one-character deletions of long lines would multiply the text by its own length, so
 the neighbourhood is emitted coarse to fine. A line leaves out one of three blocks at a time and
@@ -38,7 +39,7 @@ CELL_BITS = 20
 class Rule:
     min_chars: int = 16
     near: bool = True
-    short: bool = False
+    short: bool = True
 
 
 def _identity(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -230,8 +231,10 @@ def deduplicated(docs: DataFrame, rule: Rule = Rule(), *, text: str = "text", ke
         )
     )
     parts = F.split("body", "\n", -1)
-    stay = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("gone", s["i"]))
-    left = F.array_join(F.transform(stay, lambda s: s["x"]), "\n")
+    # The text is split once, as a lambda's argument; places are set apart by hashing, not one by one.
+    stay = lambda p: F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("gone"))
+    rest = lambda p: F.array_join(F.transform(stay(p), lambda i: F.get(p, i)), "\n")
+    left = F.get(F.transform(F.array(parts), rest), F.lit(0))
     return whole.unionByName(touched).select(
         ROW,
         F.when(F.size("gone") == 0, F.col("body")).otherwise(left).alias("text"),

@@ -16,16 +16,19 @@ def distance_at_most_one(a, b):
 
 
 def plain(rows, min_chars=16):
-    """(id, text) -> what stays: a line goes if an earlier one is within one edit."""
+    """(id, text) -> what stays: a line goes if an earlier one is equal or, both being long, within one edit."""
     order = sorted({(r[0] is not None, r[0] or 0, r[1]) for r in rows if r[1] is not None})
     told = []
     for known, key, text in order:
         for no, line in enumerate(text.split("\n")):
-            if len(line) >= min_chars and line.strip(" \t\n\r\x0b\x0c"):
+            if line.strip(" \t\n\r\x0b\x0c"):
                 told.append(((known, key), no, line, text))
     gone = {}
     for i, (key, no, line, text) in enumerate(told):
-        if any(distance_at_most_one(other, line) for *_, other, _ in told[:i]):
+        before = [other for *_, other, _ in told[:i]]
+        if line in before or any(
+            min(len(other), len(line)) >= min_chars and distance_at_most_one(other, line) for other in before
+        ):
             gone.setdefault((key, text), set()).add(no)
     kept = {}
     for known, key, text in order:
@@ -86,10 +89,16 @@ def test_every_line_with_a_word(spark):
         (2, "Les.\nLez.\nfifteen letterz\nsixteen letterz.\n\n \n漢\nLes.", "", "", 0),
         (None, "Lez.\nnew", "", "", 0),
     ]
-    found = line_dedup.deduplicated(docs(spark, rows), line_dedup.Rule(short=True)).collect()
+    found = line_dedup.deduplicated(docs(spark, rows), line_dedup.Rule()).collect()
     got = {r["_row"]["doc_id"]: (r["text"], r["n_removed"], r["n_near"]) for r in found}
     assert got == {1: (rows[0][1], 0, 0), 2: ("fifteen letterz\n\n ", 5, 1), None: (rows[2][1], 0, 0)}
 
 
+def test_a_document_of_very_many_lines(spark):
+    many = "\n".join(f"{i % 3} is a line" for i in range(60_000)) + "\nend"
+    found = line_dedup.deduplicated(docs(spark, [(1, many, "", "", 0)])).first()
+    assert (found["n_removed"], found["text"]) == (59_997, "0 is a line\n1 is a line\n2 is a line\nend")
+
+
 def test_empty_table(spark):
     assert line_dedup.deduplicated(docs(spark, [])).count() == 0
