@@ -3,11 +3,12 @@
 zstandard's ratio (compressed bytes over bytes) tells repetitive text (low) and text without
 structure, such as encoded data (high), from prose. Prose gets denser as it gets longer, so each
 length has limits of its own. The ratio is taken over the whole document and over fixed chunks: a
-document that is fine on the whole may still hold long stretches that are not.
+document that is fine on the whole may still hold long stretches that are not. The chunks cover
+every byte: a short rest has the limits of its own length, a very short one goes with its neighbour.
 
 Every row is judged by itself, in one pass without a shuffle. NULL and empty texts have no words
-and fail the base rules; a text too short for any band is judged by the base rules alone. Ties do
-not arise; repeated rows get the same verdict each; an empty table gives an empty table.
+and fail the base rules; a text too short for any band is judged by the base rules alone. A long text
+is judged chunk by chunk, whole. Ties do not arise; columns of *docs* stay inside ``_row``; repeated rows get the same verdict each; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -53,8 +54,8 @@ class Bands:
     )
     level: int = 3
     chunk: int = 2048
-    # A last chunk shorter than this is left to the whole-document ratio.
-    least_chunk: int = 1024
+    # A last chunk shorter than this is judged together with the one before it.
+    least_chunk: int = 256
     # Of the chunks' bytes, the share that may lie outside the limits.
     bad_share: float = 0.3
     min_words: int = 50
@@ -85,14 +86,13 @@ class _Measure:
         symbols = sum(data.count(s) for s in SYMBOLS.encode())
         lines = [line for line in data.split(b"\n") if line.strip()]
         size, step = len(data), self.bands.chunk
-        bad = seen = 0
-        for start in range(0, size, step):
-            chunk = data[start : start + step]
-            if len(chunk) < self.bands.least_chunk:
-                break
-            seen += len(chunk)
-            if not self.bands.inside(len(chunk), self.ratio(chunk)):
-                bad += len(chunk)
+        starts = list(range(0, size, step))
+        if len(starts) > 1 and size - starts[-1] < self.bands.least_chunk:
+            starts.pop()
+        bad = 0
+        for start, end in zip(starts, [*starts[1:], size]):
+            if not self.bands.inside(end - start, self.ratio(data[start:end])):
+                bad += end - start
         return (
             len(words),
             points,
@@ -102,7 +102,7 @@ class _Measure:
             self.ratio(data),
             size,
             bad,
-            seen,
+            size,
         )
 
 

@@ -31,7 +31,8 @@ def passes(text):
     data = text.encode()
     fine = lambda d: bands.inside(len(d), len(packer.compress(d)) / len(d))
     chunks = [data[i : i + bands.chunk] for i in range(0, len(data), bands.chunk)]
-    chunks = [c for c in chunks if len(c) >= bands.least_chunk]
+    if len(chunks) > 1 and len(chunks[-1]) < 256:
+        chunks[-2:] = [chunks[-2] + chunks[-1]]
     bad = sum(len(c) for c in chunks if not fine(c))
     return fine(data) and bad <= bands.bad_share * sum(map(len, chunks))
 

@@ -45,6 +45,19 @@ def test_bands_reject_what_is_too_regular_or_too_random(spark):
     assert quality_bands.kept(widened(frame)).columns == widened(frame).columns
 
 
+def test_a_short_rest_is_judged(spark):
+    """2,048 bytes of prose and a repetitive rest: the rest alone is over the share that may be bad."""
+    endings = [a + b for a in ("", "ing", "ed", "ly", "er") for b in ("", "s", ".", ",")]
+    random.seed(6)
+    prose = " ".join(random.choice(WORDS) + random.choice(endings) for _ in range(600))[:2048]
+    rests = {1: "one more time " * 73, 2: "one more time " * 20, 3: "one more time " * 5, 4: ""}
+    frame = docs(spark, [(i, prose + r, "en", "a", 1) for i, r in rests.items()])
+    found = {r["_row"]["doc_id"]: r for r in quality_bands.measured(frame).collect()}
+    assert {i: r["bad_chunk_bytes"] for i, r in found.items()} == {1: 1022, 2: 280, 3: 0, 4: 0}
+    assert all(r["chunk_bytes"] == r["n_bytes"] for r in found.values())
+    assert not found[1]["kept"] and found[4]["kept"]
+
+
 def test_empty_table(spark):
     assert quality_bands.measured(docs(spark, [])).count() == 0
 
