@@ -12,7 +12,7 @@ two, which need no padding. So no shuffle, no padding, and memory bounded by a s
 few million tokens or one document, whichever is more. A partition read again gives the same
 sequences.
 
-NULL and empty texts are one end token. A text longer than a shard is a shard of its own. Equal
+NULL and empty texts are one end token, and follow a shard's other documents. A text longer than a shard is a shard of its own. Equal
 documents are ordinary documents; ties in score go to the earlier one. Null ids are carried. An
 empty table gives an empty table.
 """
@@ -148,7 +148,13 @@ class Index:
 
 
 def order(documents: list[np.ndarray], packer: Packer) -> list[int]:
-    """The documents in the order in which they fill windows, each once."""
+    """The documents in the order in which they fill windows, each once; those without a word last."""
+    worded = [d for d, ids in enumerate(documents) if len(ids) > 1]
+    bare = [d for d, ids in enumerate(documents) if len(ids) <= 1]
+    return [worded[d] for d in _filling([documents[d] for d in worded], packer)] + bare
+
+
+def _filling(documents: list[np.ndarray], packer: Packer) -> list[int]:
     n, window = len(documents), packer.window
     if n < 3:
         return list(range(n))
@@ -156,6 +162,7 @@ def order(documents: list[np.ndarray], packer: Packer) -> list[int]:
     lengths = np.fromiter(map(len, documents), np.int64, n)
     unused = np.ones(n, dtype=bool)
     placed: list[int] = []
+    total = int(lengths.sum())
     ahead = filled = 0
     seed = -1
     found: list[int] = []
@@ -163,13 +170,14 @@ def order(documents: list[np.ndarray], packer: Packer) -> list[int]:
         gap = (window - filled % window) % window
         choice = -1
         if gap:
-            found = [d for d in found if unused[d]]
             if not found:
                 if 5 * (n - len(placed)) <= 4 * len(index.live):
                     index.narrow(unused)
-                found = neighbours(index.scores(documents[seed]), unused, packer.neighbours)
+                # As many as the gap takes of the mean length, so a window is asked for a few times only.
+                most = max(packer.neighbours, -(-gap * (n - len(placed)) // (total - filled)))
+                found = neighbours(index.scores(documents[seed]), unused, most)
             if found:
-                choice = next((d for d in found if lengths[d] <= gap), found[0])
+                choice = found.pop(next((i for i, d in enumerate(found) if lengths[d] <= gap), 0))
         if choice < 0:
             while not unused[ahead]:
                 ahead += 1

@@ -1,4 +1,5 @@
 import collections
+import time
 import zlib
 
 import numpy as np
@@ -109,5 +110,15 @@ def test_an_unused_sharer_goes_before_the_next_in_order():
     assert placed[:3] == [0, 1, 8]
 
 
+def test_very_many_short_texts_pack_in_seconds():
+    """Empty ones follow the others; of short ones a window asks the index a few times, not once for each eight."""
+    rng = np.random.default_rng(7)
+    empty, short = [np.array([1], "<u4")] * 64_000, [np.array([int(t), 1], "<u4") for t in rng.integers(2, 40, 30_000)]
+    begin = time.monotonic()
+    placed = packing.order([*empty, *short], packing.Packer())
+    assert sorted(placed) == list(range(94_000)) and placed[30_000:] == list(range(64_000))
+    assert time.monotonic() - begin < 20
+
+
 def test_empty_table(spark):
     assert packing.packed(docs(spark, [])).count() == 0
