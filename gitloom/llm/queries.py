@@ -121,20 +121,34 @@ levels AS (
 ranked AS (SELECT *, row_number() OVER (ORDER BY ratio, place) AS r FROM levels),
 settled AS (SELECT min(r) AS r FROM ranked WHERE level < ratio),
 plan AS (
-  SELECT p.source, p.source_size,
+  SELECT p.source, p.source_size, p.place,
          CASE WHEN s.r IS NULL OR p.r < s.r THEN p.source_size * 2.0::DOUBLE
               ELSE p.w * (SELECT level FROM ranked q WHERE q.r = s.r) END AS target
   FROM ranked p CROSS JOIN settled s),
 joined AS (
-  SELECT doc_id, size, source_size, target,
+  SELECT doc_id, size, source_size, target, place,
          CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS passes,
          coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, size
              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM sized d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(size * (passes + CASE WHEN size > 0 AND before + size / 2.0 <= target - passes * source_size
-                                  THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM joined
+  FROM sized d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source),
+counted AS (
+  SELECT *, CAST(passes + CASE WHEN size > 0 AND before + size / 2.0 <= target - passes * source_size
+                               THEN 1 ELSE 0 END AS BIGINT) AS copies FROM joined),
+-- The share of a source's words that is asked for when its first and its last copy comes.
+shares AS (
+  SELECT *, least((before + CAST(size AS DOUBLE) / 2) / greatest(target, 1e-9::DOUBLE), 1) AS a,
+         least(((copies - 1) * source_size + before + CAST(size AS DOUBLE) / 2) / greatest(target, 1e-9::DOUBLE), 1) AS z
+  FROM counted),
+-- Weights fall from 1.5 to 0.5; stay; rise from 0.5 to 1 at 0.7 and to 2 at the end (0.975 in all).
+timed AS (
+  SELECT *, [CASE place % 3 WHEN 0 THEN 1.5 - sqrt(2.25::DOUBLE - 2 * s) WHEN 1 THEN s
+      ELSE CASE WHEN s < 0.525::DOUBLE / 0.975 THEN (sqrt(0.25::DOUBLE + s * 0.975 / 0.7) - 0.5) * 1.4
+           ELSE 0.7 + (sqrt(1 + (s * 0.975::DOUBLE - 0.525) * 20 / 3) - 1) * 0.3 END END
+      FOR s IN [a, z]] AS at FROM shares)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, size * copies AS taken, copies,
+       CASE WHEN copies > 0 THEN round(at[1], 9) END AS first_position,
+       CASE WHEN copies > 0 THEN round(at[2], 9) END AS last_position
+FROM timed
 """
 
 
@@ -143,7 +157,16 @@ def curriculum_mix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     # In the order in which training first meets the documents; those it never takes come last.
     found = curriculum.by_first_position(curriculum.mixed(docs, keep_rows=False), "doc_id")
-    return found.select("_row.doc_id", "size", "source_size", "target", "taken")
+    return found.select(
+        "_row.doc_id",
+        "size",
+        "source_size",
+        "target",
+        "taken",
+        F.col("copies").cast("long").alias("copies"),
+        F.round(F.get("positions", F.lit(0)), 9).alias("first_position"),
+        F.round(F.get("positions", F.col("copies") - 1), 9).alias("last_position"),
+    )
 
 
 @query("op1_toxic_segments")
@@ -174,11 +197,12 @@ WITH lines AS (
     SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (
       SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL))),
 told AS (
-  SELECT * FROM lines WHERE length(line) >= 16 AND regexp_matches(line, '[^\x20\x09-\x0D]')),
+  SELECT * FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, no) AS nth FROM told),
 firsts AS (
-  SELECT line, length(line) AS n, row_number() OVER (ORDER BY doc_id, no) AS pos FROM ranked WHERE nth = 1),
+  SELECT line, length(line) AS n, row_number() OVER (ORDER BY doc_id, no) AS pos FROM ranked
+  WHERE nth = 1 AND length(line) >= 16),
 -- One edit leaves the first or the last half of the shorter line as it is.
 halves AS (
   SELECT line, n, pos, n // 2 AS h, 0 AS extra FROM firsts
@@ -212,11 +236,7 @@ def line_neighbourhoods(spark, sf_dir):
     return found.select("_row.doc_id", "text", "n_lines", "n_removed", "n_near")
 
 
-# Every line with a word meets its equals; only the one-edit step keeps to 16 characters.
-EVERY_LINE_SQL = LINE_SQL.replace("length(line) >= 16 AND ", "").replace("WHERE nth = 1)", "WHERE nth = 1 AND length(line) >= 16)")
-
-
-@query("op3_every_line", EVERY_LINE_SQL)
+@query("op3_every_line", LINE_SQL)
 def every_line(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = line_dedup.deduplicated(docs, line_dedup.Rule(short=True))
