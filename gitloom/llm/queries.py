@@ -144,10 +144,10 @@ timed AS (
   SELECT *, [CASE place % 3 WHEN 0 THEN 1.5 - sqrt(2.25::DOUBLE - 2 * s) WHEN 1 THEN s
       ELSE CASE WHEN s < 0.525::DOUBLE / 0.975 THEN (sqrt(0.25::DOUBLE + s * 0.975 / 0.7) - 0.5) * 1.4
            ELSE 0.7 + (sqrt(1 + (s * 0.975::DOUBLE - 0.525) * 20 / 3) - 1) * 0.3 END END
-      FOR s IN [a, z]] AS at FROM shares)
+      FOR s IN [a, z]] AS times FROM shares)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, size * copies AS taken, copies,
-       CASE WHEN copies > 0 THEN round(at[1], 9) END AS first_position,
-       CASE WHEN copies > 0 THEN round(at[2], 9) END AS last_position
+       CASE WHEN copies > 0 THEN round(times[1], 9) END AS first_position,
+       CASE WHEN copies > 0 THEN round(times[2], 9) END AS last_position
 FROM timed
 """
 
