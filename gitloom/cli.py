@@ -63,7 +63,7 @@ class Session:
         return sync.stored_lives(*tables).stored("lives")
 
     def book(self) -> MemoryBook:
-        return MemoryBook(self.spark, self.store, self.root)
+        return MemoryBook(self.spark, self.store, self.root, lambda acts, cited: _unheld(self, acts, cited))
 
 
 def _with_names(rows: DataFrame, lives) -> DataFrame:
@@ -289,9 +289,8 @@ def runs(s: Session, args):
 # ------------------------------------------------------------------ memories
 
 
-def _resolved(s: Session, memories: DataFrame, deep: bool) -> DataFrame:
-    """The citations of *memories* with what became of each."""
-    cited = s.book().citations().join(memories.select("memory_id"), "memory_id", "left_semi")
+def _resolved(s: Session, cited: DataFrame, deep: bool) -> DataFrame:
+    """Citations with what became of each."""
     cited = materialise(cited.withColumn(REPO, F.lit(s.repo)), "cited")
     kinds = {r["kind"] for r in cited.select("kind").distinct().collect()}
     lives = s.lives()
@@ -321,31 +320,19 @@ def _ranges_of_cited(s: Session, cited: DataFrame) -> DataFrame:
 
 def _subject_states(s: Session, memories: DataFrame) -> DataFrame:
     """Whether what each memory is about is still there."""
-    yes = F.lit(True)
-    paths = s.table("commit_files").select(F.explode(F.array("path", "old_path")).alias("subject_path")).distinct()
-    names = s.table("definition_versions").select(F.col("path").alias("subject_path"), F.col("qualname").alias("subject_qualname")).distinct()
-    refs = memories.where("subject_kind = 'commit'").select(F.lit(s.repo).alias(REPO), text.hex_prefix(F.col("subject_commit_sha")).alias("ref"))
-    shas = m.resolve_prefixes(refs, s.table("commits")).where("candidates > 0").select(F.col("ref").alias("_ref")).distinct()
-    kind = F.col("subject_kind")
-    holds = (
-        F.when(kind == "repository", yes)
-        .when(kind == "path", F.col("_p"))
-        .when(kind == "definition", F.col("_d"))
-        .otherwise(F.col("_c"))
-    )
-    return (
-        memories.withColumn("_ref", text.hex_prefix(F.col("subject_commit_sha")))
-        .join(paths.withColumn("_p", yes), "subject_path", "left")
-        .join(names.withColumn("_d", yes), ["subject_path", "subject_qualname"], "left")
-        .join(shas.withColumn("_c", yes), "_ref", "left")
-        .withColumn("subject_resolution", F.when(holds, m.RESOLVED).otherwise(m.UNRESOLVED))
-        .drop("_ref", "_p", "_d", "_c")
-    )
+    tables = [s.table(t) for t in ("commits", "commit_files", "definition_versions")]
+    return m.resolve_subjects(memories.withColumn(REPO, F.lit(s.repo)), *tables)
+
+
+def _unheld(s: Session, acts: DataFrame, cited: DataFrame) -> DataFrame:
+    """What an act points at has to be there when it is written."""
+    return m.unheld(_subject_states(s, acts), _resolved(s, cited, deep=True))
 
 
 def _memory_objects(s: Session, memories: DataFrame, order: list, deep: bool) -> list[dict]:
     memories = materialise(memories, "shown-memories")
-    resolved = _resolved(s, memories, deep)
+    cited = s.book().citations().join(memories.select("memory_id"), "memory_id", "left_semi")
+    resolved = _resolved(s, cited, deep)
     listed = resolved.groupBy("memory_id").agg(
         F.sort_array(F.collect_list(F.struct("position", "kind", "ref", "resolution"))).alias("citations")
     )

@@ -56,7 +56,11 @@ def analyze(spark: SparkSession, store: Store, roots: dict[str, str]) -> DataFra
 
 
 def parse(spark: SparkSession, store: Store, roots: dict[str, str]) -> DataFrame:
-    """Read every Python version the lives hold. Contents already read are not read again."""
+    """Read every Python version the lives hold. Contents already read are not read again.
+
+    Only what differs is written: a repository with nothing but new versions gets them appended,
+    one whose stored versions changed or went is written anew.
+    """
     repos = git.repositories(spark, roots)
     mine = {t: store.read(t).join(repos, REPO, "left_semi") for t in ("commits", "commit_parents", "commit_files")}
     lives = sync.stored_lives(mine["commits"], mine["commit_files"], mine["commit_parents"])
@@ -71,8 +75,27 @@ def parse(spark: SparkSession, store: Store, roots: dict[str, str]) -> DataFrame
         lives, versions, parsed, sync.known_contents(stored, held, PRODUCER)
     )
     definitions = materialise(definitions, "definitions")
-    store.replace_repositories("definition_versions", definitions, repos)
-    store.replace_repositories("file_versions", file_versions, repos)
+    # File versions last: they tell which contents are known.
+    changes = [
+        _brought(store, "definition_versions", held, definitions),
+        _brought(store, "file_versions", stored, file_versions),
+    ]
     failed = file_versions.groupBy(REPO).agg(F.count("parse_error").alias("failed"))
     counted = definitions.groupBy(REPO).agg(F.count(F.lit(1)).alias("definitions"))
-    return tallies.join(failed, REPO, "left").join(counted, REPO, "left").fillna(0)
+    written = changes[0].unionByName(changes[1]).groupBy(REPO).agg(F.count(F.lit(1)).alias("changes"))
+    for part in (failed, counted, written):
+        tallies = tallies.join(part, REPO, "left")
+    return tallies.fillna(0)
+
+
+def _brought(store: Store, table: str, stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Make the table's *stored* rows the *incoming* ones. Returns (repo, act) of every row that differed."""
+    incoming = store.shaped(table, incoming)
+    changes = materialise(sync.version_changes(stored, incoming, KEYS[table]), f"changes-{table}")
+    redone = changes.where("act <> 'new'").select(REPO).distinct()
+    if not redone.isEmpty():
+        store.replace_repositories(table, incoming.join(redone, REPO, "left_semi"), redone)
+    new = changes.where("act = 'new'").join(redone, REPO, "left_anti")
+    if not new.isEmpty():
+        store.append(table, new)
+    return changes.select(REPO, "act")

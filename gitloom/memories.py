@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,17 @@ class MemoryError_(RuntimeError):
 
 
 class MemoryBook:
-    def __init__(self, spark: SparkSession, store: Store, repository: str):
-        self.spark, self.store, self.repository = spark, store, repository
+    """The statements about one repository.
+
+    *unheld* takes acts and their citations and gives (memory_id, refusal) for those that
+    point at something the evidence does not hold; without it only their form is checked.
+    """
+
+    def __init__(
+        self, spark: SparkSession, store: Store, repository: str,
+        unheld: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+    ):
+        self.spark, self.store, self.repository, self.unheld = spark, store, repository, unheld
 
     def read(self) -> DataFrame:
         rows = self.store.read("memories")
@@ -60,8 +70,9 @@ class MemoryBook:
         schema = self.store.empty("memories").schema
         return self.spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], schema)
 
-    def _checked(self, rows: list[dict], citations: list[tuple[str, str]]) -> DataFrame:
-        frame = self._frame(rows)
+    def _checked(self, row: dict, citations: list[tuple[str, str]]) -> dict[str, DataFrame]:
+        """The act as rows of both tables, refused where it is malformed or points at nothing."""
+        frame = self._frame([row])
         refused = m.act_refusals(frame).first()
         if refused:
             raise MemoryError_(refused["refusal"])
@@ -70,13 +81,14 @@ class MemoryBook:
             raise MemoryError_("a citation needs one of " + ", ".join(kinds) + " and a reference")
         if len(set(citations)) != len(citations):
             raise MemoryError_("a citation is given twice")
-        return frame
-
-    def _cite(self, memory_id: str, citations: list[tuple[str, str]]) -> None:
         ordered = sorted(citations, key=lambda c: (schemas.CITATION_KINDS.index(c[0]), c[1]))
-        if ordered:
-            rows = [(memory_id, i, kind, ref) for i, (kind, ref) in enumerate(ordered)]
-            self.store.append("memory_citations", self.spark.createDataFrame(rows, schemas.MEMORY_CITATIONS))
+        cited = self.spark.createDataFrame(
+            [(row["memory_id"], i, kind, ref) for i, (kind, ref) in enumerate(ordered)], schemas.MEMORY_CITATIONS
+        )
+        refused = self.unheld(frame, cited).first() if self.unheld else None
+        if refused:
+            raise MemoryError_(refused["refusal"])
+        return {"memories": frame, "memory_citations": cited}
 
     def _only_ours(self) -> None:
         other = self.read().where(F.col("repository_path") != self.repository).first()
@@ -87,9 +99,7 @@ class MemoryBook:
         self._only_ours()
         memory_id = str(uuid.uuid4())
         row = self._row(memory_id=memory_id, statement=(statement or "").strip(), **fields)
-        frame = self._checked([row], list(citations))
-        self._cite(memory_id, list(citations))
-        self.store.append("memories", frame)
+        self.store.append_together(self._checked(row, list(citations)))
         return memory_id
 
     def _active(self, prefix: str) -> dict:
@@ -100,17 +110,16 @@ class MemoryBook:
         return old
 
     def supersede(self, prefix: str, statement: str, citations=(), **fields) -> str:
-        """Both rows go in with one append: there is no moment with only one of them."""
+        """Both rows and the citations become visible at once."""
         old = self._active(prefix)
         memory_id = str(uuid.uuid4())
         new = self._row(memory_id=memory_id, statement=(statement or "").strip(), **fields)
-        self._checked([new], list(citations))
+        frames = self._checked(new, list(citations))
         ended = {
             **old, "state": "superseded", "ended_at": new["admitted_at"], "ended_epoch": new["admitted_epoch"],
             "superseded_by": memory_id, "act_no": new["act_no"],
         }
-        self._cite(memory_id, list(citations))
-        self.store.append("memories", self._frame([new, ended]).coalesce(1))
+        self.store.append_together({**frames, "memories": self._frame([new, ended])})
         return memory_id
 
     def invalidate(self, prefix: str, reason: str) -> str:
@@ -122,7 +131,7 @@ class MemoryBook:
             **old, "state": "invalidated", "ended_at": now["admitted_at"], "ended_epoch": now["admitted_epoch"],
             "end_reason": reason.strip(), "act_no": now["act_no"],
         }
-        self.store.append("memories", self._frame([ended]))
+        self.store.append_together({"memories": self._frame([ended])})
         return old["memory_id"]
 
     def adopt(self, source: str) -> int:
@@ -138,7 +147,7 @@ class MemoryBook:
         moved = moving.withColumn("repository_path", F.lit(self.repository)).withColumn(
             "act_no", F.lit(time.time_ns())
         )
-        self.store.append("memories", materialise(moved, "adopted"))
+        self.store.append_together({"memories": materialise(moved, "adopted")})
         self.store.set_meta({"memory_adopted_from": source, "memory_adopted_at": datetime.now(UTC).isoformat()})
         return n
 
@@ -185,8 +194,10 @@ class MemoryBook:
                 "inserts",
             )
             cited = fixed.select("memory_id", F.posexplode("citations").alias("position", "_c"))
-            self.store.append("memory_citations", cited.select("memory_id", "position", "_c.kind", "_c.ref"))
-            self.store.append("memories", fixed.drop("citations"))
+            self.store.append_together({
+                "memory_citations": cited.select("memory_id", "position", "_c.kind", "_c.ref"),
+                "memories": fixed.drop("citations"),
+            })
         return {
             "file": path, "file_repository": header["repository"], "repository": self.repository,
             "format_version": ix.FORMAT_VERSION, "count_in_file": header["count"],

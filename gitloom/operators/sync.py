@@ -37,12 +37,23 @@ def surviving(rows: DataFrame, commits: DataFrame) -> DataFrame:
 
 def changed_versions(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Incoming rows that are new or differ from the stored ones in any column."""
+    return version_changes(stored, incoming, keys).where("act <> 'gone'").select(*incoming.columns)
+
+
+def version_changes(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """What turns the stored rows into the incoming ones: those rows, with ``act`` new, changed or gone.
+
+    *keys* identify a row on either side. Of a row that is gone only the key is given.
+    """
     held = [c for c in incoming.columns if c not in keys]
-    old = stored.select(*keys, *[F.col(c).alias(f"_s_{c}") for c in held], F.lit(True).alias("_stored"))
-    same = F.col("_stored").isNotNull()
-    for c in held:
-        same = same & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
-    return incoming.join(old, keys, "left").where(~same).select(*incoming.columns)
+    sides = [f.select(*keys, F.struct(*held).alias(name)) for f, name in ((stored, "_old"), (incoming, "_new"))]
+    act = (
+        F.when(F.col("_old").isNull(), "new")
+        .when(F.col("_new").isNull(), "gone")
+        .when(F.col("_old") != F.col("_new"), "changed")
+    )
+    told = sides[0].join(sides[1], keys, "full_outer").withColumn("act", act).where("act is not null")
+    return told.select(*keys, "_new.*", "act")
 
 
 def stored_lives(commits: DataFrame, files: DataFrame, parents: DataFrame) -> Sequence:

@@ -198,10 +198,7 @@ def memory_section(spark, sf):
     return shown.join(F.broadcast(left)).select("memory_id", "rank", "in_force", "omitted")
 
 
-@query(
-    "citation_resolution",
-    ctes(v.MEMORIES, v.CITATIONS, v.FILE_LIVES, v.DEFINITIONS, v.RANGES)
-    + """,
+CITED = ctes(v.MEMORIES, v.CITATIONS, v.FILE_LIVES, v.DEFINITIONS, v.RANGES) + """,
 cur AS (SELECT life_id, arg_max(path, seq) AS current_path FROM ev GROUP BY 1),
 pre AS (SELECT DISTINCT ref FROM citations WHERE kind = 'commit'),
 oncommit AS (SELECT ref, max(sha) AS sha FROM pre JOIN commits
@@ -216,8 +213,9 @@ pairs AS (SELECT DISTINCT w.ref, e.life_id AS la, c.life_id AS lb FROM wanted w
           JOIN cur c ON c.current_path = pb WHERE e.life_id <> c.life_id),
 met AS (SELECT p.ref FROM pairs p JOIN touched x ON x.life_id = la
         JOIN touched y ON y.life_id = lb AND y.commit_sha = x.commit_sha
-        GROUP BY p.ref, la, lb HAVING count(*) >= 2)
-SELECT c.memory_id, c.kind, c.ref, CASE WHEN CASE c.kind
+        GROUP BY p.ref, la, lb HAVING count(*) >= 2),
+resolved AS (
+  SELECT c.memory_id, c.position, c.kind, c.ref, CASE WHEN CASE c.kind
     WHEN 'commit' THEN c.ref IN (SELECT ref FROM oncommit)
     WHEN 'file' THEN substring(c.ref, 3) IN (SELECT path FROM files)
     WHEN 'definition' THEN c.ref IN (SELECT qualname FROM defs)
@@ -226,19 +224,45 @@ SELECT c.memory_id, c.kind, c.ref, CASE WHEN CASE c.kind
     ELSE EXISTS (SELECT 1 FROM firsts f JOIN oncommit o ON o.ref = f.ref JOIN ranges r ON r.commit_sha = o.sha
                  WHERE f.memory_id = c.memory_id AND c.ref = printf('%s:%d-%d', r.path, r.start, r."end"))
     END THEN 'resolved' ELSE 'unresolved' END AS resolution
-FROM citations c""",
-)
-def citation_resolution(spark, sf):
+FROM citations c)"""
+
+
+def _cited(spark, sf):
+    """(commits, events, definitions, citations with their resolution)."""
     lives = lc.lifecycle_events(a.order_sequence(spark, sf), renames=False)
-    events = lives.stored("lives").frame
-    return m.resolve_citations(
-        a.memory_citations(spark, sf),
-        a.commits(spark, sf),
-        events,
-        a.definition_rows(spark, sf),
-        a.patch_ranges(spark, sf),
-        lc.file_statistics(events),
-    ).select("memory_id", "kind", "ref", "resolution")
+    events, commits, names = lives.stored("lives").frame, a.commits(spark, sf), a.definition_rows(spark, sf)
+    resolved = m.resolve_citations(
+        a.memory_citations(spark, sf), commits, events, names, a.patch_ranges(spark, sf), lc.file_statistics(events)
+    )
+    return commits, events, names, resolved
+
+
+@query("citation_resolution", CITED + " SELECT memory_id, kind, ref, resolution FROM resolved")
+def citation_resolution(spark, sf):
+    return _cited(spark, sf)[-1].select("memory_id", "kind", "ref", "resolution")
+
+
+@query(
+    "memory_act_citations",
+    CITED
+    + """, missing AS (
+  SELECT memory_id, arg_min(kind || ' ' || ref, (position, kind, ref)) AS what
+  FROM resolved WHERE resolution = 'unresolved' GROUP BY 1),
+told AS (
+  SELECT m.memory_id, CASE
+      WHEN subject_kind = 'path' AND subject_path NOT IN (SELECT path FROM files) THEN 'subject not found: path'
+      WHEN subject_kind = 'definition' AND (subject_path, subject_qualname) NOT IN (SELECT (path, qualname) FROM defs)
+        THEN 'subject not found: definition'
+      WHEN subject_kind = 'commit' AND subject_commit_sha NOT IN (SELECT sha FROM commits) THEN 'subject not found: commit'
+      WHEN since_commit_sha NOT IN (SELECT sha FROM commits) THEN 'start not found'
+      ELSE 'citation not found: ' || what END AS refusal
+  FROM memories m LEFT JOIN missing USING (memory_id))
+SELECT memory_id, refusal FROM told WHERE refusal IS NOT NULL""",
+)
+def memory_act_citations(spark, sf):
+    """Every statement as an act: what a write refuses it for."""
+    commits, events, names, resolved = _cited(spark, sf)
+    return m.unheld(m.resolve_subjects(a.memories(spark, sf), commits, events, names), resolved)
 
 
 # ------------------------------------------------------------------ interchange

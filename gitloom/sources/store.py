@@ -2,13 +2,15 @@
 
 Tables are partitioned by repository, and a write replaces the partitions of the
 repositories it holds rows for. Small tables that are not about one repository's
-history (memories, runs, meta) are written whole.
+history (memories, runs, meta) are written whole. Rows of several tables that belong
+together are staged as a batch, and one empty file makes the batch visible.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,7 @@ from gitloom.session import materialise
 SCHEMA_VERSION = "1"
 CACHE_VARIABLE = "GITLOOM_CACHE_DIR"
 HISTORY = ["commits", "commit_parents", "commit_files", "file_versions", "definition_versions"]
+BATCHES, PUBLISHED = "batches", "published"
 
 
 class StoreError(RuntimeError):
@@ -45,9 +48,18 @@ class Store:
 
     def read(self, table: str) -> DataFrame:
         """The table, or no rows where it was never written. One that cannot be read is an error."""
-        if not self._files().exists(self._at(table)):
+        paths = [self._path(table)] if self._files().exists(self._at(table)) else []
+        batches = self._names(BATCHES, table) & self._names(BATCHES, PUBLISHED)
+        paths += [f"{self.base}/{BATCHES}/{table}/{batch}" for batch in sorted(batches)]
+        if not paths:
             return self.empty(table)
-        return self.spark.read.schema(schemas.TABLES[table]).parquet(self._path(table))
+        return self.spark.read.schema(schemas.TABLES[table]).parquet(*paths)
+
+    def _names(self, *parts: str) -> set[str]:
+        """What lies in a folder of the store."""
+        if not self._files().exists(self._at(*parts)):
+            return set()
+        return {status.getPath().getName() for status in self._files().listStatus(self._at(*parts))}
 
     def _at(self, *parts: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.base, *parts]))
@@ -55,12 +67,13 @@ class Store:
     def _files(self):
         return self._at("meta").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _shaped(self, table: str, frame: DataFrame) -> DataFrame:
+    def shaped(self, table: str, frame: DataFrame) -> DataFrame:
+        """The table's columns of *frame*, in its order and types."""
         return frame.to(self.empty(table).schema)
 
     def replace_repositories(self, table: str, frame: DataFrame, repos: DataFrame | None = None) -> None:
         """Replace the partitions *frame* holds rows for, and empty those of other *repos*."""
-        shaped = self._shaped(table, frame)
+        shaped = self.shaped(table, frame)
         emptied = []
         if repos is not None:
             # Of the repositories asked for, those that lose all their rows.
@@ -77,12 +90,25 @@ class Store:
             self._files().delete(self._at(table, f"{REPO}={escaped(row[REPO])}"), True)
 
     def append(self, table: str, frame: DataFrame) -> None:
-        writer = self._shaped(table, frame).write.mode("append")
+        writer = self.shaped(table, frame).write.mode("append")
         (writer.partitionBy(REPO) if table in HISTORY else writer).parquet(self._path(table))
 
+    def append_together(self, frames: dict[str, DataFrame]) -> None:
+        """Append to several tables so that a reader sees all of the rows or none.
+
+        A job that stops before the last step leaves files nobody reads.
+        """
+        batch = uuid.uuid4().hex
+        for table, frame in frames.items():
+            self.shaped(table, frame).write.parquet(f"{self.base}/{BATCHES}/{table}/{batch}")
+        self._publish(batch)
+
+    def _publish(self, batch: str) -> None:
+        self._files().create(self._at(BATCHES, PUBLISHED, batch), False).close()
+
     def replace(self, table: str, frame: DataFrame) -> None:
         """Write a table whole; what is read for it is fixed first."""
-        fixed = materialise(self._shaped(table, frame), f"replace-{table}")
+        fixed = materialise(self.shaped(table, frame), f"replace-{table}")
         fixed.write.mode("overwrite").parquet(self._path(table))
 
     # ------------------------------------------------------------------ meta

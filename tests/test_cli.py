@@ -75,6 +75,20 @@ def test_memory_commands(ask):
         run("memory", "invalidate", made, "--reason", "again")
 
 
+POINTLESS = [
+    (["--about-definition", "c.py:g"], "subject not found: definition"),
+    (["--cite-definition", "f", "--cite-definition", "g"], "citation not found: definition g"),
+    (["--cite-file", "a.py", "--cite-range", "a.py:2-2"], "citation not found: range"),
+]
+
+
+@pytest.mark.parametrize("words, refusal", POINTLESS)
+def test_what_a_memory_points_at_has_to_be_there(ask, words, refusal):
+    run, _ = ask
+    with pytest.raises(MemoryError_, match=refusal):
+        run("memory", "create", "Never so", *words)
+
+
 def test_answers_are_json(ask):
     run, shas = ask
     found = run("explain", f"{shas[0]}..{shas[2]}")

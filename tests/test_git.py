@@ -7,6 +7,7 @@ from gitloom.operators import history as h
 from gitloom.operators import lifecycle as lc
 from gitloom.operators import structure as st
 from gitloom.operators import sync
+from gitloom.session import materialise
 from gitloom.sources import git
 from gitloom.sources.store import Store, StoreError
 from tests.gitrepo import Repo
@@ -98,7 +99,7 @@ def test_a_second_pass_parses_nothing(spark, sample, analysed):
     store, _, _ = analysed
     before = sorted(map(str, store.read("definition_versions").collect()))
     again = ingest.parse(spark, store, {"sample": repo.path}).collect()[0]
-    assert (again["contents_to_parse"], again["reused"]) == (0, 6)
+    assert (again["contents_to_parse"], again["reused"], again["changes"]) == (0, 6, 0)
     assert sorted(map(str, store.read("definition_versions").collect())) == before
 
 
@@ -116,6 +117,31 @@ def test_a_rewrite_takes_its_rows_with_it(spark, tmp_path):
     assert store.read("commits").count() == 3
     assert store.meta("head_sha:r") == new
     assert {r["path"] for r in store.read("file_versions").collect()} == {"a.py", "b.py"}
+
+
+def test_a_second_pass_writes_what_is_new(spark, tmp_path):
+    """One commit more adds its own rows; files that were there are not touched, unless a stored row was wrong."""
+    (tmp_path / "r").mkdir()
+    repo = Repo(tmp_path / "r")
+    for i in range(4):
+        repo.commit(f"c{i}", {"a.py": "".join(f"def f{k}():\n    return {i}\n" for k in range(5)), f"b{i}.py": "x = 1\n"})
+    store = Store(spark, str(tmp_path / "store"))
+    files = lambda: {p for t in ("file_versions", "definition_versions") for p in store.read(t).inputFiles()}
+
+    def passes():
+        ingest.analyze(spark, store, {"r": repo.path})
+        return ingest.parse(spark, store, {"r": repo.path}).first()["changes"]
+
+    assert passes() == 8 + 20
+    before = files()
+    repo.commit("one more", {"b1.py": "def g():\n    pass\n"})
+    assert passes() == 2
+    assert before < files()
+    held = {t: sorted(map(str, store.read(t).collect())) for t in ("file_versions", "definition_versions")}
+    wrong = store.read("file_versions").withColumn("content_sha", F.when(F.col("path") != "a.py", F.col("content_sha")).otherwise("0"))
+    store.replace_repositories("file_versions", materialise(wrong, "wrong"))
+    assert passes() == 4
+    assert {t: sorted(map(str, store.read(t).collect())) for t in held} == held
     with pytest.raises(StoreError):
         store.require("/elsewhere")
 

@@ -42,6 +42,37 @@ def test_refused_acts_write_nothing(book, statement, fields):
     assert book.read().count() == 0
 
 
+@pytest.mark.parametrize("act", ["admit", "supersede", "import"])
+def test_an_act_that_stops_half_way_leaves_nothing_to_see(spark, book, tmp_path, monkeypatch, act):
+    """Statements and citations are both written when the job dies; no reader sees either."""
+    first = book.admit("one", [("file", "a.py")], subject_kind="repository")
+    out = str(tmp_path / "out")
+    book.export(out)
+    other = MemoryBook(spark, Store(spark, str(tmp_path / "other")), "/other")
+
+    def run():
+        if act == "admit":
+            return book.admit("two", [("file", "b.py")], subject_kind="repository")
+        if act == "supersede":
+            return book.supersede(first, "two", [("file", "b.py")], subject_kind="repository")
+        return other.take_in(out, "/repo")
+
+    def dies(batch):
+        raise OSError("the executor that held the driver is gone")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(book.store, "_publish", dies)
+        patch.setattr(other.store, "_publish", dies)
+        with pytest.raises(OSError):
+            run()
+    held = other if act == "import" else book
+    before = (0, 0) if act == "import" else (1, 1)
+    assert (held.read().count(), held.citations().count()) == before
+    assert all(r["state"] == "active" for r in held.read().collect())
+    run()
+    assert (held.read().count(), held.citations().count()) == (before[0] + 1, before[1] + 1)
+
+
 def test_adopt_moves_once(spark, book):
     book.admit("x", subject_kind="repository")
     moved = MemoryBook(spark, book.store, "/new")
