@@ -337,7 +337,8 @@ def _memory_objects(s: Session, memories: DataFrame, order: list, deep: bool) ->
         F.sort_array(F.collect_list(F.struct("position", "kind", "ref", "resolution"))).alias("citations")
     )
     older = m.supersede_links(s.book().read()).select("memory_id", "supersedes")
-    rows = _subject_states(s, memories).join(listed, "memory_id", "left").join(older, "memory_id", "left")
+    dated = m.start_moments(memories.withColumn(REPO, F.lit(s.repo)), s.table("commits"))
+    rows = _subject_states(s, dated).join(listed, "memory_id", "left").join(older, "memory_id", "left")
     found = []
     for r in rows.orderBy(*order).toLocalIterator():
         kind = r["subject_kind"]
@@ -350,7 +351,8 @@ def _memory_objects(s: Session, memories: DataFrame, order: list, deep: bool) ->
             subject["commit"] = r["subject_commit_sha"]
         known = r["author_name"] or r["author_email"]
         since = (
-            {"commit": r["since_commit_sha"]} if r["since_commit_sha"]
+            {"commit": r["since_commit_sha"], "commit_date": r["since_at"][:10] if r["since_at"] else None}
+            if r["since_commit_sha"]
             else {"date": r["since_date"]} if r["since_date"] else None
         )
         found.append(

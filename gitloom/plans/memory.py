@@ -156,7 +156,12 @@ def memory_relation_rank(spark, sf):
     return _related(spark, sf)[1].select("memory_id", "subject_kind", "rank")
 
 
-IN_FORCE = """
+# The given keys begin with zeros: this many of their 19 digits name a handful of commits.
+START_LETTERS = 18
+
+IN_FORCE = f"""
+starts AS (SELECT substring(sha, 1, {START_LETTERS}) AS beginning, max(committed_epoch) AS committed_epoch
+           FROM commits GROUP BY 1),
 held AS (
   SELECT r.*, c.committed_epoch AS since_epoch,
     coalesce(CASE WHEN since_commit_sha IS NOT NULL THEN c.committed_epoch <= u.committed_epoch
@@ -164,13 +169,13 @@ held AS (
                     THEN since_date <= strftime(to_timestamp(u.committed_epoch) AT TIME ZONE 'UTC', '%Y-%m-%d')
                   ELSE false END, false)
       AND (ended_epoch IS NULL OR ended_epoch >= u.committed_epoch) AS in_force
-  FROM ranked r CROSS JOIN unit u LEFT JOIN commits c ON c.sha = r.since_commit_sha
+  FROM ranked r CROSS JOIN unit u LEFT JOIN starts c ON c.beginning = substring(r.since_commit_sha, 1, {START_LETTERS})
   WHERE rank IS NOT NULL)"""
 
 
 def _started(spark, sf, epoch, ranked):
     at = F.date_format(F.timestamp_seconds(F.lit(epoch)), "yyyy-MM-dd")
-    return m.in_force(ranked, a.commits(spark, sf), F.lit(epoch), at)
+    return m.in_force(ranked, a.commits(spark, sf), F.lit(epoch), at, letters=START_LETTERS)
 
 
 @query(

@@ -1,9 +1,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from gitloom import cli
-from gitloom.memories import MemoryError_
+from gitloom.memories import MemoryBook, MemoryError_
 from gitloom.sources.store import StoreError
 from tests.gitrepo import Repo
 
@@ -64,6 +65,7 @@ def test_memory_commands(ask):
         "commit": "resolved", "range": "resolved", "cochange": "resolved"
     }
     assert shown["subject"]["resolution"] == "resolved"
+    assert shown["since"]["commit"] == shas[0] and len(shown["since"]["commit_date"]) == 10
     listed = run("memory", "list")["memories"]
     assert {c["kind"]: c["resolution"] for c in listed[0]["citations"]}["range"] == "not_checked"
     document = run("explain", shas[1])
@@ -75,6 +77,27 @@ def test_memory_commands(ask):
         run("memory", "invalidate", made, "--reason", "again")
 
 
+def test_a_start_is_shown_with_its_day(spark, tmp_path):
+    """The day its newest commit recorded, in the committer's own offset."""
+    s = cli.Session(spark, "/r", str(tmp_path / "store"))
+    days = [("abcdef1aaa", "2024-05-02T23:30:00-05:00", 20), ("abcdef1bbb", "2024-05-01T00:00:00+00:00", 10)]
+    schema = "repo_id string, sha string, committed_at string, committed_epoch long"
+    commits = spark.createDataFrame([("/r", *day) for day in days], schema)
+    rest = [f for f in s.store.empty("commits").schema if f.name not in commits.columns]
+    s.store.append("commits", commits.withColumns({f.name: F.lit(None).cast(f.dataType) for f in rest}))
+    book = MemoryBook(spark, s.store, "/r")
+    for statement, fields in [
+        ("held", {"since_commit_sha": "abcdef1bbb"}), ("lost", {"since_commit_sha": "fffffff"}),
+        ("day", {"since_date": "2024-01-01"}), ("open", {}),
+    ]:
+        book.admit(statement, subject_kind="repository", **fields)
+    told = {o["statement"]: o["since"] for o in cli._memory_objects(s, book.read(), ["memory_id"], deep=False)}
+    assert told == {
+        "held": {"commit": "abcdef1bbb", "commit_date": "2024-05-02"},
+        "lost": {"commit": "fffffff", "commit_date": None}, "day": {"date": "2024-01-01"}, "open": None,
+    }
+
+
 POINTLESS = [
     (["--about-definition", "c.py:g"], "subject not found: definition"),
     (["--cite-definition", "f", "--cite-definition", "g"], "citation not found: definition g"),

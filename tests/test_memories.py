@@ -1,8 +1,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from gitloom.memories import MemoryBook, MemoryError_
+from gitloom.operators import memory as m
 from gitloom.sources.store import Store
 
 
@@ -73,6 +75,37 @@ def test_an_act_that_stops_half_way_leaves_nothing_to_see(spark, book, tmp_path,
     assert (held.read().count(), held.citations().count()) == (before[0] + 1, before[1] + 1)
 
 
+STARTS = [
+    ("abcdef1000000", 30),  # two commits begin like it: the newest, not the last by name
+    ("ABCDEF1", 30),  # letters of either case
+    ("abc", 50),  # shorter than the letters that count
+    ("abcdef2", 50),
+    ("0000000", None),  # no commit has it
+    ("abc%", None),  # no sha
+    (None, None),
+]
+
+
+def test_a_start_is_the_newest_commit_that_begins_like_it(spark):
+    commits = [("r", "abcdef1aaa", 30), ("r", "abcdef1bbb", 20), ("r", "abcdef2ccc", 50), ("q", "abcdef1ddd", 99)]
+    commits = spark.createDataFrame(commits, "repo_id string, sha string, committed_epoch long").withColumn(
+        "committed_at", F.concat(F.lit("day "), "committed_epoch")
+    )
+    rows = [(i, "r", sha, None, None) for i, (sha, _) in enumerate(STARTS)] + [(90, "r", None, "2024-01-02", None)]
+    asked = spark.createDataFrame(
+        rows, "i int, repo_id string, since_commit_sha string, since_date string, ended_epoch long"
+    )
+    got = {r["i"]: r for r in m.in_force(asked, commits, F.lit(30), F.lit("2024-01-02T01:00:00+00:00")).collect()}
+    for i, (_, epoch) in enumerate(STARTS):
+        assert got[i]["since_epoch"] == epoch, STARTS[i]
+        assert got[i]["since_at"] == (f"day {epoch}" if epoch else None)
+        assert got[i]["in_force"] == (epoch == 30)
+    assert got[90]["in_force"]
+    none = m.in_force(asked.where("since_commit_sha is null"), commits, F.lit(30), F.lit("2024"))
+    assert none.select("since_epoch").distinct().collect() == [(None,)]
+    assert m.in_force(asked, commits.limit(0), F.lit(30), F.lit("2024")).where("since_epoch is not null").count() == 0
+
+
 def test_adopt_moves_once(spark, book):
     book.admit("x", subject_kind="repository")
     moved = MemoryBook(spark, book.store, "/new")
