@@ -31,6 +31,7 @@ from gitloom.llm.common import ROW
 from gitloom.session import materialise
 
 LEVEL0, BRANCHES, SHORT = 3, 8, 32
+SPACE = " \t\n\x0b\x0c\r"
 # Cells of the hashed set of documents that a join is narrowed to: a bound on what is broadcast.
 CELL_BITS = 20
 
@@ -59,9 +60,8 @@ def _cell() -> Column:
 def _lines(docs: DataFrame, least: int) -> DataFrame:
     """(id, th, no, line): the lines that are compared, of *least* characters or more."""
     every = docs.select("id", "th", F.posexplode(F.split("body", "\n", -1)).alias("no", "line"))
-    return every.filter(
-        (F.char_length("line") >= least) & F.col("line").rlike(r"[^\x20\x09-\x0D]")
-    )
+    # A line of white space alone has nothing left when that is taken off.
+    return every.filter((F.char_length("line") >= least) & (F.ltrim("line", F.lit(SPACE)) != ""))
 
 
 def _named(lines: DataFrame) -> DataFrame:
@@ -108,6 +108,8 @@ def _near(docs: DataFrame, rule: Rule) -> DataFrame:
     distinct = keyed.groupBy("a", "b").agg(
         F.min(F.struct("id", "th", "no")).alias("first"), *[F.first(f"k{i}").alias(f"k{i}") for i in range(n)]
     )
+    # Read twice below, with different columns: as a table the lines are read and hashed once.
+    distinct = materialise(distinct, "line-hashes")
     spread = distinct.select(
         "a", "b", "first", F.posexplode(F.array(*[f"k{i}" for i in range(n)])).alias("slot", "key")
     ).withColumn("extra", (F.col("slot") >= LEVEL0).cast("int"))

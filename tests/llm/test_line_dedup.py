@@ -102,3 +102,14 @@ def test_a_document_of_very_many_lines(spark):
 
 def test_empty_table(spark):
     assert line_dedup.deduplicated(docs(spark, [])).count() == 0
+
+
+def test_lines_are_hashed_once(spark, monkeypatch):
+    """What is read twice, with different columns, is a table: only that one is built from the documents' lines."""
+    built, write = {}, line_dedup.materialise
+    monkeypatch.setattr(line_dedup, "materialise", lambda frame, name: built.setdefault(name, frame) and write(frame, name))
+    rows = docs(spark, [(1, sentence(1, 30), "en", "a", 1), (2, sentence(1, 30) + "x", "en", "a", 1)])
+    line_dedup.removed_lines(rows).count()
+    told = built["line-keys"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(split(" not in told
+    assert "posexplode(split(" in built["line-hashes"]._jdf.queryExecution().optimizedPlan().toString()
