@@ -114,3 +114,31 @@ def test_acts_fold_in_order(spark, ranges):
         "a": ("invalidated", 1, 3, 2), "b": ("superseded", 2, 5, 1), "d": ("active", 7, None, 0),
     }
     assert rows["a"]["end_reason"] == "d2" and rows["b"]["superseded_by"] == "d6"
+
+
+def test_versions_of_a_definition_are_compared_in_one_pass(spark, monkeypatch):
+    """Each definition is placed beside its earlier version by one window, not by a join of the table with itself."""
+    built, write = {}, st.materialise
+    monkeypatch.setattr(st, "materialise", lambda frame, name: built.setdefault(name, frame) and write(frame, name))
+    events = spark.createDataFrame(
+        [("r", "f", n, f"c{n}", "f.py", "M") for n in range(4)],
+        "repo_id string, life_id string, n int, commit_sha string, path string, change_type string",
+    )
+    versions = spark.createDataFrame(
+        [("r", f"c{n}", "f.py", None) for n in range(4)], "repo_id string, commit_sha string, path string, parse_error string"
+    )
+    # Without a name nothing is the same definition again.
+    held = [(0, "a", "1"), (1, "a", "2"), (2, None, "1"), (3, "a", "2"), (3, "a", "2")]
+    definitions = spark.createDataFrame(
+        [("r", f"c{n}", "f.py", k, "function", name, print_, 1, 2, []) for k, (n, name, print_) in enumerate(held)],
+        "repo_id string, commit_sha string, path string, position int, kind string, qualname string,"
+        " fingerprint string, lineno int, end_lineno int, decorators array<string>",
+    )
+    found = st.definition_history(ordered(events, ["n"]), versions, definitions)
+    got = sorted((r["commit_sha"], r["qualname"] or "", r["occurrence"], r["change"]) for r in found.events.collect())
+    assert got == [
+        ("c0", "a", 0, "created"), ("c1", "a", 0, "modified"), ("c2", "", 0, "created"), ("c2", "a", 0, "deleted"),
+        ("c3", "", 0, "deleted"), ("c3", "a", 0, "created"), ("c3", "a", 1, "created"),
+    ]
+    told = built["moved"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" not in told and "Window" in told
