@@ -139,3 +139,24 @@ def test_documented_lifecycle_history(spark):
     ]
     assert lc.lives_of_path(lives.frame, "app.py").count() == 2
     assert lc.lives_of_path(lives.frame, "kept.py").count() == 2
+
+
+def test_links_are_read_once(spark, monkeypatch):
+    written, write = [], lc.materialise
+
+    def counted(frame, name):
+        stored = write(frame, name)
+        written.append((name, stored.count()))
+        return stored
+
+    monkeypatch.setattr(lc, "materialise", counted)
+    # Ten commits in a line, the first one's clock far ahead: every one waits for it.
+    commits = spark.createDataFrame(
+        [("r", f"c{n:02d}", 1000 if n == 0 else n) for n in range(10)], "repo_id string, sha string, committed_epoch long"
+    )
+    parents = spark.createDataFrame(
+        [("r", f"c{n:02d}", f"c{n - 1:02d}") for n in range(1, 10)], "repo_id string, commit_sha string, parent_sha string"
+    )
+    found = lc.walk_keys(commits, parents).collect()
+    assert sorted(found, key=lambda r: r["walk_key"]) == sorted(found, key=lambda r: r["sha"])
+    assert [n for name, n in written if name == "walk-edges"] == [9]
