@@ -58,5 +58,5 @@ def add_columns(
 
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows and bytes: texts and packed rows may be long, and a batch is held whole."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")

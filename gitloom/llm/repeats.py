@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gitloom.llm.common import ROW
-from gitloom.llm.packed import by_place, groups, plain, tagged, unplain, untagged
+from gitloom.llm.packed import by_place, give_back, groups, plain, tagged, unplain, untagged
 from gitloom.llm.shared_sets import MIX, SHIFT, combined, place_of, place_of_owner, shared_sets
 from gitloom.session import materialise
 
@@ -234,7 +234,9 @@ def _contexts(rule: Rule, count: int):
                     for p, w in by_place(place_of(hashes[twins], count), count)
                 ]
                 yield _sent(rows)
-            pa.default_memory_pool().release_unused()
+                # Nothing of a piece is held while the next one is read.
+                del stream, wide, words, same, order, rows, at, hashes
+                give_back()
 
     return run
 
@@ -379,6 +381,8 @@ def _judged(rule: Rule, count: int):
             if found:
                 which, starts, ends = (np.concatenate(c) for c in zip(*found))
                 yield _sent(_span_rows(names[which], starts, ends, count))
+            del rows, asked, passed, found, names, ranks, at, masks
+            give_back()
 
     return run
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gitloom.llm.packed import by_place, expanded, groups, plain, squeezed, tagged, unplain, untagged
+from gitloom.llm.packed import by_place, expanded, give_back, groups, plain, squeezed, tagged, unplain, untagged
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FINISH = np.uint64(0xFF51AFD7ED558CCD)
@@ -83,7 +83,7 @@ def _spread(batches: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.Record
         if rows:
             yield _packed(rows)
         del batch, column, held, rows
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def _sent(held: list[np.ndarray], owned: list[int], count: int) -> Iterator[pa.RecordBatch]:
@@ -115,6 +115,7 @@ def _meet(batches: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.RecordBa
             continue
         order = np.argsort(hashes)
         hashes, owners = hashes[order], owners[order]
+        del order
         starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
         lengths = np.diff(np.append(starts, len(hashes)))
         # Several batches may hold one owner, so owners count, not entries.
@@ -125,9 +126,13 @@ def _meet(batches: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.RecordBa
             at = np.minimum(np.searchsorted(every, hashes[starts]), len(every) - 1)
             shared |= every[at] == hashes[starts]
         keep = np.repeat(shared, lengths)
-        rows = _dealt(SHARED, owners[keep], hashes[keep], place_of_owner(owners[keep], count), count)
+        hashes, owners = hashes[keep], owners[keep]
+        del differ, keep, lengths, shared, starts
+        rows = _dealt(SHARED, owners, hashes, place_of_owner(owners, count), count)
         if rows:
             yield _packed(rows)
+        del hashes, owners, known, rows
+        give_back()
 
 
 def _gather(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -155,6 +160,8 @@ def _gather(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
                 ],
                 ["class", "n", "hashes"],
             )
+        del owners, hashes, order, fresh
+        give_back()
 
 
 def shared_sets(source: DataFrame, make: Callable, count: int, percent: int) -> DataFrame:

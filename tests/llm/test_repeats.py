@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gitloom.llm import repeats
+from gitloom.llm import repeats, shared_sets
 from tests.llm.cases import docs, odd_rows, sentence, widened
 
 LENGTH = 50
@@ -129,3 +130,30 @@ def test_groups_are_judged_apart():
         got[part] = repeats.repeated(contexts[part], ranks[part], rule)
     want = repeats.repeated(contexts, ranks, rule)
     assert (got == want).all() and want.any()
+
+
+def test_pieces_and_places_give_their_memory_back(monkeypatch):
+    """A worker keeps nothing of one piece of text, or of one place, when it takes up the next."""
+    given = []
+    for module in (repeats, shared_sets):
+        monkeypatch.setattr(module, "give_back", lambda: given.append(1))
+    monkeypatch.setattr(repeats, "PIECE", 300)
+    rule, n = repeats.Rule(), 6
+    bodies = [sentence(1, 40).encode()] * n
+    read = pa.RecordBatch.from_arrays(
+        [pa.array(range(n), pa.int64()), pa.array(range(n), pa.int64()), pa.array(bodies, pa.binary())], ["class", "rank", "body"]
+    )
+    sets = next(repeats._anchor_sets(rule)(iter([read])))
+    sent = list(shared_sets._spread(iter([sets]), 4))
+    assert len(given) == 1
+    met = sorted((row for b in sent for row in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: r[0])
+    list(shared_sets._meet(iter([shared_sets._packed(met)]), 4))
+    list(shared_sets._gather(iter([shared_sets._packed(met)]), 0))
+    asked = read.append_column("hashes", sets.column(2))
+    given.clear()
+    told = list(repeats._contexts(rule, 4)(iter([asked])))
+    assert len(given) == len(told) > n
+    rows = sorted((row for b in told for row in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: r[0])
+    given.clear()
+    list(repeats._judged(rule, 4)(iter([repeats._sent(rows)])))
+    assert len(given) == len({r[0] for r in rows if r[1] == repeats.CONTEXTS})
