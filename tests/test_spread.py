@@ -66,7 +66,8 @@ def test_a_life_is_placed_by_its_path(spark):
 
 
 def test_patches_of_commits_nobody_cites_are_not_read(spark):
-    commits = spark.createDataFrame([("r", f"{i:08x}", i) for i in range(20)], COMMITS)
+    # A commit may stand twice; what cites it still stands once.
+    commits = spark.createDataFrame([("r", f"{i:08x}", i) for i in [*range(20), 3, 5]], COMMITS)
     cited = spark.createDataFrame(
         [
             ("r", "m1", "commit", "00000003", 2), ("r", "m1", "commit", "00000004", 1), ("r", "m1", "range", "x:2-3", 3),
