@@ -37,10 +37,12 @@ from pyspark.sql import types as T
 
 from gitloom.llm.common import ROW
 from gitloom.llm.packed import by_place, give_back, groups, plain, tagged, unplain, untagged
-from gitloom.llm.shared_sets import MIX, SHIFT, combined, place_of, place_of_owner, shared_sets
+from gitloom.llm.shared_sets import FINISH, MIX, SHIFT, combined, place_of, place_of_owner, shared_sets
 from gitloom.session import materialise
 
 PIECE = 1 << 21
+# Positions that are hashed at a time.
+BLOCK = 1 << 17
 # Surroundings that are judged at a time, and the rest of the last one's group.
 JUDGED = 1 << 14
 LAST = (1 << 63) - 1
@@ -87,28 +89,45 @@ class Stream:
 
     def anchors(self, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
         """Positions and hashes of the k-grams that are smallest in some string."""
-        data = self.bytes
         span = rule.length - rule.gram + 1
-        if len(data) < rule.length:
+        found = []
+        for begin in range(0, max(len(self.bytes) - rule.length + 1, 0) + span - 1, BLOCK):
+            # All strings that hold a k-gram of this block.
+            low = max(begin - span + 1, 0)
+            at, hashes = _smallest(self.bytes[low : begin + BLOCK + rule.length - 1], rule)
+            a, b = np.searchsorted(at, (begin - low, begin - low + BLOCK))
+            found.append((at[a:b] + low, hashes[a:b]))
+        if not found:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
-        words = data.astype(np.uint64)
-        for shift, step in ((8, 1), (16, 2), (32, 4)):
-            words = (words[:-step] << np.uint64(shift)) | words[step:]
-        hashes = words[: len(data) - rule.gram + 1] * MIX
-        for at in range(8, rule.gram, 8):
-            back = min(at, rule.gram - 8)
-            hashes ^= hashes >> SHIFT
-            hashes = (hashes ^ words[back : back + len(hashes)]) * MIX
+        at, hashes = (np.concatenate(c) for c in zip(*found))
+        # The smallest hashes lie close to 0. Mixed again, one to one, they fill all places alike.
+        hashes = (hashes ^ (hashes >> SHIFT)) * FINISH
+        return at, hashes ^ (hashes >> SHIFT)
+
+
+def _smallest(data: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the k-grams that are smallest in some string of *data*."""
+    span = rule.length - rule.gram + 1
+    if len(data) < rule.length:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    words = data.astype(np.uint64)
+    for shift, step in ((8, 1), (16, 2), (32, 4)):
+        words = (words[:-step] << np.uint64(shift)) | words[step:]
+    hashes = words[: len(data) - rule.gram + 1] * MIX
+    for at in range(8, rule.gram, 8):
+        back = min(at, rule.gram - 8)
         hashes ^= hashes >> SHIFT
-        least = sliding(hashes, span, np.minimum)
-        zeros = np.concatenate([[0], np.cumsum(data == 0)])
-        whole = zeros[rule.length :] == zeros[: -rule.length]
-        least = np.where(whole, least, np.uint64(0))
-        # A k-gram lies in *span* strings; it is an anchor if it is smallest in one of them.
-        padded = np.concatenate([np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)])
-        most = sliding(padded, span, np.maximum)
-        at = np.flatnonzero((most == hashes) & (most > 0))
-        return at, hashes[at]
+        hashes = (hashes ^ words[back : back + len(hashes)]) * MIX
+    hashes ^= hashes >> SHIFT
+    least = sliding(hashes, span, np.minimum)
+    zeros = np.concatenate([[0], np.cumsum(data == 0)])
+    whole = zeros[rule.length :] == zeros[: -rule.length]
+    least = np.where(whole, least, np.uint64(0))
+    # A k-gram lies in *span* strings; it is an anchor if it is smallest in one of them.
+    padded = np.concatenate([np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)])
+    most = sliding(padded, span, np.maximum)
+    at = np.flatnonzero((most == hashes) & (most > 0))
+    return at, hashes[at]
 
 
 def _pieces(rows, rule: Rule):

@@ -157,3 +157,25 @@ def test_pieces_and_places_give_their_memory_back(monkeypatch):
     given.clear()
     list(repeats._judged(rule, 4)(iter([repeats._sent(rows)])))
     assert len(given) == len({r[0] for r in rows if r[1] == repeats.CONTEXTS})
+
+
+def anchors_of(texts):
+    return repeats.Stream([t.encode() for t in texts], repeats.Rule()).anchors(repeats.Rule())
+
+
+def test_anchors_fill_all_places_alike():
+    """The smallest hashes of their strings must not meet in the first places."""
+    rng = random.Random(5)
+    _, hashes = anchors_of(["".join(rng.choices("abcdefgh ", k=300_000))])
+    rows = np.bincount(shared_sets.place_of(hashes, 60), minlength=60)
+    assert len(np.unique(hashes)) > 10_000 and rows.max() < 2 * rows.mean() and rows.min() > rows.mean() / 2
+
+
+def test_anchors_are_the_same_in_blocks(monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("ab c", k=n)) for n in (0, 49, 50, 51, 700, 3, 1500, 64)]
+    whole = anchors_of(texts)
+    for block in (1, 7, 64, 333):
+        monkeypatch.setattr(repeats, "BLOCK", block)
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(whole, anchors_of(texts)))
+    assert len(anchors_of([])[0]) == 0 and len(anchors_of(["x" * 49])[0]) == 0
