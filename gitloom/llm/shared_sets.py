@@ -4,6 +4,7 @@ Members are 64-bit hashes. A batch of sets sends every member to a place chosen
 its owner if one set of the batch has it, once and without owners if several have, as it is shared
 already and its owners are told directly. So what a place gets for one member grows with the number
 of batches, not of owners. Rows between tasks are packed: sorted hashes as compressed differences.
+The rows that the sets were made from can come along, so that no set has to be made twice.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from gitloom.llm.packed import by_place, expanded, give_back, groups, plain, squeezed, tagged, unplain, untagged
@@ -23,7 +25,7 @@ SHIFT = np.uint64(32)
 SLICE = 1 << 19
 
 PACKED = "place int, kind int, owners binary, hashes binary"
-LONE, HELD, SHARED, SIZES = 0, 1, 2, 3
+LONE, HELD, SHARED, SIZES, ROWS = range(5)
 
 
 def combined(columns: list[np.ndarray]) -> np.ndarray:
@@ -61,7 +63,14 @@ def _joined(parts: list[np.ndarray], kind) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, kind)
 
 
-def _spread(batches: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.RecordBatch]:
+def _whole(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _spread(batches: Iterator[pa.RecordBatch], count: int, along: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names, first = np.unique(np.asarray(batch.column(0)), return_index=True)
         sizes = np.asarray(batch.column(1))[first].astype(np.int64)
@@ -80,6 +89,10 @@ def _spread(batches: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.Record
             (p, SIZES, tagged(names[at]), plain(sizes[at]))
             for p, at in by_place(place_of_owner(names, count), count)
         ]
+        if along and batch.num_rows:
+            data = _whole(batch.select(["class", "n", *along]))
+            place = place_of(np.array([xxhash.xxh3_64_intdigest(data)], np.uint64), count)
+            rows.append((int(place[0]), ROWS, data, b""))
         if rows:
             yield _packed(rows)
         del batch, column, held, rows
@@ -105,7 +118,7 @@ def _sent(held: list[np.ndarray], owned: list[int], count: int) -> Iterator[pa.R
 
 def _meet(batches: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.RecordBatch]:
     for place, rows in groups(batches):
-        passed = [r for r in rows if r[1] in (SHARED, SIZES)]
+        passed = [r for r in rows if r[1] in (SHARED, SIZES, ROWS)]
         if passed:
             yield _packed(passed)
         owners = _joined([untagged(r[2]) for r in rows if r[1] == LONE], np.int64)
@@ -135,8 +148,13 @@ def _meet(batches: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.RecordBa
         give_back()
 
 
-def _gather(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _gather(batches: Iterator[pa.RecordBatch], percent: int, along: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
     for _, rows in groups(batches):
+        for data in [r[2] for r in rows if r[1] == ROWS]:
+            for read in pa.ipc.open_stream(data):
+                columns = [read.column("class"), read.column("n"), pa.nulls(len(read), pa.binary())]
+                columns += [read.column(c) for c in along]
+                yield pa.RecordBatch.from_arrays(columns, ["class", "n", "hashes", *along])
         names, at = np.unique(
             _joined([untagged(r[2]) for r in rows if r[1] == SIZES], np.int64), return_index=True
         )
@@ -157,26 +175,31 @@ def _gather(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
                     pa.array(names[enough]),
                     pa.array(sizes[enough]),
                     pa.array([hashes[low[i] : high[i]].tobytes() for i in enough], pa.binary()),
+                    *[pa.nulls(len(enough), pa.int64()) for _ in along],
                 ],
-                ["class", "n", "hashes"],
+                ["class", "n", "hashes", *along],
             )
         del owners, hashes, order, fresh
         give_back()
 
 
-def shared_sets(source: DataFrame, make: Callable, count: int, percent: int) -> DataFrame:
-    """(class, n, hashes): of each set the members that another set has too.
+def shared_sets(source: DataFrame, make: Callable, count: int, percent: int, along: tuple[str, ...] = ()) -> DataFrame:
+    """(class, n, hashes, along…): of each set the members that another set has too.
 
     *make* turns batches of *source* into batches of (class, n, hashes): equal classes are one set, n
     is its size, hashes are its members as bytes. Sets of which less than *percent* is shared, or
     nothing, are left out. *count* is the number of places, each a group of one task.
+
+    *along* names columns of longs that *make* gives too. With them every row that *make* gave comes back as well,
+    with its class, n and these columns but without hashes; the rows of the sets have NULL in them.
     """
     # Bound here, as functions are shipped with what they refer to.
     met = (
-        source.mapInArrow(lambda batches: _spread(make(batches), count), PACKED)
+        source.mapInArrow(lambda batches: _spread(make(batches), count, along), PACKED)
         .repartition("place")
         .sortWithinPartitions("place")
         .mapInArrow(lambda batches: _meet(batches, count), PACKED)
     )
     home = met.repartition("place").sortWithinPartitions("place")
-    return home.mapInArrow(lambda batches: _gather(batches, percent), "class long, n long, hashes binary")
+    schema = ", ".join(["class long, n long, hashes binary", *(f"{c} long" for c in along)])
+    return home.mapInArrow(lambda batches: _gather(batches, percent, along), schema)

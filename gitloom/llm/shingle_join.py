@@ -7,9 +7,10 @@ their sets' Jaccard similarity reaches the threshold; the answer is exact up to
 2. A shingle that only one class has can never be common, so a class whose other shingles are less
    than the threshold's share of its set has no link. Which shingles are shared is found in buckets
    of hashes; a batch sends each of its hashes once. Two rounds leave the classes that can link.
+   The rows' names and sizes travel with the first round, so each text is read once.
 3. Of these, each takes the prefix of its set, rarest first, that any partner has to share, and
    classes that share a prefix shingle and are of fitting size fall into one block (connected
-   components over one edge per entry, not over pairs). Links never leave a block.
+   components over one edge per entry at most, not over pairs: prefix_blocks). Links never leave a block.
 4. In a block every set asks an index whose lists are ordered by position, so entries whose rest is
    too short for the threshold are skipped as a whole. A set that resembles one already answered
    starts from that set's overlaps and only adds and subtracts the lists in which they differ. A
@@ -30,15 +31,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gitloom.llm import prefix_blocks
 from gitloom.llm.common import LOWER, ROW, texts
 from gitloom.llm.components import components
 from gitloom.llm.shared_sets import combined, shared_sets
 from gitloom.session import materialise
 
 CACHE = 150_000
+# Words whose shingles are made at a time.
+CHUNK = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -51,27 +55,49 @@ class Join:
     docs_per_bucket: int = 4096
 
 
+class Seen(dict):
+    """Hashes of words."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+
 class Shingler:
     """Hashed shingle sets of texts; words seen lately keep their hash."""
 
     def __init__(self, words: int):
-        self.words, self.seen = words, {}
-
-    def of(self, data: bytes) -> np.ndarray:
-        words = data.translate(LOWER).split()
-        if not words:
-            return np.empty(0, np.uint64)
-        if len(self.seen) > CACHE:
-            self.seen.clear()
-        seen = self.seen
-        for w in set(words):
-            if w not in seen:
-                seen[w] = xxhash.xxh64_intdigest(w)
-        hashes = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-        if len(words) < self.words:
-            return combined([hashes[i : i + 1] for i in range(len(words))])
-        last = len(words) - self.words + 1
-        return np.unique(combined([hashes[i : i + last] for i in range(self.words)]))
+        self.words, self.seen = words, Seen()
+
+    def of(self, bodies: list[bytes]) -> list[np.ndarray]:
+        found, held, load = [], [], 0
+        for data in bodies:
+            words = data.translate(LOWER).split()
+            if len(self.seen) > CACHE:
+                self.seen.clear()
+            held.append(np.fromiter(map(self.seen.__getitem__, words), np.uint64, len(words)))
+            load += len(words)
+            if load > CHUNK:
+                found += self._sets(held)
+                held, load = [], 0
+        return found + self._sets(held)
+
+    def _sets(self, held: list[np.ndarray]) -> list[np.ndarray]:
+        """The sets of some texts from their words' hashes; shingles that reach into the next text are left out."""
+        joined = np.concatenate([*held, np.zeros(self.words - 1, np.uint64)])
+        last = len(joined) - self.words + 1
+        every = combined([joined[i : i + last] for i in range(self.words)])
+        edges, begin = [], 0
+        for hashes in held:
+            edges.append((begin, begin + max(len(hashes) - self.words + 1, 0)))
+            every[slice(*edges[-1])].sort()
+            begin += len(hashes)
+        fresh = np.append(True, every[1:] != every[:-1])[:last]
+        fresh[[a for a, b in edges if a < b]] = True
+        return [
+            every[a:b][fresh[a:b]] if a < b else combined([h[i : i + 1] for i in range(len(h))]) if len(h) else h
+            for h, (a, b) in zip(held, edges)
+        ]
 
 
 def class_of(values: np.ndarray) -> int:
@@ -85,7 +111,7 @@ def _sets(join: Join):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(join.words)
         for batch in batches:
-            found = [shingler.of(v) for v in texts(batch.column(1))]
+            found = shingler.of(texts(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([class_of(s) for s in found], pa.int64()),
@@ -215,43 +241,24 @@ def _answered(names: np.ndarray, sizes: np.ndarray, members: np.ndarray, side: n
     return names[linked], names[roots][linked], links[linked]
 
 
-def _blocks(reduced: DataFrame, join: Join) -> DataFrame:
-    """(class, block): classes that may link, by the prefixes of their sets."""
-    longs = F.expr("transform(sequence(0, cast(length(shingles) / 8 as int) - 1), i -> xxhash64(substring(shingles, i * 8 + 1, 8)))")
-    entries = reduced.select("class", "n", F.explode(longs).alias("h"))
-    counts = entries.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    rare = entries.join(counts, "h")
-    order = Window.partitionBy("class").orderBy("df", "h")
-    whole = Window.partitionBy("class")
-    placed = rare.select("class", "n", "h", "df", F.row_number().over(order).alias("p"), F.count(F.lit(1)).over(whole).alias("m"))
-    least = F.ceil(F.col("n") * join.percent / 100)
-    prefix = placed.filter((F.col("p") <= F.col("m") - least + 1) & (F.col("df") > 1))
-    # Sets that can link are less than a step of sizes apart.
-    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(101.0 / join.percent)))
-    keyed = prefix.select("class", "h", F.explode(F.array(step, step + 1)).alias("band"))
-    low = keyed.groupBy("h", "band").agg(F.min("class").alias("v"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    edges = keyed.join(low, ["h", "band"]).select(F.col("class").alias("u"), "v")
-    return components(edges).select(F.col("node").alias("class"), F.col("root").alias("block"))
-
-
 def grouped(docs: DataFrame, join: Join = Join(), *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(id, th, n, component, links, root) for every row; th: the text's hash; counts the other rows it links with; root: a class of the group."""
     value = F.col(f"`{text}`")
     slim = docs.select(F.col(f"`{key}`").cast("long").alias("id"), value.alias("_text"), F.xxhash64(value).alias("th"))
     make = _sets(join)
     count = max(16, docs.count() // join.docs_per_bucket)
-    once = materialise(shared_sets(slim, make, count, join.percent), "shingle-sets")
-    reduced = shared_sets(once, lambda batches: batches, max(16, count // 4), join.percent)
+    once = materialise(shared_sets(slim, make, count, join.percent, ("id", "th")), "shingle-sets")
+    # Without th: a set. With it: a row, which has the hash of its text even if that is NULL.
+    named = once.filter("th is not null").select("id", "th", "class", "n")
+    sets = once.filter("th is null").select("class", "n", "hashes")
+    places = max(16, count // 4)
+    reduced = shared_sets(sets, lambda batches: batches, places, join.percent)
     reduced = materialise(reduced.withColumnRenamed("hashes", "shingles"), "shingle-sets")
-
-    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in make(batches):
-            yield batch.select(["id", "th", "class", "n"])
-
-    named = materialise(slim.mapInArrow(names, "id long, th long, class long, n long"), "shingle-classes")
     members = named.groupBy("class").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("low"))
 
-    blocks = materialise(_blocks(reduced, join), "shingle-blocks")
+    edges = prefix_blocks.edges(reduced, places, join.percent)
+    blocks = components(edges).select(F.col("node").alias("class"), F.col("root").alias("block"))
+    blocks = materialise(blocks, "shingle-blocks")
     loads = reduced.select("class", (F.octet_length("shingles") / 8).alias("load")).join(blocks, "class")
     needed = F.greatest(F.count(F.lit(1)) / join.part_sets, F.sum("load") / join.part_shingles)
     parts = loads.groupBy("block").agg(F.ceil(needed).cast("int").alias("parts"))

@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
-from gitloom.llm import shingle_join
+from gitloom.llm import prefix_blocks, shingle_join
 from gitloom.llm.components import components
 from tests.llm.cases import docs, lowered, odd_rows, sentence, widened, words
 
@@ -130,3 +131,90 @@ def test_rows_of_one_id_or_none_stay_if_nothing_links_them(spark):
     again = [rows[0], rows[4], rows[7], (6, rows[4][1] + " more", "en", "a", 1)]
     stay = shingle_join.kept(docs(spark, rows + again)).collect()
     assert sorted(map(repr, map(tuple, stay))) == sorted(map(repr, rows))
+
+
+def test_each_text_is_read_once(spark, monkeypatch):
+    read, make = spark.sparkContext.accumulator(0), shingle_join._sets
+
+    def counted(join):
+        run = make(join)
+
+        def watched(batches):
+            def passing():
+                for batch in batches:
+                    read.add(batch.num_rows)
+                    yield batch
+
+            return run(passing())
+
+        return watched
+
+    monkeypatch.setattr(shingle_join, "_sets", counted)
+    rows = near_copies(50, 6)
+    assert shingle_join.grouped(docs(spark, rows)).count() == len(rows) == read.value
+
+
+def test_sets_of_many_texts_at_a_time(monkeypatch):
+    bodies = [(r[1] or "").encode() for r in odd_rows()] + [b"a b c d", b"a b c d e", b"a b c d e", b"", b"A " * 90]
+    alone = [shingle_join.Shingler(5).of([b])[0].tolist() for b in bodies]
+    assert [len(s) for s in alone] == [len(plain_set(b.decode())) for b in bodies]
+    assert all(s == sorted(set(s)) for s in alone)
+    for chunk in (0, 7, 1000, 1 << 16):
+        monkeypatch.setattr(shingle_join, "CHUNK", chunk)
+        assert [s.tolist() for s in shingle_join.Shingler(5).of(bodies)] == alone
+    assert shingle_join.Shingler(5).of([]) == []
+
+
+def by_row(batches):
+    return [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+
+
+def exchanged(batches, step):
+    """What *step* makes of packed rows that came to their places."""
+    rows = sorted(by_row(batches), key=lambda r: r[0])
+    return list(step(iter([prefix_blocks._sent(rows)] if rows else [])))
+
+
+def test_sets_that_may_link_are_connected():
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 1 << 63, 3).astype(np.uint64)  # every set has these
+    sets = []
+    for _ in range(25):
+        base = rng.integers(0, 1 << 63, int(rng.integers(30, 60))).astype(np.uint64)
+        for _ in range(4):
+            own = rng.integers(0, 1 << 63, int(rng.integers(0, 9))).astype(np.uint64)
+            sets.append(np.unique(np.concatenate([base[rng.random(len(base)) > 0.05], own, common])))
+    batch = pa.RecordBatch.from_arrays(
+        [
+            pa.array(range(-50, 50), pa.int64()),
+            pa.array([len(s) for s in sets], pa.int64()),
+            pa.array([s.tobytes() for s in sets], pa.binary()),
+        ],
+        ["class", "n", "hashes"],
+    )
+    count = 5
+    asked = [b for a in range(0, 100, 25) for b in prefix_blocks._asked(count)(iter([batch.slice(a, 25)]))]
+    for r in by_row(asked):
+        if r[1] == prefix_blocks.ASKED:  # a common hash goes out once for all sets of a batch and home
+            hashes = prefix_blocks.expanded(r[3])
+            assert len(np.unique(hashes)) == len(hashes)
+    told = exchanged(asked, prefix_blocks._told)
+    edges = by_row(exchanged(exchanged(told, prefix_blocks._prefixes(count, 75)), prefix_blocks._edges))
+    parent = {i: i for i in range(-50, 50)}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for u, v in edges:
+        parent[root(u)] = root(v)
+    linked = 0
+    for i in range(100):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                linked += 1
+                assert root(i - 50) == root(j - 50)
+    # What all sets have is last in every set and brings no strangers together.
+    assert linked > 30 and len({root(i) for i in parent}) >= 25
