@@ -8,11 +8,15 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 
+# Names that are not worth a search for equal ones.
+FEW = 32
+
 
 def give_back() -> None:
     """Return what freed arrays and batches held to the system: a worker keeps it otherwise, task after task."""
@@ -22,30 +26,42 @@ def give_back() -> None:
         trim(0)
 
 
+@cache
+def _squeezer() -> zstandard.ZstdCompressor:
+    """Set up once in a process: a task packs small rows by the thousand."""
+    return zstandard.ZstdCompressor(level=1)
+
+
+@cache
+def _opener() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 def squeezed(values: np.ndarray) -> bytes:
     """Ascending unsigned integers: differences, byte plane by byte plane, compressed."""
     steps = np.diff(values.astype(np.uint64), prepend=np.uint64(0))
     planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return _squeezer().compress(planes.tobytes())
 
 
 def expanded(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    planes = np.frombuffer(_opener().decompress(data), np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def plain(values: np.ndarray) -> bytes:
     """Small integers or floats in any order, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
+    return _squeezer().compress(np.ascontiguousarray(values).tobytes())
 
 
 def unplain(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+    return np.frombuffer(_opener().decompress(data), kind)
 
 
 def tagged(owners: np.ndarray) -> bytes:
     """Few distinct 64-bit names in any order: a table and a place in it each."""
-    table, at = np.unique(owners, return_inverse=True)
+    # A few names are their own table.
+    table, at = (owners, np.arange(len(owners))) if len(owners) <= FEW else np.unique(owners, return_inverse=True)
     small = np.uint16 if len(table) <= 1 << 16 else np.uint32
     return len(table).to_bytes(4, "little") + plain(np.concatenate([table.view(np.uint8), at.astype(small).view(np.uint8)]))
 

@@ -192,6 +192,14 @@ def _span_rows(names: np.ndarray, starts: np.ndarray, ends: np.ndarray, count: i
     ]
 
 
+def _context_rows(
+    which: np.ndarray, names: np.ndarray, wide: np.ndarray, ranks: np.ndarray, at: np.ndarray, hashes: np.ndarray, count: int
+) -> list[tuple]:
+    # Each place's rows are taken by themselves, so the work does not grow with the number of places.
+    dealt = ((p, which[w]) for p, w in by_place(place_of(hashes[which], count), count))
+    return [(p, CONTEXTS, tagged(names[w]), plain(wide[w]), tagged(ranks[w]), plain(at[w])) for p, w in dealt]
+
+
 def _contexts(rule: Rule, count: int):
     """From (class, rank, body, hashes) to the surroundings of shared anchors, by place."""
     width = rule.left + rule.length
@@ -224,37 +232,18 @@ def _contexts(rule: Rule, count: int):
                 lowest = ranks[order][first][np.cumsum(first) - 1]
                 later = order[ranks[order] > lowest]
                 once = order[first]
-                rows = [
-                    (
-                        p,
-                        CONTEXTS,
-                        tagged(names[once][w]),
-                        plain(wide[once][w]),
-                        tagged(ranks[once][w]),
-                        plain(np.stack([inside[once][w] + offsets[once][w]])),
-                    )
-                    for p, w in by_place(place_of(hashes[once], count), count)
-                ]
+                sent = names, wide, ranks, inside + offsets, hashes
+                rows = _context_rows(once, *sent, count)
                 # Others in this batch have the same surroundings and a smaller id: all of it goes.
                 low = np.maximum(inside - rule.left, 0)
                 high = np.minimum(inside + rule.length, stream.lengths[owner])
                 rows += _span_rows(names[later], (low + offsets)[later], (high + offsets)[later], count)
                 # Equal surroundings with the same rank beside the one sent: they get what that one gets.
                 twins = order[(ranks[order] == lowest) & ~first]
-                rows += [
-                    (
-                        p,
-                        CONTEXTS,
-                        tagged(names[twins][w]),
-                        plain(wide[twins][w]),
-                        tagged(ranks[twins][w]),
-                        plain(np.stack([inside[twins][w] + offsets[twins][w]])),
-                    )
-                    for p, w in by_place(place_of(hashes[twins], count), count)
-                ]
+                rows += _context_rows(twins, *sent, count)
                 yield _sent(rows)
                 # Nothing of a piece is held while the next one is read.
-                del stream, wide, words, same, order, rows, at, hashes
+                del stream, wide, words, same, order, rows, sent, at, hashes
                 give_back()
 
     return run

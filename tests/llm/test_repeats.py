@@ -5,7 +5,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gitloom.llm import repeats, shared_sets
+from gitloom.llm import packed, repeats, shared_sets
 from tests.llm.cases import docs, odd_rows, sentence, widened
 
 LENGTH = 50
@@ -179,3 +179,58 @@ def test_anchors_are_the_same_in_blocks(monkeypatch):
         monkeypatch.setattr(repeats, "BLOCK", block)
         assert all((a == b).all() and len(a) == len(b) for a, b in zip(whole, anchors_of(texts)))
     assert len(anchors_of([])[0]) == 0 and len(anchors_of(["x" * 49])[0]) == 0
+
+
+class Counted(np.ndarray):
+    """Surroundings that note how many of them are taken at a time."""
+
+    taken: list[int] = []
+
+    def __getitem__(self, at):
+        got = super().__getitem__(at)
+        if isinstance(at, np.ndarray):
+            Counted.taken.append(len(got))
+        return got
+
+
+def test_surroundings_are_taken_once_for_any_number_of_places(monkeypatch):
+    """What a piece of text costs must not grow with the places, whose number grows with the table."""
+    view = np.lib.stride_tricks.sliding_window_view
+    monkeypatch.setattr(np.lib.stride_tricks, "sliding_window_view", lambda *a: view(*a).view(Counted))
+    rule, n = repeats.Rule(), 8
+    bodies = [(sentence(i, 60) + sentence(99, 10)).encode() for i in range(n)]
+    read = pa.RecordBatch.from_arrays(
+        [pa.array(range(n), pa.int64()), pa.array([0, 0, *range(2, n)], pa.int64()), pa.array(bodies, pa.binary())], ["class", "rank", "body"]
+    )
+    asked = read.append_column("hashes", next(repeats._anchor_sets(rule)(iter([read]))).column(2))
+    copied, sent = {}, {}
+    for count in (1, 16, 1000):
+        Counted.taken = []
+        rows = [row for b in repeats._contexts(rule, count)(iter([asked])) for row in zip(*(c.to_pylist() for c in b.columns))]
+        copied[count] = sum(Counted.taken)
+        sent[count] = sorted(
+            (*row, wide.tobytes())
+            for r in rows
+            if r[1] == repeats.CONTEXTS
+            for *row, wide in zip(
+                packed.untagged(r[2]).tolist(),
+                packed.untagged(r[4]).tolist(),
+                packed.unplain(r[5], np.int64).tolist(),
+                packed.unplain(r[3], np.uint8).reshape(-1, rule.left + rule.length),
+            )
+        )
+    assert sent[1] == sent[16] == sent[1000] and len(sent[1]) > 200
+    assert copied[1] == copied[16] == copied[1000]
+
+
+def test_packed_rows_share_a_compressor_and_read_back(monkeypatch):
+    packed.plain(np.arange(3))
+    made, build = [], packed.zstandard.ZstdCompressor
+    monkeypatch.setattr(packed.zstandard, "ZstdCompressor", lambda **k: made.append(k) or build(**k))
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 2, packed.FEW, packed.FEW + 1, 500):
+        names = rng.integers(-(1 << 63), 1 << 63, 20)[rng.integers(0, 20, n)]
+        assert (packed.untagged(packed.tagged(names)) == names).all() and len(packed.untagged(packed.tagged(names))) == n
+        hashes = np.sort(names.view(np.uint64))
+        assert (packed.expanded(packed.squeezed(hashes)) == hashes).all()
+    assert not made
