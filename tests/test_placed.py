@@ -63,3 +63,19 @@ def test_spans_of_a_file_meet_once(spark):
     assert _plan(found).count("Exchange") == 1
     got = {(r["unit"], r["path"], r["start"]): r["nth"] for r in found.collect()}
     assert got == {("u", "x", 3): 1, ("u", "x", 9): 2, ("u", "x", 10): 3, ("u", None, 1): 1, (None, "x", 1): 1}
+
+
+def test_definitions_are_grouped_where_their_tip_was_found(spark):
+    events = spark.createDataFrame(
+        [("r", c, p, "f", 0, "function", "created" if c == "1" else "modified", 1, 4 + int(c)) for c in "12" for p in "xy"],
+        "repo_id string, commit_sha string, path string, qualname string, occurrence int, kind string, change string, lineno int, end_lineno int",
+    )
+    members = spark.createDataFrame([("r", "u", "1", 1), ("r", "u", "2", 2)], "repo_id string, unit string, commit_sha string, ordinal long")
+    steps = spark.createDataFrame(
+        [("r", "1", "x", "read"), ("r", "2", "x", "parse_failed"), ("r", "1", "y", "read")], "repo_id string, commit_sha string, path string, state string"
+    )
+    found = ev.definition_presence(events, members, steps)
+    plan = _plan(found)
+    assert "Aggregate" in plan.split("Join")[0]
+    got = {r["path"]: (r["size"], r["events"], r["presence_base"], r["presence_tip"]) for r in found.collect()}
+    assert got == {"x": (6, 2, "absent", "unreadable"), "y": (6, 2, "absent", "present")}
