@@ -11,6 +11,7 @@ from gitloom.operators import structure as st
 from gitloom.operators.lifecycle import REPO
 from gitloom.plans import sqlviews as v
 from gitloom.plans.registry import ctes, query
+from gitloom.session import materialise
 from gitloom.sources import adapters as a
 
 MEMBERS = """
@@ -69,8 +70,9 @@ def range_header(spark, sf):
     return found.withColumn("authors", F.array_join("authors", ", "))
 
 
-def _touches(spark, sf):
-    return ev.occurrences(a.yearly_members(spark, sf), a.commit_files(spark, sf))
+def _touches(spark, sf, members=None):
+    members = a.yearly_members(spark, sf) if members is None else members
+    return ev.occurrences(members, a.commit_files(spark, sf))
 
 
 @query(
@@ -84,8 +86,8 @@ def range_occurrences(spark, sf):
     )
 
 
-def _changes(spark, sf):
-    changes = ev.path_changes(_touches(spark, sf))
+def _changes(spark, sf, members=None):
+    changes = materialise(ev.path_changes(_touches(spark, sf, members)), "changes")
     return ev.with_net(changes, a.net_changes(changes), a.net_texts(changes))
 
 
@@ -135,12 +137,14 @@ ABSENT = ctes(
 def _absences(spark, sf):
     """High-priority F orders are taken as commits the store does not hold."""
     stored = a.commits(spark, sf).where("not (status = 'F' and message = '2-HIGH')")
+    walk = a.order_walk(spark, sf)
+    members = a.yearly_members(spark, sf, walk)
     return ev.range_absences(
-        a.yearly_members(spark, sf),
+        members,
         stored,
-        h.merges(a.commit_parents(spark, sf)),
-        st.version_steps(a.version_sequence(spark, sf), a.file_versions(spark, sf)),
-        _changes(spark, sf),
+        h.merges(a.commit_parents(spark, sf, walk=walk)),
+        st.version_steps(a.version_sequence(spark, sf, walk), a.file_versions(spark, sf)),
+        _changes(spark, sf, members),
     )
 
 
@@ -268,10 +272,11 @@ PRESENT = ["unit", "path", "qualname", "occurrence", "kind", "events", "size", "
 
 
 def _presence(spark, sf):
+    walk = a.order_walk(spark, sf)
     found = st.definition_history(
-        a.version_sequence(spark, sf), a.file_versions(spark, sf), a.definition_rows(spark, sf), a.DEFINITION_ORDER,
+        a.version_sequence(spark, sf, walk), a.file_versions(spark, sf), a.definition_rows(spark, sf), a.DEFINITION_ORDER,
     )
-    return ev.definition_presence(found.events, a.yearly_members(spark, sf), found.steps)
+    return ev.definition_presence(found.events, a.yearly_members(spark, sf, walk), found.steps)
 
 
 @query("range_presence", PRESENCE + f"SELECT {', '.join(PRESENT)} FROM presence")

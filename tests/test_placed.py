@@ -65,6 +65,15 @@ def test_spans_of_a_file_meet_once(spark):
     assert got == {("u", "x", 3): 1, ("u", "x", 9): 2, ("u", "x", 10): 3, ("u", None, 1): 1, (None, "x", 1): 1}
 
 
+def test_orders_are_walked_once(spark, monkeypatch):
+    walked, made, write = [], [], pe.materialise
+    order = a.ordered
+    monkeypatch.setattr(a, "ordered", lambda *x, **y: walked.append(x[1]) or order(*x, **y))
+    monkeypatch.setattr(pe, "materialise", lambda f, name: made.append(name) or write(f, name))
+    assert pe.absences(spark, SF).count() > 0
+    assert len(walked) == 1 and made == ["changes"]
+
+
 def test_definitions_are_grouped_where_their_tip_was_found(spark):
     events = spark.createDataFrame(
         [("r", c, p, "f", 0, "function", "created" if c == "1" else "modified", 1, 4 + int(c)) for c in "12" for p in "xy"],
