@@ -88,3 +88,31 @@ def test_definitions_are_grouped_where_their_tip_was_found(spark):
     assert "Aggregate" in plan.split("Join")[0]
     got = {r["path"]: (r["size"], r["events"], r["presence_base"], r["presence_tip"]) for r in found.collect()}
     assert got == {"x": (6, 2, "absent", "unreadable"), "y": (6, 2, "absent", "present")}
+
+
+def test_only_trees_with_a_later_parent_are_walked_again(spark, monkeypatch):
+    # Two lines start at the same root "r" of a clock far ahead; "m" merges a short line and a long one walked later.
+    times = {"r": 100, "a1": 1, "b1": 2, "b2": 50, "m": 3, "n": 4, "s": 100, **{f"c{i}": i + 1 for i in range(30)}}
+    parents = [("a1", "r"), ("b1", "r"), ("b2", "b1"), ("m", "a1"), ("m", "b2"), ("n", "m"), ("c0", "s")]
+    parents += [(f"c{i}", f"c{i - 1}") for i in range(1, 30)]
+    commits = spark.createDataFrame([("x", s, t) for s, t in times.items()], "repo_id string, sha string, committed_epoch long")
+    edges = spark.createDataFrame([("x", c, p) for c, p in parents], "repo_id string, commit_sha string, parent_sha string")
+    sizes, write = [], lc.materialise
+
+    def counted(frame, name):
+        told = write(frame, name)
+        sizes.append((name, told.count()))
+        return told
+
+    monkeypatch.setattr(lc, "materialise", counted)
+    keys = {r["sha"]: tuple((x["t"], x["s"]) for x in r["walk_key"]) for r in lc.walk_keys(commits, edges).collect()}
+    above = {c: [p for q, p in parents if q == c] for c in times}
+
+    def key(c):
+        own = (times[c], c)
+        return max([*[(*[x for x in key(p) if x > own], own) for p in above[c]], (own,)])
+
+    assert keys == {c: key(c) for c in times}
+    names = [n for n, _ in sizes]
+    again = [n for i, (name, n) in enumerate(sizes) if name == "waits" and "follows" in names[:i]]
+    assert again and max(again) < 10
