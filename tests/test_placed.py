@@ -116,3 +116,8 @@ def test_only_trees_with_a_later_parent_are_walked_again(spark, monkeypatch):
     names = [n for n, _ in sizes]
     again = [n for i, (name, n) in enumerate(sizes) if name == "waits" and "follows" in names[:i]]
     assert again and max(again) < 10
+
+
+def test_pointers_are_grouped_where_their_statement_is(spark):
+    plan = _plan(a.memory_citations(spark, SF))
+    assert plan.count("Exchange") == 1 and "hashpartitioning(lpad(" in plan
