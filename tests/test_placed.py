@@ -121,3 +121,14 @@ def test_only_trees_with_a_later_parent_are_walked_again(spark, monkeypatch):
 def test_pointers_are_grouped_where_their_statement_is(spark):
     plan = _plan(a.memory_citations(spark, SF))
     assert plan.count("Exchange") == 1 and "hashpartitioning(lpad(" in plan
+
+
+def test_answers_are_taken_apart_in_one_pass(spark, monkeypatch):
+    made, write = [], an.materialise
+    monkeypatch.setattr(an, "materialise", lambda f, name: made.append(name) or write(f, name))
+    rows = spark.createDataFrame([("i", 8, 1, 2, 3), ("k", 8, 1, 3, 4), (None, 8, 1, 3, 4)], "answer_id string, p long, q int, s long, o long")
+    known = a.answer_evidence(rows)
+    found = an.violations(a.answers(rows), known, a.answer_memories(rows))
+    assert {(r["answer_id"], r["rule"]) for r in found.collect()} == {(None, "evidence_not_held"), (None, "memory_not_shown")}
+    assert made == ["shaped"]
+    assert _plan(known).count("Exchange") == 2 and _plan(known.distinct()).count("Exchange") == 2
