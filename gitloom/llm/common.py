@@ -57,6 +57,10 @@ def add_columns(
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows and bytes: texts and packed rows may be long, and a batch is held whole."""
+    """Arrow batches of few rows and bytes: texts and packed rows may be long, and a batch is held whole.
+
+    Joins of these operators move rows by all their keys, as the sizes of their tasks rest on it.
+    """
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
